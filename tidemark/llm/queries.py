@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, mixing, packing, quality, secrets, sharding, topk
+from tidemark.llm import jaccard, language, mixing, packing, quality, secrets, sharding, topk
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -91,6 +95,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op4_mixing, op5_language_id, op6_exact_topk, op8_quality_rules, op9_sharding, op10_secret_scan)
+    for f in (op1_best_fit_packing, op4_mixing, op5_language_id, op6_exact_topk, op7_jaccard_join, op8_quality_rules, op9_sharding, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_exact_topk": OP6_SQL}
