@@ -58,10 +58,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 def repeat(docs: DataFrame, **how) -> DataFrame:
     """``docs`` as the mix takes them: whole copies by epoch, then the leading words of the last one taken in part.
 
-    Rows are joined to their share by doc_id; equal doc_ids must hold equal texts (true after deduplication).
+    Rows are joined to their share by doc_id, which must be unique and not null (true after deduplication).
     """
     share = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_id"])
-    rows = docs.join(share, F.col("doc_id").eqNullSafe(F.col("_id"))).filter(F.col("_taken") > 0)
+    rows = docs.join(share, F.col("doc_id") == F.col("_id")).filter(F.col("_taken") > 0)
     copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
     rows = rows.withColumn("_copy", F.explode(copies)).withColumn("_left", F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int"))
     lead = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_left")), " ")

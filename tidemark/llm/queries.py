@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import jaccard, language, mixing, packing, quality, secrets, sharding, suffix, topk
+from tidemark.llm import jaccard, language, lm, mixing, packing, quality, secrets, sharding, suffix, topk
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents"))
 
@@ -99,6 +103,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_suffix_dedup, op4_mixing, op5_language_id, op6_exact_topk, op7_jaccard_join, op8_quality_rules, op9_sharding, op10_secret_scan)
+    for f in (op1_best_fit_packing, op2_lm_scoring, op3_suffix_dedup, op4_mixing, op5_language_id, op6_exact_topk, op7_jaccard_join, op8_quality_rules, op9_sharding, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_exact_topk": OP6_SQL}
