@@ -16,7 +16,7 @@ def direct_ids(texts):
     return [c.ids + [1] for c in Tokenizer.from_file(tokenizer_path()).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-TEXTS = ["The cat sat.", None, "", "  \n\t ", "It's 2024, isn't it?\x1cX\xa0Y", "naïve café é ́x İSTANBUL ΣΑΣ", "<|endoftext|> a <|startoftext|>b", "word " * 9000, "x" * 5000, "日本語 テキスト", "The cat sat."]
+TEXTS = ["The cat sat.", None, "", "  \n\t ", "It's 2024, isn't it?\x1cX\xa0Y", "naïve café é ́x İSTANBUL ΣΑΣ", "<|endoftext|> a <|startoftext|>b", "word " * 9000, "x" * 5000, "日本語 テキスト", "ÉÀß ÇA, là-bas: Größe; ÿ×÷ ªº µ don't I'll x'Y end... !? a.b a.,b", "The cat sat."]
 
 
 def test_ids_by_word_equal_ids_of_whole_texts():
@@ -25,6 +25,15 @@ def test_ids_by_word_equal_ids_of_whole_texts():
         assert np.frombuffer(got, "<u4").tolist() == want
 
 
+def test_random_words_have_the_same_ids():
+    r = random.Random(7)
+    signs = "abcXYZéÈßñçÿ.,;:!?'0129-_/É"
+    texts = [" ".join("".join(r.choice(signs) for _ in range(r.randint(1, 9))) for _ in range(50)) for _ in range(200)]
+    coder = packing.WordIds(tokenizer_path())
+    for got, want in zip(coder.packed(texts), direct_ids(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want
+
+
 def test_pack_is_a_packing(spark):
     rows = packing.pack(docs(spark, TEXTS), tokenizer_path()).collect()
     want = direct_ids(TEXTS)
