@@ -185,5 +185,5 @@ def acceleration_screen(rows: DataFrame, rate: str, period: str, months: int, le
 def entity_years(rows: DataFrame) -> DataFrame:
     """Yearly filers: the newest filing of each class and year, summed, dated the year's last day."""
     own = rows.withColumn("_year", F.year("day"))
-    last = latest_by(own, ["entity", "_year", "subclass"], [F.col("day").desc(), F.col("nav").desc()])
+    last = latest_by(own, ["entity", "_year", "subclass"], [F.col("day").desc(), F.col("nav").desc_nulls_last(), F.col("holders").desc()])
     return last.groupBy("entity", F.make_date("_year", F.lit(12), F.lit(31)).alias("period")).agg(total("nav").alias("nav"), F.sum("holders").alias("holders"))

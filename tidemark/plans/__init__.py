@@ -1 +1,6 @@
-"""Spark-first analytics operators."""
+"""Queries over the driver tables, each with SQL for comparison where SQL can say it."""
+
+from tidemark.plans import warehouse  # noqa: F401
+from tidemark.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
