@@ -31,7 +31,7 @@ def plain(v):
 
 
 def order(row):
-    return tuple((v is None, f"{v:.3f}" if isinstance(v, float) else str(v)) for v in row)
+    return tuple((v is None, f"{v:.5f}" if isinstance(v, float) else str(v)) for v in row)
 
 
 def difference(df, con, sql: str) -> str | None:

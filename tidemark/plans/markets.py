@@ -95,7 +95,7 @@ def lending_participant_daily(spark, d):
     return M.participant_legs(lines(spark, d), ["day"])
 
 
-SHARE = """share AS (SELECT user_id AS ticker, ts::DATE AS last_cum, CASE WHEN event_id % 2 = 0 THEN 'GRUPAMENTO' ELSE 'DESDOBRAMENTO' END AS kind, CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 10.0 END::DOUBLE AS factor FROM events WHERE event_type = 'signup' AND event_id % 10 < 2),
+SHARE = """share AS (SELECT user_id AS ticker, ts::DATE AS last_cum, CASE WHEN event_id % 2 = 0 THEN 'GRUPAMENTO' ELSE 'DESDOBRAMENTO' END AS kind, CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 10.0 END::DOUBLE AS factor FROM events WHERE event_type = 'signup'),
 ratios AS (SELECT DISTINCT ticker, last_cum, CASE WHEN kind = 'GRUPAMENTO' THEN factor ELSE 1 + factor / 100 END AS ratio FROM share WHERE last_cum < DATE '2024-01-30')"""
 ADJ = SESSIONS + ", " + SHARE + """,
 adj AS (SELECT s.ticker, s.day, s.close, round(s.close / exp(coalesce(sum(ln(r.ratio)), 0)), 6) AS close_adj FROM sessions s LEFT JOIN ratios r ON r.ticker = s.ticker AND r.last_cum >= s.day GROUP BY s.ticker, s.day, s.close)"""
@@ -103,7 +103,7 @@ adj AS (SELECT s.ticker, s.day, s.close, round(s.close / exp(coalesce(sum(ln(r.r
 
 def share_events(spark, d):
     even = F.col("event_id") % 2 == 0
-    return table(spark, d, "events").filter("event_type = 'signup' and event_id % 10 < 2").select(F.col("user_id").alias("ticker"), F.col("ts").cast("date").alias("last_cum"), F.when(even, "GRUPAMENTO").otherwise("DESDOBRAMENTO").alias("kind"), F.when(even, 0.5).otherwise(10.0).alias("factor"))
+    return table(spark, d, "events").filter("event_type = 'signup'").select(F.col("user_id").alias("ticker"), F.col("ts").cast("date").alias("last_cum"), F.when(even, "GRUPAMENTO").otherwise("DESDOBRAMENTO").alias("kind"), F.when(even, 0.5).otherwise(10.0).alias("factor"))
 
 
 def adjusted(spark, d):
@@ -115,12 +115,12 @@ def close_adjusted(spark, d):
     return adjusted(spark, d)
 
 
-CASH = """cash0 AS (SELECT user_id AS ticker, ts::DATE AS last_cum, value / 100 AS amount FROM events WHERE event_type = 'purchase' AND event_id % 20 = 3),
+CASH = """cash0 AS (SELECT user_id AS ticker, ts::DATE AS last_cum, value / 100 AS amount FROM events WHERE event_type = 'purchase'),
 cash AS (SELECT c.*, min(s.day) AS ex_day FROM cash0 c LEFT JOIN (SELECT DISTINCT user_id AS ticker, ts::DATE AS day FROM events) s ON s.ticker = c.ticker AND s.day > c.last_cum AND s.day <= c.last_cum + 7 GROUP BY ALL)"""
 
 
 def cash_events(spark, d):
-    own = table(spark, d, "events").filter("event_type = 'purchase' and event_id % 20 = 3").select(F.col("user_id").alias("ticker"), F.col("ts").cast("date").alias("last_cum"), (F.col("value") / 100).alias("amount"))
+    own = table(spark, d, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("ticker"), F.col("ts").cast("date").alias("last_cum"), (F.col("value") / 100).alias("amount"))
     return M.next_session(own, sessions(spark, d), "ticker", "last_cum", 7)
 
 
@@ -156,16 +156,16 @@ def isin_resolution(spark, d):
     return M.resolve_unique(rows.select("l_orderkey", "l_partkey", "price"), known, ["l_orderkey"], "l_suppkey", "price", "close")
 
 
-@query("""WITH h AS (SELECT DISTINCT o_custkey AS id, o_orderkey AS installment, round((o_custkey % 9) / 7.0::DOUBLE, 10) AS amount FROM orders WHERE o_orderkey % 10 = 0),
+@query("""WITH h AS (SELECT DISTINCT o_custkey AS id, o_orderkey AS installment, round((o_custkey % 9) / 7.0::DOUBLE, 10) AS amount FROM orders WHERE o_orderstatus = 'F'),
 n AS (SELECT *, row_number() OVER (PARTITION BY id, amount ORDER BY installment) AS nth, count(*) OVER (PARTITION BY id, amount) AS alln FROM h),
-s AS (SELECT o_custkey AS id, round((o_custkey % 9) / 7.0::DOUBLE, 10) + 2e-9::DOUBLE AS a2, o_orderdate::DATE AS pay_day FROM orders WHERE o_orderkey % 10 = 1),
+s AS (SELECT o_custkey AS id, round((o_custkey % 9) / 7.0::DOUBLE, 10) + 2e-9::DOUBLE AS a2, o_orderdate::DATE AS pay_day FROM orders WHERE o_orderstatus = 'P'),
 m AS (SELECT n.*, (SELECT list_sort(list_distinct(list(pay_day))) FROM s WHERE s.id = n.id AND abs(n.amount - a2) < 1e-8) AS days FROM n)
 SELECT id, installment, amount, CASE WHEN len(days) = 1 THEN days[1] WHEN len(days) = alln THEN days[nth] END AS pay_day FROM m""".replace("SELECT id, installment, amount, CASE", "SELECT id, installment, round(amount, 6) AS amount, CASE"))
 def dividend_payments(spark, d):
     amount = F.round((F.col("o_custkey") % 9) / 7.0, 10)
     o = table(spark, d, "orders")
-    history = o.filter("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("installment"), amount.alias("amount")).distinct()
-    extra = o.filter("o_orderkey % 10 = 1").select(F.col("o_custkey").alias("id"), (amount + 2e-9).alias("amount"), F.col("o_orderdate").cast("date").alias("pay_day"))
+    history = o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("installment"), amount.alias("amount")).distinct()
+    extra = o.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"), (amount + 2e-9).alias("amount"), F.col("o_orderdate").cast("date").alias("pay_day"))
     return M.payment_dates(history, extra, ["id"], "amount")
 
 
@@ -192,9 +192,9 @@ def future_nth_series(spark, d):
 @query(f"""WITH {SESSIONS}, o AS (SELECT event_id, user_id AS isin, ts::DATE AS day, value AS premium FROM events WHERE event_type = 'view'),
 c AS (SELECT ticker % 10 AS isin, day, ticker, close, CASE WHEN ticker % 2 = 0 THEN 0 ELSE 1 END AS p FROM sessions),
 b AS (SELECT isin, day, ticker AS underlying, close AS underlying_close FROM c QUALIFY row_number() OVER (PARTITION BY isin, day ORDER BY p, ticker, close) = 1)
-SELECT o.*, underlying, underlying_close FROM o LEFT JOIN b ON b.isin = o.isin AND b.day = o.day WHERE o.isin < 20""")
+SELECT o.*, underlying, underlying_close FROM o LEFT JOIN b ON b.isin = o.isin AND b.day = o.day""")
 def option_chain(spark, d):
-    options = table(spark, d, "events").filter("event_type = 'view' and user_id < 20").select("event_id", F.col("user_id").alias("isin"), F.col("ts").cast("date").alias("day"), F.col("value").alias("premium"))
+    options = table(spark, d, "events").filter("event_type = 'view'").select("event_id", F.col("user_id").alias("isin"), F.col("ts").cast("date").alias("day"), F.col("value").alias("premium"))
     cash = sessions(spark, d).select((F.col("ticker") % 10).alias("isin"), "day", "ticker", "close")
     return M.best_underlying(options, cash, ["isin", "day"], F.when(F.col("ticker") % 2 == 0, 0).otherwise(1))
 
