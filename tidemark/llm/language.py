@@ -165,7 +165,7 @@ class Parser:
             return (total * np.array(self.bits)[:, None] / sizes).T, has
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def parser(texts: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(texts))
 
@@ -189,9 +189,9 @@ def identify(docs: DataFrame, learned: dict[str, str] | None = None) -> DataFram
             texts = [None if t is None else str(t) for t in batch]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             at = 0
-            while known.langs and at < len(texts):  # about 4 million characters at once
+            while known.langs and at < len(texts):  # about 2 million characters at once
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 4_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 2_000_000):
                     size += len(texts[end] or "")
                     end += 1
                 bits, has = known.bits_of(texts[at:end])

@@ -10,7 +10,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 #: Bytes handled at once; longer single texts make longer batches.
-BYTES = 2_000_000
+BYTES = 500_000
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -22,7 +22,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse modulo 2 ** 64, for i < n."""
     if not _powers or len(_powers["p"]) < n:
         inverse = pow(BASE, -1, 1 << 64)
-        size = max(n, 2 * BYTES + 16)
+        size = max(n + n // 4, 2 * BYTES)
         for name, base in (("p", BASE), ("q", inverse)):
             step = np.full(size, base, np.uint64)
             step[0] = 1
