@@ -22,8 +22,9 @@ from tidemark.llm.common import running, saved
 CAPACITY = 4096
 #: Words whose ids each worker remembers, and the id that ends a document.
 REMEMBERED, END = 200_000, 1
-#: Fillings enumerated for a bin, and bins branched on, at most, before best fit fills the rest.
-FILLINGS, BRANCHES = 64, 4000
+#: Fillings enumerated for a bin, and bins branched on, at most, before best fit fills the rest. Each branch costs a
+#: best-fit packing and a copy of the counts, so with many different lengths there are fewer: SPENT over their number.
+FILLINGS, BRANCHES, SPENT = 64, 4000, 40_000
 
 
 class WordIds:
@@ -204,11 +205,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
 
     Depth first: the largest length left opens a bin, its fillings are tried in order of waste, and one choice is made
     for as many equal bins at once as the counts allow. A branch ends where the waste so far leaves a bound no better
-    than the incumbent. The search starts from the best-fit packing and ends at the lower bound or after BRANCHES bins.
+    than the incumbent. The search starts from the best-fit packing and ends at the lower bound or after as many branches as BRANCHES and SPENT allow.
     """
     incumbent = best_fit(counts, capacity)
     best, floor = sum(n for _, n in incumbent), lower_bound(counts, capacity)
-    budget = [BRANCHES]
+    budget = [min(BRANCHES, max(8, SPENT // max(1, len(counts))))]
     total = sum(s * n for s, n in counts.items())
     stack: list[tuple[dict[int, int], list, int, int]] = [({s: n for s, n in counts.items() if n}, [], 0, 0)]
     while stack and best > floor and budget[0] > 0:
