@@ -204,7 +204,7 @@ def index_divisor_steps(spark, d):
     return M.divisor_steps(sessions(spark, d).select("ticker", "day", "close"), ["ticker"], "day", "close")
 
 
-@query("""WITH RECURSIVE p AS (SELECT 1 AS hop, 1000 // 2 AS name UNION ALL SELECT hop + 1, name // 2 FROM p WHERE name >= 2 AND hop < 10) SELECT hop, name, DATE '2024-01-01' AS day FROM p""")
+@query("""WITH RECURSIVE p AS (SELECT 1 AS hop, c_custkey // 2 AS name FROM customer WHERE c_custkey = 1000 UNION ALL SELECT hop + 1, name // 2 FROM p WHERE name >= 2 AND hop < 10) SELECT hop, name, DATE '2024-01-01' AS day FROM p""")
 def ticker_lineage(spark, d):
     changes = table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 2).alias("old"), F.col("c_custkey").alias("new"), F.lit("2024-01-01").cast("date").alias("day")).filter("new > 1")
     return M.lineage(changes.filter("old > 0"), 1000)
