@@ -30,12 +30,32 @@ from tidemark.llm.common import saved
 
 #: Bytes that a repeat has at least, and bytes hashed to a seed.
 LEAST, SEED = 50, 20
-#: Bytes of text for a bucket or group, about; buckets at least; bytes of texts in a batch.
-BUCKET, LEAST_BUCKETS, BATCH = 8_000_000, 64, 4_000_000
+#: Bytes of text for a bucket or group, about; buckets at least; bytes of texts in a batch; bytes of bodies in an index; bytes hashed at once.
+BUCKET, LEAST_BUCKETS, BATCH, INDEX, HASHED = 8_000_000, 64, 4_000_000, 100_000, 200_000
 
 
 def stretches(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(seed, text, first window, windows) of each stretch of windows of one text that have one seed."""
+    found = []
+    for at, part in _parted(raws, HASHED):
+        seed, text, begin, count = _stretches(part)
+        found.append((seed, text + at, begin, count))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else [()] * 4))
+
+
+def _parted(raws: list[bytes], most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, texts), in parts of at most ``most`` bytes or one text."""
+    at, size = 0, 0
+    for i, raw in enumerate(raws):
+        if i > at and size + len(raw) > most:
+            yield at, raws[at:i]
+            at, size = i, 0
+        size += len(raw)
+    if raws:
+        yield at, raws[at:]
+
+
+def _stretches(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     lens = np.array([len(r) for r in raws], np.int64)
     flat = np.frombuffer(b"".join(raws), np.uint8)
@@ -160,29 +180,16 @@ class Group:
         pairs = W.mixed(seed[order].view(np.uint64)) ^ W.mixed(doc[order].view(np.uint64) + np.uint64(1))
         pairs = np.unique(pairs)  # a false pair only means a body more
         found: list[list[np.ndarray]] = [[], [], [], []]
-        at = 0
-        for part in self._batches():
+        for at, part in _parted(self.raws, BATCH):
             s, t, b, n = stretches(part)
             held = np.isin(W.mixed(s.view(np.uint64)) ^ W.mixed(self.ids[at + t].view(np.uint64) + np.uint64(1)), pairs) if len(s) else np.zeros(0, bool)
             for column, x in zip(found, (s, t + at, b, n), strict=True):
                 column.append(x[held])
-            at += len(part)
         self.seed, self.text, self.begin, self.count = [np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in found]
         self.bodies: dict[bytes, int] = {}
         which = [self.bodies.setdefault(self.raws[t][b : b + n + LEAST - 1], len(self.bodies)) for t, b, n in zip(self.text.tolist(), self.begin.tolist(), self.count.tolist(), strict=True)]
         self.which = np.array(which, np.int64)
 
-    def _batches(self) -> Iterator[list[bytes]]:
-        part, size = [], 0
-        for raw in self.raws:
-            if part and size + len(raw) > BATCH:
-                yield part
-                part, size = [], 0
-            part.append(raw)
-            size += len(raw)
-        if part:
-            yield part
-
     def dealt(self) -> tuple[np.ndarray, np.ndarray]:
         """The seed and the smallest document of each body."""
         seed, low = np.zeros(len(self.bodies), np.int64), np.full(len(self.bodies), np.iinfo(np.int64).max)
@@ -229,11 +236,11 @@ def suffixes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # bytes before the body's end
     key = np.zeros(n, np.int64)
     padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, np.int64)])
-    for i in range(6):
+    for i in range(7):
         key = key * 257 + np.where(left > i, padded[i : n + i], 0)
-    depth = 6
+    depth = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys in any order: they reach their bodies' ends, or share LEAST bytes
         ordered = key[order]
         new = np.append(True, ordered[1:] != ordered[:-1])
         new |= left[order] < depth  # reaches its body's end: like no other
@@ -285,6 +292,20 @@ def smallest(bodies: list[bytes], low: np.ndarray) -> list[np.ndarray]:
     return np.split(best[own], np.cumsum(counts)[:-1])
 
 
+def _by_seed(order: np.ndarray, kind: np.ndarray, bodies: list[bytes]) -> Iterator[list[int]]:
+    """``order`` (bodies sorted by seed) in parts of about INDEX bytes. Bodies of one seed stay together: only they can
+    share a window."""
+    part, size = [], 0
+    for i in order.tolist():
+        if size > INDEX and kind[i] != kind[part[-1]]:
+            yield part
+            part, size = [], 0
+        part.append(i)
+        size += len(bodies[i])
+    if part:
+        yield part
+
+
 def answers(bodies: DataFrame) -> DataFrame:
     """By group: runs of windows of its bodies, with the smallest document that has them."""
 
@@ -305,8 +326,9 @@ def answers(bodies: DataFrame) -> DataFrame:
         same = kind[order][1:] == kind[order][:-1]
         alone[order[1:][same]] = alone[order[:-1][same]] = False
         rows_at, start, end, best = [], [], [], []
-        several = np.flatnonzero(~alone).tolist()
-        found = dict(zip(several, smallest([every[i] for i in several], least[several]), strict=True)) if several else {}
+        found: dict[int, np.ndarray] = {}
+        for part in _by_seed(order[~alone[order]], kind, every):
+            found.update(zip(part, smallest([every[i] for i in part], least[part]), strict=True))
         for i, raw in enumerate(every):
             if alone[i]:
                 cuts, value = [0, len(raw) - LEAST + 1], [int(least[i])]
