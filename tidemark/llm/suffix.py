@@ -29,7 +29,7 @@ from tidemark.llm import words as W
 from tidemark.llm.common import saved
 
 #: Bytes that a repeat has at least, and bytes hashed to a seed.
-LEAST, SEED = 50, 20
+LEAST, SEED = 50, 28
 #: Bytes of text for a bucket or group, about; buckets at least; bytes of texts in a batch; bytes of bodies in an index; bytes hashed at once.
 BUCKET, LEAST_BUCKETS, BATCH, INDEX, HASHED = 8_000_000, 64, 4_000_000, 100_000, 200_000
 
