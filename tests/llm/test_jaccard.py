@@ -65,6 +65,24 @@ def test_components_match_brute_force(spark, monkeypatch, seed, family, pivots,
     assert sorted(tuple(r) for r in got) == brute(texts)
 
 
+def test_links_between_regions(spark, monkeypatch):
+    """Two linked hubs, each with copies that link to their own hub only: pivots are copies of both."""
+    monkeypatch.setattr(jaccard, "FAMILY", 128)
+    r = random.Random(3)
+    hub = [f"h{i}" for i in range(104)]
+    other = [*hub[:20], "x", *hub[21:60], "y", *hub[61:]]
+
+    def copy(of, k):
+        i, j = r.sample([i for i in range(5, 99, 5) if i not in (20, 60)], 2)
+        return [f"{k}_{at}" if at in (i, j) else w for at, w in enumerate(of)]
+
+    words = [hub, other] + [copy(hub, f"a{k}") for k in range(100)] + [copy(other, f"b{k}") for k in range(100)]
+    texts = [(i, " ".join(w)) for i, w in enumerate(words)]
+    want = brute(texts)
+    assert {root for *_, root in want} == {0}
+    assert sorted(tuple(r) for r in jaccard.join(docs(spark, texts)).collect()) == want
+
+
 def test_empty_and_long(spark):
     assert jaccard.join(docs(spark, [])).count() == 0
     long = " ".join(f"x{i}" for i in range(60_000))

@@ -8,7 +8,8 @@
 3. Sets that share such a shingle form families. A family is joined exactly in one task if it is small. In a large
    one, pivots create Voronoi regions: sets within the threshold of a pivot link to it and need no comparison with each
    other, since only the components count; by the triangle inequality a set outside can link into the region only
-   from a window of distances around it, so only those boundary sets are replicated to the region's blocks. What lies
+   from a window of distances around it, so only those boundary sets, with a region of their own or without, are
+   replicated to the region's blocks. Regions that links to pivots hold together already aren't compared. What lies
    outside all regions is joined recursively, with pivots of its own.
 4. Links become components by the smallest label, round by round, with checkpoints.
 """
@@ -194,16 +195,17 @@ def linked_in(pdf: pd.DataFrame) -> list[tuple[int, int]]:
 
     Sets become pivots one after another; a pivot's distances to all others are measured. Only components count, and
     every pair across two components has an end outside the largest, so the sets of the largest needn't be pivots.
-    ``main`` marks sets that are known to be in one component.
+    Sets of one ``root`` are known to be in one component; null: nothing is known.
     """
     owners, n = pdf["owner"].to_numpy(), pdf["n"].to_numpy()
     lens = np.array([len(k) for k in pdf["keys"]])
     names, flat = np.unique(np.concatenate(pdf["keys"].to_list()), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
-    main = pdf["main"].to_numpy() if "main" in pdf else np.zeros(len(pdf), bool)
     label = np.arange(len(pdf))
-    if main.any():
-        label[main] = np.flatnonzero(main)[0]
+    if "root" in pdf:
+        known = np.flatnonzero(pdf["root"].notna())
+        _, first, which = np.unique(pdf["root"].iloc[known].to_numpy(np.int64), return_index=True, return_inverse=True)
+        label[known] = known[first][which]
     done, mark, out = np.zeros(len(pdf), bool), np.zeros(len(names), bool), []
     while True:
         sizes = np.bincount(label, minlength=len(pdf))
@@ -223,7 +225,7 @@ def linked_in(pdf: pd.DataFrame) -> list[tuple[int, int]]:
 
 
 def _families(members: DataFrame) -> DataFrame:
-    """Links of small families: rows family, owner, n, keys (and main)."""
+    """Links of small families: rows family, owner, n, keys (and root)."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(linked_in(pdf) if len(pdf) > 1 else [], columns=["a", "b"], dtype="int64")
@@ -268,15 +270,19 @@ def _voronoi(large: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
     )
     seen = saved(seen.select("owner", F.col("home.pivot").alias("home"), "to", "near"))
     out = seen.select(F.explode("to").alias("a"), F.col("owner").alias("b"))
-    # boundary sets meet a region only where the triangle inequality allows a link: up to twice the threshold away
-    region = saved(seen.filter("home is not null").groupBy("home").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / FAMILY).cast("int")))
-    border = seen.filter("home is null").select("owner", F.explode("near").alias("home")).join(region, "home")
-    chunk = F.ceil(F.count("*").over(Window.partitionBy("home")) / FAMILY).cast("int")
-    border = border.withColumn("chunks", chunk).withColumn("chunk", F.pmod(F.xxhash64("owner"), F.col("chunks")).cast("int"))
-    chunks = border.select("home", "chunks").distinct()
-    inner = seen.filter("home is not null").join(region, "home").join(chunks, "home").select("owner", "home", F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("main"))
-    outer = border.select("owner", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk", F.lit(False).alias("main"))
-    cells = inner.unionByName(outer).withColumn("family", F.xxhash64("home", "block", "chunk")).select("owner", "family", "main")
+    # a set that links to pivots of two regions makes them one component: pairs across these need no comparison
+    roots = components(seen.filter("home is not null").select(F.col("home").alias("a"), F.explode("to").alias("b")).distinct())
+    region = seen.filter("home is not null").groupBy("home").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / FAMILY).cast("int"))
+    region = saved(region.join(roots.withColumnRenamed("node", "home"), "home", "left").withColumn("root", F.coalesce("root", "home")))
+    placed = seen.join(region.select("home", "root", "blocks"), "home", "left")
+    # boundary sets meet a region only where the triangle inequality allows a link: up to twice the threshold away.
+    # Of a pair with regions on both sides, the end in the region of the larger root goes to the other's
+    border = placed.select("owner", F.col("root").alias("own"), F.explode("near").alias("home")).join(region.select("home", "root", "blocks"), "home").filter("own is null or root < own")
+    chunks = border.groupBy("home").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("chunks"))
+    border = border.join(chunks, "home").withColumn("chunk", F.pmod(F.xxhash64("owner"), F.col("chunks")).cast("int"))
+    inner = placed.filter("home is not null").join(chunks, "home").select("owner", "home", F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "root")
+    outer = border.select("owner", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk", F.col("own").alias("root"))
+    cells = inner.unionByName(outer).withColumn("family", F.xxhash64("home", "block", "chunk")).select("owner", "family", "root")
     out = out.unionByName(_families(cells.join(large.select("owner", "n", "keys"), "owner")))
     return out, large.join(seen.filter("home is null").select("owner"), "owner", "left_semi")
 
