@@ -54,6 +54,21 @@ def test_random_tokens_are_found_and_prose_is_not(spark):
     assert all(rows[i].spans == "" for i in range(n + len(KEYS), len(TEXTS)))
 
 
+def test_random_tokens_after_names_and_in_paths_are_found(spark):
+    r = random.Random(11)
+    cases = [("AWS_KEY=", B62[52:] + "ABCDEF", 32), ("AWS_KEY=", B62[:26] + "234567", 32), ("DB_CREDENTIAL=", B62[:26] + "234567", 32), ("aws_secret_access_key=", B62, 20), ("/srv/common-keys/", B62, 40), ("", B62[:52], 20)]
+    for name, signs, n in cases:
+        keys = ["".join(r.choice(signs) for _ in range(n)) for _ in range(40)]
+        texts = [f"{PROSE} {name}{k} end" for k in keys] + [PROSE] * 40
+        rows = {r.doc_id: r for r in secrets.scan(docs(spark, texts)).collect()}
+        at = len(PROSE) + 1 + len(name)
+        exact = sum(rows[i].spans == f"random:{at}:{at + n}" for i in range(40))
+        covered = sum(any(int(a) <= at and at + n <= int(b) for _, a, b in (x.split(":") for x in rows[i].spans.split(",") if x)) for i in range(40))
+        least = 34 if name else 20  # short ones without a digit give the battery less evidence
+        assert covered >= least and (exact == covered or "/" in name), (name, n, exact, covered)
+        assert all(rows[i].spans == "" for i in range(40, 80))
+
+
 def test_redact(spark):
     texts = ["a password=abcdefg1 b " + "0f" * 13, None, "clean text", "é secret=" + "0f" * 13 + "!"]
     rows = {r.doc_id: r for r in secrets.redact(docs(spark, texts)).collect()}

@@ -1,7 +1,7 @@
 """Secret scanning in DataFrame functions only: fixed patterns, and a battery of randomness tests for other tokens.
 
-Patterns give the base spans. Besides, every run of 20 or more encoding characters with a letter and a digit is a
-candidate. For its inferred encoding (hex, base32, base62, base64) it must look uniformly random: its letters in a
+Patterns give the base spans. Besides, every run of 20 or more encoding characters is a candidate ('=' only ends one, so
+names before '=' stay apart), and so is each part of 20 or more between '_', '-' and '/' in it. For its inferred encoding (hex, base32, base62, base64) it must look uniformly random: its letters in a
 chi-squared test, the runs of its character classes, and the serial correlation of neighbours. How unlikely ordinary
 text would make it is bounded by the likelihood ratio of the two models, which grows with length; these bounds go
 through a Benjamini-Hochberg step-up in each length band, over all candidates of the table, so that the share of
@@ -20,7 +20,8 @@ PATTERNS = {
     "assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"[0-9a-f]{24,}",
-    "random": r"[A-Za-z0-9+/_=-]{20,}",
+    "random": r"[A-Za-z0-9+/_-]{20,}={0,2}",
+    "part": r"(?<=[/_-])[A-Za-z0-9+]{20,}={0,2}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+]{20,}+(?=[/_-])",  # never all of a run
 }
 LEAST = {"assign": 6, "access": 20}
 #: Marks that no pattern matches stand around matches; where a text holds them itself, another such character does.
@@ -53,7 +54,8 @@ def _matches(docs: DataFrame, kind: str) -> DataFrame:
         "assign": lambda x: F.length(F.regexp_extract(x["text"], PATTERNS["assign"], 2)) >= LEAST["assign"],
         "access": lambda x: F.length(x["text"]) >= LEAST["access"],
         "hex": lambda x: F.lit(True),
-        "random": lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"),
+        "random": lambda x: F.lit(True),
+        "part": lambda x: F.lit(True),
     }[kind]
     empty = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
     return docs.withColumn(f"_{kind}", F.coalesce(F.filter(spans, keep), empty)).drop("_marked", "_parts", "_ends")
@@ -96,10 +98,9 @@ def _tested(token: Column) -> Column:
 def findings(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_assign``, ``_access``, ``_hex`` (spans with their text) and ``_maybe`` (tested candidates) added."""
     out = docs.withColumn("_clean", F.translate(F.coalesce(F.col(text), F.lit("")), OPEN + CLOSE, OTHER + OTHER))
-    for kind in KINDS:
+    for kind in PATTERNS:
         out = _matches(out, kind)
-    long = lambda x: F.length(F.rtrim(x["text"], F.lit("="))) >= BANDS[0]
-    return out.withColumn("_maybe", F.transform(F.filter("_random", long), _tested)).drop("_clean", "_random")
+    return out.withColumn("_maybe", F.transform(F.concat("_random", "_part"), _tested)).drop("_clean", "_random", "_part")
 
 
 def cutoffs(found: DataFrame, rate: float = RATE) -> dict[int, int]:
@@ -120,13 +121,18 @@ def cutoffs(found: DataFrame, rate: float = RATE) -> dict[int, int]:
 
 
 def spans(found: DataFrame, cut: dict[int, int]) -> DataFrame:
-    """``found`` with ``_base`` and ``_spans``: arrays of start, k (place in KINDS) and end, in that order."""
+    """``found`` with ``_base`` and ``_spans``: arrays of start, k (place in KINDS) and end, in that order.
+
+    A part of a run that counts as a whole is left out.
+    """
     as_base = lambda kind: F.transform(f"_{kind}", lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), x["end"].alias("end")))
     out = found.withColumn("_base", F.array_sort(F.concat(as_base("assign"), as_base("access"), as_base("hex"))))
     held = F.filter("_maybe", lambda m: _passes(m, cut))
     fresh = F.filter(held, lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    more = F.transform(fresh, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("random")).alias("k"), m["end"].alias("end")))
-    return out.withColumn("_spans", F.array_sort(F.concat("_base", more)))
+    out = out.withColumn("_fresh", fresh)
+    whole = F.filter("_fresh", lambda m: ~F.exists("_fresh", lambda o: (o["start"] <= m["start"]) & (m["end"] <= o["end"]) & (o["end"] - o["start"] > m["end"] - m["start"])))
+    more = F.transform(whole, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("random")).alias("k"), m["end"].alias("end")))
+    return out.withColumn("_spans", F.array_sort(F.concat("_base", more))).drop("_fresh")
 
 
 def _passes(m: Column, cut: dict[int, int]) -> Column:
