@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,8 @@ from tidemark.llm.common import running, saved
 CAPACITY = 4096
 #: Words whose ids each worker remembers, and the id that ends a document.
 REMEMBERED, END = 200_000, 1
-#: Fillings enumerated for a bin, and bins branched on, at most, before best fit fills the rest. Each branch costs a
-#: best-fit packing and a copy of the counts, so with many different lengths there are fewer: SPENT over their number.
-FILLINGS, BRANCHES, SPENT = 64, 4000, 40_000
+#: Fillings enumerated for a bin, and bins branched on, at most, before best fit fills the rest.
+FILLINGS, BRANCHES = 64, 4000
 
 
 class WordIds:
@@ -134,23 +134,23 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit packing by decreasing length on counts: (lengths, bins of that kind). Equal bins are filled at once."""
     left = {s: n for s, n in counts.items() if n}
+    sizes = sorted(left)
     out: list[tuple[tuple[int, ...], int]] = []
     while left:
-        bin_, free, used = [], capacity, {}
-        for s in sorted(left, reverse=True):
+        bin_, free, used, at = [], capacity, {}, len(sizes)
+        while free and (at := bisect_right(sizes, free, 0, at) - 1) >= 0:  # the next smaller length that fits
+            s = sizes[at]
             take = min(free // s, left[s])
-            if take:
-                bin_ += [s] * take
-                used[s] = take
-                free -= take * s
-            if not free:
-                break
+            bin_ += [s] * take
+            used[s] = take
+            free -= take * s
         times = min(left[s] // k for s, k in used.items())
         out.append((tuple(bin_), times))
         for s, k in used.items():
             left[s] -= k * times
             if not left[s]:
                 del left[s]
+                del sizes[bisect_right(sizes, s) - 1]
     return out
 
 
@@ -205,39 +205,53 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
 
     Depth first: the largest length left opens a bin, its fillings are tried in order of waste, and one choice is made
     for as many equal bins at once as the counts allow. A branch ends where the waste so far leaves a bound no better
-    than the incumbent. The search starts from the best-fit packing and ends at the lower bound or after as many branches as BRANCHES and SPENT allow.
+    than the incumbent. The search starts from the best-fit packing and ends at the lower bound or after BRANCHES
+    branches. There is one table of counts: a choice changes it, and the way back undoes the change.
     """
     incumbent = best_fit(counts, capacity)
     best, floor = sum(n for _, n in incumbent), lower_bound(counts, capacity)
-    budget = [min(BRANCHES, max(8, SPENT // max(1, len(counts))))]
     total = sum(s * n for s, n in counts.items())
-    stack: list[tuple[dict[int, int], list, int, int]] = [({s: n for s, n in counts.items() if n}, [], 0, 0)]
-    while stack and best > floor and budget[0] > 0:
-        left, done, bins, waste = stack.pop()
-        if -(-(total + waste) // capacity) >= best:
+    left = {s: n for s, n in counts.items() if n}
+    done: list[tuple[tuple[int, ...], int]] = []
+    bins = waste = branches = 0
+    open_ = [[()]]  # at each depth the choices left, the next one last; the root's only choice is none
+
+    def change(lengths: tuple[int, ...], times: int) -> None:
+        for s in lengths:
+            left[s] = left.get(s, 0) - times
+            if not left[s]:
+                del left[s]
+
+    while best > floor and branches < BRANCHES:
+        if not open_[-1]:
+            open_.pop()
+            if not open_ or not done:
+                break
+            lengths, times = done.pop()
+            change(lengths, -times)
+            bins, waste = bins - times, waste - (capacity - sum(lengths)) * times
             continue
-        if not left:
-            incumbent, best = done, bins
+        lengths = open_[-1].pop()
+        if lengths:
+            times = min(left[s] // lengths.count(s) for s in set(lengths))
+            change(lengths, times)
+            done.append((lengths, times))
+            bins, waste = bins + times, waste + (capacity - sum(lengths)) * times
+        open_.append([])
+        if -(-(total + waste) // capacity) >= best:
             continue
         rest = best_fit(left, capacity)
         if bins + (n := sum(n for _, n in rest)) < best:
             incumbent, best = done + rest, bins + n
-            if best <= floor:
-                break
-        budget[0] -= 1
+        if not left or best <= floor:
+            continue
+        branches += 1
         largest = max(left)
-        left[largest] -= 1
-        sizes = sorted((s for s, n in left.items() if n), reverse=True)
+        change((largest,), 1)
+        sizes = sorted(left, reverse=True)
         ways = fillings(sizes, left, capacity - largest) if sizes else [()]
-        left[largest] += 1
-        for way in reversed(ways[:8]):
-            used: dict[int, int] = {largest: 1}
-            for s in way:
-                used[s] = used.get(s, 0) + 1
-            times = min(left[s] // k for s, k in used.items())
-            after = {s: m for s, n in left.items() if (m := n - used.get(s, 0) * times)}
-            spare = (capacity - largest - sum(way)) * times
-            stack.append((after, [*done, ((largest, *way), times)], bins + times, waste + spare))
+        change((largest,), -1)
+        open_[-1] = [(largest, *way) for way in reversed(ways[:8])]
     return incumbent
 
 
