@@ -8,7 +8,7 @@ The plan says how many bins take which lengths; each piece finds its place in it
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -18,23 +18,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import words as W
 from tidemark.llm.common import running, saved
 
 CAPACITY = 4096
-#: Words whose ids each worker remembers, and the id that ends a document.
-REMEMBERED, END = 200_000, 1
-#: Fillings enumerated for a bin, and bins branched on, at most, before best fit fills the rest.
-FILLINGS, BRANCHES = 64, 4000
+#: Unusual words whose ids a worker remembers before it starts anew, the id that ends a document, and no merge.
+REMEMBERED, END, NONE = 50_000, 1, 1 << 30
+#: For each byte: 1 for ASCII letters, 2 for the marks that may follow them, 0 else.
+KIND = np.zeros(256, np.int8)
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[list(b".,;:!?")] = 2
+#: Pieces that fillings of a bin are enumerated around, and bins branched on, at most, before best fit fills the rest.
+FILLINGS, BRANCHES = 24, 4000
 
 
 class WordIds:
-    """Ids of texts, word by word: the vocabulary's rules drop white space, so words are coded apart and remembered.
+    """Ids of texts, word by word: the vocabulary's rules drop white space, so each different word of a batch is coded once.
 
-    A plain word (Latin letters, then marks) is one or two of the vocabulary's own pieces, which its model codes without
-    the cost of finding pieces; all other words go through the whole tokenizer.
+    Plain words (Latin letters, then marks) are most of all words. Their merges are applied to all of them at once, in
+    numpy, by the vocabulary's own table of merges. All other words go through the whole tokenizer.
     """
 
-    PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+    LONGEST = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,51 +47,155 @@ class WordIds:
 
         self.coder = Tokenizer.from_file(path)
         self.coder.no_truncation()
-        self.piece = self.coder.model.tokenize
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.table = {i: shown(chr(i))[0][0] for i in range(33, 256)}  # characters as the vocabulary writes their bytes
-        self.four = [i.to_bytes(4, "little") for i in range(self.coder.get_vocab_size())]
-        self.known: dict[bytes, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-
-    def coded(self, piece: str) -> bytes:
-        four = self.four
-        return b"".join([four[t.id] for t in self.piece(piece.translate(self.table))])
-
-    def word(self, raw: bytes) -> bytes | None:
-        """The ids of a plain word, or None."""
-        found = self.PLAIN.fullmatch(raw.decode())
-        if not found:
-            return None
-        letters, marks = found.groups()
-        end = self.marks.get(marks)
-        if end is None:
-            end = self.marks[marks] = self.coded(marks)
-        return self.coded(letters.lower()) + end
+        self.inner, self.final = np.zeros(256, np.int32), np.zeros(256, np.int32)  # a byte's symbol in a word, and at its end
+        for i in (*range(33, 127), *range(0x80, 0xC0), 0xC3):  # as the vocabulary writes that byte
+            mark = shown(chr(i))[0][0][0 if i == 0xC3 else -1]
+            self.inner[i], self.final[i] = vocab[mark], vocab[mark + end]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        key = np.array([(vocab[a] << 20) + vocab[b] for a, b in pairs], np.int64)
+        into = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        bits = 19
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.full(1 << bits, -1, np.int32)  # merge by hash of its pair; pairs that share a slot follow one another
+        self.keys, self.into = key, into
+        self.steps = 0
+        left, at = np.arange(len(key)), self._slot(key)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) % len(self.slots)
+            self.steps += 1
+        self.other: dict[bytes, np.ndarray] = {}
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _rank(self, key: np.ndarray) -> np.ndarray:
+        """The merge of each pair of symbols, or NONE."""
+        at = self._slot(key)
+        out = np.full(len(key), NONE, np.int64)
+        todo = np.arange(len(key))
+        for _ in range(self.steps):
+            found = self.slots[at[todo]]
+            todo, found = todo[found >= 0], found[found >= 0]
+            hit = self.keys[found] == key[todo]
+            out[todo[hit]] = found[hit]
+            todo = todo[~hit]
+            if not len(todo):
+                break
+            at[todo] = (at[todo] + 1) % len(self.slots)
+        return out
+
+    def merged(self, symbols: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each word) after all merges; ``symbols`` of words of ``lens`` symbols, one after another.
+
+        Each round makes, in every word that has one, the merge that comes first in the table, the leftmost if it's there
+        twice; words without one are done.
+        """
+        which = np.arange(len(lens))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(which):
+            starts = np.cumsum(lens) - lens
+            last = np.zeros(len(symbols), bool)
+            last[starts + lens - 1] = True
+            rank = np.full(len(symbols), NONE, np.int64)
+            first = np.flatnonzero(~last)
+            rank[first] = self._rank((symbols[first].astype(np.int64) << 20) + symbols[first + 1])
+            best = np.minimum.reduceat((rank << 32) + np.arange(len(symbols)), starts)
+            more = (best >> 32) < NONE
+            own = np.repeat(more, lens)
+            if not more.all():
+                out.append((which[~more], symbols[~own], lens[~more]))
+            at = best[more] & 0xFFFFFFFF
+            symbols[at] = self.into[best[more] >> 32]
+            own[at + 1] = False
+            symbols, lens, which = symbols[own], lens[more] - 1, which[more]
+        which = np.concatenate([x[0] for x in out])
+        flat, lens = np.concatenate([x[1] for x in out]), np.concatenate([x[2] for x in out])
+        order = np.argsort(which)
+        return _gathered(flat, (np.cumsum(lens) - lens)[order], lens[order]), lens[order]
+
+    @staticmethod
+    def _letters(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(kind of each byte, bytes in lower case); letters of two bytes are those from U+00C0 to U+00FF."""
+        kind, low = KIND[flat], W.LOWER[flat]
+        second = np.flatnonzero(flat[:-1] == 0xC3) + 1
+        byte = flat[second]
+        letter = (byte >= 0x80) & (byte <= 0xBF) & (byte != 0x97) & (byte != 0xB7)
+        kind[second[letter]] = kind[second[letter] - 1] = 1
+        low[second[letter & (byte <= 0x9E)]] += 32
+        return kind, low
+
+    def distinct(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each word) of words given by place."""
+        kind, low = self._letters(flat)
+        letters, known = np.concatenate([[0], np.cumsum(kind == 1, dtype=np.int32)]), np.concatenate([[0], np.cumsum(kind > 0, dtype=np.int32)])
+        end = begin + size
+        head = letters[end] - letters[begin]  # letters of the word: all in front, if that many bytes in front are letters
+        plain = (known[end] - known[begin] == size) & (letters[begin + head] - letters[begin] == head) & (head > 0) & (size <= self.LONGEST)
+        b, n = begin[plain], size[plain]
+        parts = np.stack([head[plain], n - head[plain]], axis=1).reshape(-1).astype(np.int64)  # letters, and marks, are words of their own to the vocabulary
+        ends = np.cumsum(parts) - 1
+        raw = _gathered(low, b, n)
+        symbols = self.inner[raw]
+        full = parts > 0
+        symbols[ends[full]] = self.final[raw[ends[full]]]
+        ids, sizes = self.merged(symbols, parts[full]) if len(raw) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        lens = np.zeros(len(parts), np.int64)
+        lens[full] = sizes
+        own = lens.reshape(-1, 2).sum(axis=1)
+        rest = np.flatnonzero(~plain)
+        text = flat.tobytes()
+        words = [text[i : i + k] for i, k in zip(begin[rest].tolist(), size[rest].tolist(), strict=True)]
+        known = self.other if len(self.other) < REMEMBERED else self.other.clear() or self.other
+        new = [w for w in words if w not in known]
+        for i in range(0, len(new), 5000):
+            part = new[i : i + 5000]
+            for w, code in zip(part, self.coder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                known[w] = np.array(code.ids, np.int32)
+        others = [known[w] for w in words]
+        every = np.concatenate([ids, *others, np.zeros(0, np.int32)])
+        k = np.zeros(len(begin), np.int64)
+        k[plain], k[rest] = own, [len(x) for x in others]
+        order = np.concatenate([np.flatnonzero(plain), rest])
+        start = np.empty(len(begin), np.int64)
+        start[order] = np.cumsum(k[order]) - k[order]
+        return _gathered(every, start, k), k
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and END, as little-endian unsigned 32-bit numbers."""
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        own = self.known
-        extra: dict[bytes, bytes] = {}
-        other: list[bytes] = []
-        for w in set().union(*words).difference(own):
-            if (ids := self.word(w)) is None:
-                other.append(w)
-            else:
-                extra[w] = ids
-        for i in range(0, len(other), 5000):
-            part = other[i : i + 5000]
-            for w, code in zip(part, self.coder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                extra[w] = np.array(code.ids, "<u4").tobytes()
-        keep = len(own) + len(extra) <= REMEMBERED
-        own.update(extra)
-        end = END.to_bytes(4, "little")
-        out = [b"".join(map(own.__getitem__, ws)) + end for ws in words]
-        if not keep:
-            for w in extra:
-                del own[w]
-        return out
+        raws = [(t or "").encode("utf-8", "replace") for t in texts]
+        hashes, owner, flat, begin, size = W.words(raws, places=True)
+        _, rep, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(hashes):  # words of one hash are one word, by their bytes; else each counts by itself
+            same = size == size[rep[which]]
+            i, j = _places(begin[same], size[same]), _places(begin[rep[which[same]]], size[same])
+            if not same.all() or (flat[i] != flat[j]).any():
+                rep, which = np.arange(len(hashes)), np.arange(len(hashes))
+        ids, k = self.distinct(flat, begin[rep], size[rep])
+        n = k[which]
+        counts = np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64)
+        ends = np.cumsum(counts + 1)
+        out = np.full(int(ends[-1]) if len(ends) else 0, END, "<u4")
+        body = np.ones(len(out), bool)
+        body[ends - 1] = False
+        out[body] = _gathered(ids, (np.cumsum(k) - k)[which], n)
+        raw = out.tobytes()
+        return [raw[4 * (e - c - 1) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each run of ``size`` places."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return flat[_places(begin, size)]
 
 
 _coders: dict[str, WordIds] = {}
@@ -102,7 +211,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             rows, at = [], 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 2_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 4_000_000):
                     size += len(texts[end] or "")
                     end += 1
                 for doc, code in zip(ids[at:end], coder.packed(texts[at:end]), strict=True):
@@ -154,49 +263,68 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return out
 
 
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the pieces of ``b``, largest first, fit together into those of ``a`` as if they were bins: then ``a`` is
+    never worse, for what ``b`` leaves can take the place of what ``a`` leaves."""
+    if len(b) > 12 or sum(b) > sum(a):  # too many to try
+        return False
+
+    def fits(room: list[int], at: int) -> bool:
+        if at == len(b):
+            return True
+        tried = set()
+        for i, r in enumerate(room):
+            if r >= b[at] and r not in tried:
+                tried.add(r)
+                room[i] -= b[at]
+                if fits(room, at + 1):
+                    return True
+                room[i] += b[at]
+        return False
+
+    return fits(list(a), 0)
+
+
 def fillings(sizes: list[int], left: dict[int, int], free: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``free`` (up to three pieces, then the largest that fit), least waste first.
+    """Undominated ways to fill ``free``, least waste first, of those enumerated: each of the FILLINGS largest pieces
+    that fit, with the one or two others that leave least, then the largest that still fit.
 
-    A filling is dominated if one of its pieces could be swapped for a larger one that is left and still fits.
+    A filling whose pieces all fit together into another's pieces is dominated.
     """
     found: dict[tuple[int, ...], int] = {}
-    fit = [s for s in sizes if s <= free]
-    held = set(fit)
-
-    def best_below(room: int) -> int:
-        lo, hi = 0, len(fit)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if fit[mid] > room else (lo, mid)
-        return fit[lo] if lo < len(fit) else 0
+    fit = np.array([s for s in reversed(sizes) if s <= free], np.int64)
 
     def closed(chosen: list[int], room: int) -> None:
-        used: dict[int, int] = {}
-        for s in chosen:
-            used[s] = used.get(s, 0) + 1
-        while room and (s := best_below(room)):
-            while s and used.get(s, 0) >= left[s]:
-                s = best_below(s - 1)
-            if not s:
-                break
-            chosen.append(s)
-            used[s] = used.get(s, 0) + 1
-            room -= s
-        if all(used[s] <= left[s] for s in used):
-            found.setdefault(tuple(sorted(chosen, reverse=True)), room)
+        used = {s: chosen.count(s) for s in chosen}
+        if any(n > left[s] for s, n in used.items()):
+            return
+        at = len(fit)
+        while room > 0 and (at := int(np.searchsorted(fit[:at], room, side="right")) - 1) >= 0:  # the next smaller that fits
+            s = int(fit[at])
+            if (take := min(room // s, left[s] - used.get(s, 0))) > 0:
+                chosen = chosen + [s] * take
+                room -= s * take
+        found.setdefault(tuple(sorted(chosen, reverse=True)), room)
 
     closed([], free)
-    for a in fit[: 4 * FILLINGS]:
-        if free - a in held:
-            closed([a, free - a], 0) if (a != free - a or left[a] > 1) else None
-        closed([a], free - a)
-        if len(found) >= FILLINGS:
-            break
+    heads = fit[::-1][:FILLINGS]
+    if len(heads):
+        under = np.concatenate([[0], fit])  # no piece, or one
+        room = free - heads
+        two = under[np.searchsorted(fit, room, side="right")]
+        rest = room[:, None] - under[None, :]  # after a second piece
+        three = np.where(rest >= 0, under[np.searchsorted(fit, rest.reshape(-1), side="right").reshape(rest.shape)], -1)
+        waste = np.where(rest >= 0, rest - three, free + 1)
+        pick = waste.argmin(axis=1)
+        for i, a in enumerate(heads.tolist()):
+            closed([x for x in (a, int(two[i])) if x], free - a - int(two[i]))
+            b, c = int(under[pick[i]]), int(three[i, pick[i]])
+            closed([x for x in (a, b, c) if x], free - a - b - c)
     ranked = sorted(found.items(), key=lambda x: (x[1], tuple(-s for s in x[0])))
     kept: list[tuple[int, ...]] = []
-    for pieces_, waste in ranked[:FILLINGS]:
-        if not any(len(k) <= len(pieces_) and all(x >= y for x, y in zip(k, pieces_, strict=False)) and len(k) == len(pieces_) for k in kept if k != pieces_) or not waste:
-            kept.append(pieces_)
+    for way, _ in ranked:
+        if not any(dominates(k, way) for k in kept):
+            kept.append(way)
     return kept
 
 
@@ -251,7 +379,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         sizes = sorted(left, reverse=True)
         ways = fillings(sizes, left, capacity - largest) if sizes else [()]
         change((largest,), -1)
-        open_[-1] = [(largest, *way) for way in reversed(ways[:8])]
+        open_[-1] = [(largest, *way) for way in reversed(ways)]
     return incumbent
 
 

@@ -53,8 +53,10 @@ def batches(texts: list[str | None], most: int = BYTES) -> Iterator[tuple[int, l
         yield at, part
 
 
-def words(raws: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, text of each word, the joined bytes); texts are joined by line ends, so no word spans two."""
+def words(raws: list[bytes], fold: bool = False, places: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash of each word, text of each word, the joined bytes); texts are joined by line ends, so no word spans two.
+
+    With ``places`` also where each word begins in the joined bytes, and its bytes."""
     joined = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
     flat = LOWER[joined] if fold else joined
     inside = ~SPACE[flat]
@@ -65,7 +67,8 @@ def words(raws: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray
     np.cumsum(flat.astype(np.uint64) * p[: len(flat)], out=sums[1:])
     hashes = mixed((sums[end] - sums[begin]) * q[begin] + (end - begin).astype(np.uint64) * _MIX[2])
     bounds = np.cumsum([len(r) + 1 for r in raws])
-    return hashes, np.searchsorted(bounds, begin, side="right"), joined
+    out = hashes, np.searchsorted(bounds, begin, side="right"), joined
+    return (*out, begin, end - begin) if places else out
 
 
 def windows(hashes: np.ndarray, owner: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
