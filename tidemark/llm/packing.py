@@ -211,7 +211,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             rows, at = [], 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 4_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 1_500_000):
                     size += len(texts[end] or "")
                     end += 1
                 for doc, code in zip(ids[at:end], coder.packed(texts[at:end]), strict=True):
@@ -286,8 +286,8 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
 
 
 def fillings(sizes: list[int], left: dict[int, int], free: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``free``, least waste first, of those enumerated: each of the FILLINGS largest pieces
-    that fit, with the one or two others that leave least, then the largest that still fit.
+    """Undominated ways to fill ``free``, least waste first, of those enumerated: the FILLINGS pairs that leave least,
+    and each of the FILLINGS largest pieces with the two others that leave least; then the largest that still fit.
 
     A filling whose pieces all fit together into another's pieces is dominated.
     """
@@ -310,14 +310,15 @@ def fillings(sizes: list[int], left: dict[int, int], free: int) -> list[tuple[in
     heads = fit[::-1][:FILLINGS]
     if len(heads):
         under = np.concatenate([[0], fit])  # no piece, or one
-        room = free - heads
-        two = under[np.searchsorted(fit, room, side="right")]
-        rest = room[:, None] - under[None, :]  # after a second piece
+        pair = under[np.searchsorted(fit, free - fit, side="right")]
+        for i in np.argsort(free - fit[::-1] - pair[::-1], kind="stable")[:FILLINGS].tolist():  # two pieces that leave least
+            a, b = int(fit[-1 - i]), int(pair[-1 - i])
+            closed([x for x in (a, b) if x], free - a - b)
+        rest = (free - heads)[:, None] - under[None, :]  # after a second piece
         three = np.where(rest >= 0, under[np.searchsorted(fit, rest.reshape(-1), side="right").reshape(rest.shape)], -1)
         waste = np.where(rest >= 0, rest - three, free + 1)
         pick = waste.argmin(axis=1)
         for i, a in enumerate(heads.tolist()):
-            closed([x for x in (a, int(two[i])) if x], free - a - int(two[i]))
             b, c = int(under[pick[i]]), int(three[i, pick[i]])
             closed([x for x in (a, b, c) if x], free - a - b - c)
     ranked = sorted(found.items(), key=lambda x: (x[1], tuple(-s for s in x[0])))
