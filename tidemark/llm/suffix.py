@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from tidemark.llm.common import saved
 
 #: Bytes that a repeat has at least, and bytes hashed to a seed.
 LEAST, SEED = 50, 28
+#: Parts that rows of one text are dealt to.
+SALTS = 32
 #: Bytes of text for a bucket or group, about; buckets at least; bytes of texts in a batch; bytes of bodies in an index; bytes hashed at once.
 BUCKET, LEAST_BUCKETS, BATCH, INDEX, HASHED = 8_000_000, 64, 4_000_000, 100_000, 200_000
 
@@ -91,10 +94,6 @@ def _stretches(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return low[begin].view(np.int64), text, begin - starts[text], count
 
 
-def _bytes(*arrays: np.ndarray) -> list[bytes]:
-    return [np.ascontiguousarray(a).tobytes() for a in arrays]
-
-
 def _home(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (W.mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
@@ -107,8 +106,28 @@ def _parts(to: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         yield b, order[cuts[b] : cuts[b + 1]]
 
 
-def _joined(column: pd.Series, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column if x is not None), kind)
+def _lean(ids: np.ndarray) -> bytes:
+    """Whole numbers in four bytes each, as distances from the smallest, where that is enough, else in eight."""
+    base = int(ids.min()) if len(ids) else 0
+    if len(ids) and int(ids.max()) - base < 1 << 32:
+        return b"4" + base.to_bytes(8, "little", signed=True) + (ids - base).astype("<u4").tobytes()
+    return b"8" + np.ascontiguousarray(ids, np.int64).tobytes()
+
+
+def _wide(cell: bytes) -> np.ndarray:
+    if cell[:1] == b"4":
+        return np.frombuffer(cell, "<u4", offset=9).astype(np.int64) + int.from_bytes(cell[1:9], "little", signed=True)
+    return np.frombuffer(cell[1:], np.int64)
+
+
+def _joined(column: pd.Series) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[_wide(x) for x in column if x is not None]])
+
+
+def _short(seed: np.ndarray, buckets: int) -> np.ndarray:
+    """Seeds as bucket * 2 ** 32 and 32 further bits: seeds of a bucket that agree in these only mean a body more."""
+    own = seed.view(np.uint64)
+    return (((own % np.uint64(buckets)) << np.uint64(32)) | ((own // np.uint64(buckets)) & np.uint64(0xFFFFFFFF))).view(np.int64)
 
 
 def _grouped(docs: DataFrame, buckets: int) -> DataFrame:
@@ -134,6 +153,7 @@ def seeds(docs: DataFrame, buckets: int) -> DataFrame:
                 seed, text, _, _ = stretches(list(first))
                 if not len(seed):
                     continue
+                seed = _short(seed, buckets)
                 doc = ids[at + mine[text]]
                 order = np.lexsort((doc, seed))
                 seed, doc = seed[order], doc[order]
@@ -143,8 +163,12 @@ def seeds(docs: DataFrame, buckets: int) -> DataFrame:
                 head = np.ones(len(seed), bool)
                 head[1:] = seed[1:] != seed[:-1]
                 both = ~head | ~np.append(head[1:], True)
-                rows = [(b, *_bytes(seed[head][o], doc[head][o])) for b, o in _parts((seed[head].view(np.uint64) % np.uint64(buckets)).astype(np.int64), buckets)]
-                rows += [(-1 - b, *_bytes(seed[both][o], doc[both][o])) for b, o in _parts(_home(doc[both], buckets), buckets)]
+                rows = []
+                one, own = seed[head], doc[head]
+                for b, o in _parts(one >> 32, buckets):
+                    o = o[np.argsort(own[o], kind="stable")]  # documents in order take less room
+                    rows.append((b, _lean(one[o]), _lean(own[o])))
+                rows += [(-1 - b, _lean(seed[both][o]), _lean(doc[both][o])) for b, o in _parts(_home(doc[both], buckets), buckets)]
                 yield pd.DataFrame(rows, columns=["bucket", "seeds", "docs"])
 
     return docs.select("doc_id", "text").mapInPandas(told, "bucket int, seeds binary, docs binary")
@@ -156,14 +180,14 @@ def shared(dealt: DataFrame, buckets: int) -> DataFrame:
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket, seed, doc = int(pdf["bucket"].iloc[0]), _joined(pdf["seeds"]), _joined(pdf["docs"])
         if bucket < 0:
-            return pd.DataFrame([(-1 - bucket, *_bytes(seed, doc))], columns=["home", "seeds", "docs"])
+            return pd.DataFrame([(-1 - bucket, _lean(seed), _lean(doc))], columns=["home", "seeds", "docs"])
         order = np.argsort(seed)
         seed, doc = seed[order], doc[order]
         starts = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
         counts = np.diff(np.append(starts, len(seed)))
         many = np.repeat(np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts), counts)
         seed, doc = seed[many], doc[many]
-        return pd.DataFrame([(b, *_bytes(seed[o], doc[o])) for b, o in _parts(_home(doc, buckets), buckets)], columns=["home", "seeds", "docs"])
+        return pd.DataFrame([(b, _lean(seed[o]), _lean(doc[o])) for b, o in _parts(_home(doc, buckets), buckets)], columns=["home", "seeds", "docs"])
 
     return dealt.groupBy("bucket").applyInPandas(find, "home int, seeds binary, docs binary")
 
@@ -171,7 +195,7 @@ def shared(dealt: DataFrame, buckets: int) -> DataFrame:
 class Group:
     """The texts of a group that have shared seeds, their stretches with such a seed, and their different bodies."""
 
-    def __init__(self, texts: pd.DataFrame, seed: np.ndarray, doc: np.ndarray):
+    def __init__(self, texts: pd.DataFrame, seed: np.ndarray, doc: np.ndarray, buckets: int):
         known = set(np.unique(doc).tolist())
         rows = sorted({(int(k), (t or "").encode("utf-8", "replace")) for k, t in zip(texts["doc_id"], texts["text"], strict=True) if int(k) in known})
         self.ids = np.array([k for k, _ in rows], np.int64)
@@ -182,6 +206,7 @@ class Group:
         found: list[list[np.ndarray]] = [[], [], [], []]
         for at, part in _parted(self.raws, BATCH):
             s, t, b, n = stretches(part)
+            s = _short(s, buckets)
             held = np.isin(W.mixed(s.view(np.uint64)) ^ W.mixed(self.ids[at + t].view(np.uint64) + np.uint64(1)), pairs) if len(s) else np.zeros(0, bool)
             for column, x in zip(found, (s, t + at, b, n), strict=True):
                 column.append(x[held])
@@ -229,7 +254,7 @@ class Group:
 
 
 def suffixes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, text) of bodies joined by zeros, which count as different; sorted by LEAST bytes at least."""
+    """(suffix array, text) of bodies joined by zeros, which count as different; sorted by more than LEAST bytes."""
     text = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
     n = len(text)
     ends = np.cumsum([len(b) + 1 for b in bodies]) - 1
@@ -255,27 +280,45 @@ def suffixes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def together(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(interval by rank, rank by position) of all suffixes: one interval for those that share LEAST bytes.
 
-    Level by level: two neighbours in the suffix array part at level l if they start with different bytes (l = 1), or if
-    the suffixes behind these bytes parted at level l - 1. In the transform this extends every interval of level l - 1 by
-    all bytes to its left at once. Neighbours that have parted aren't looked at again.
+    Breadth first over intervals of the suffix array: those of all strings of ``l`` bytes that were new at their level
+    are extended to the left by every byte that the transform holds in them, each by the first and the last place where
+    it stands there (last-to-first mapping). The end of an extended interval that no shorter string has set is where two
+    neighbours share just ``l`` bytes; so common prefixes come by increasing value, and intervals that bring no new end
+    aren't followed. At LEAST it stops: neighbours without an end between them share more.
     """
     order, text = suffixes(bodies)
     n = len(order)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    behind = rank[np.minimum(order + 1, n - 1)]  # where each suffix, less its first byte, stands
-    first = text[order]
-    parted = np.ones(n, bool)
-    parted[1:] = (first[1:] != first[:-1]) | (first[1:] == 0) & np.isin(order[1:], np.cumsum([len(b) + 1 for b in bodies]) - 1)
-    whole = np.flatnonzero(~parted)
-    for _ in range(LEAST - 1):
-        if not len(whole):
+    symbol = text.astype(np.int16) + 1
+    symbol[np.cumsum([len(b) + 1 for b in bodies]) - 1] = 0  # ends of bodies, each unlike all others
+    bwt = symbol[order - 1]
+    sorted_ = np.argsort(bwt, kind="stable")
+    to = np.empty(n, np.int64)  # C[c] + Occ(c, place)
+    to[sorted_] = np.arange(n)
+    same = bwt[sorted_[1:]] == bwt[sorted_[:-1]]
+    after, before = np.full(n, n), np.full(n, -1)  # the next and the last place of the same byte in the transform
+    after[sorted_[:-1][same]] = sorted_[1:][same]
+    before[sorted_[1:][same]] = sorted_[:-1][same]
+    inner = bwt > 0
+    parted = np.zeros(n + 1, bool)
+    parted[[0, n]] = True
+    lb, rb = np.zeros(1, np.int64), np.full(1, n - 1)
+    for level in range(LEAST):
+        size = rb - lb + 1
+        which = np.repeat(np.arange(len(lb)), size)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + lb[which]
+        keep = inner[at]
+        at, which = at[keep], which[keep]
+        first, last = np.sort(to[at[before[at] < lb[which]]]), np.sort(to[at[after[at] > rb[which]]])
+        if not level:  # the ends of bodies are intervals of one suffix each
+            first, last = np.append(np.arange(len(bodies)), first), np.append(np.arange(len(bodies)), last)
+        new = ~parted[last + 1]
+        parted[last + 1] = True
+        lb, rb = first[new], last[new]
+        if not len(lb):
             break
-        interval = np.cumsum(parted, dtype=np.int32)
-        split = interval[behind[whole]] != interval[behind[whole - 1]]
-        parted[whole[split]] = True
-        whole = whole[~split]
-    return np.cumsum(parted) - 1, rank
+    return np.cumsum(parted[:n]) - 1, rank
 
 
 def smallest(bodies: list[bytes], low: np.ndarray) -> list[np.ndarray]:
@@ -310,8 +353,9 @@ def answers(bodies: DataFrame) -> DataFrame:
     """By group: runs of windows of its bodies, with the smallest document that has them."""
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        text = pdf["bodies"].tolist()
-        home = np.repeat(pdf["home"].to_numpy(), [len(x) // 8 for x in pdf["lens"]])
+        grow = zstandard.ZstdDecompressor().decompress
+        text = [grow(x) for x in pdf["bodies"]]
+        home = np.repeat(pdf["home"].to_numpy(), [len(_wide(x)) for x in pdf["lens"]])
         at, low, lens, seed = _joined(pdf["at"]), _joined(pdf["low"]), _joined(pdf["lens"]), _joined(pdf["seeds"])
         names: dict[bytes, int] = {}
         flat, ends = b"".join(text), np.cumsum(lens)
@@ -348,7 +392,7 @@ def answers(bodies: DataFrame) -> DataFrame:
             own = np.flatnonzero(home == h)
             k = n[which[own]]
             run = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(base[which[own]], k)
-            rows.append((h, *_bytes(np.repeat(at[own], k), start[run], end[run], best[run])))
+            rows.append((h, _lean(np.repeat(at[own], k)), _lean(start[run]), _lean(end[run]), _lean(best[run])))
         return pd.DataFrame(rows, columns=["home", "at", "start", "end", "low"])
 
     return bodies.groupBy("bucket").applyInPandas(answer, "home int, at binary, start binary, end binary, low binary")
@@ -367,13 +411,14 @@ def spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         names = ["bucket", "home", "at", "seeds", "low", "lens", "bodies"]
         if not len(own) or not len(keys):
             return pd.DataFrame([], columns=names)
-        group = Group(own, _joined(keys["seeds"]), _joined(keys["docs"]))
+        group = Group(own, _joined(keys["seeds"]), _joined(keys["docs"]), buckets)
         seed, low = group.dealt()
         every = list(group.bodies)
         rows = []
-        for b, o in _parts((seed.view(np.uint64) % np.uint64(buckets)).astype(np.int64), buckets):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b, o in _parts(seed >> 32, buckets):
             part = [every[i] for i in o.tolist()]
-            rows.append((b, int(own["home"].iloc[0]), *_bytes(o.astype(np.int64), seed[o], low[o], np.array([len(x) for x in part], np.int64)), b"".join(part)))
+            rows.append((b, int(own["home"].iloc[0]), _lean(o), _lean(seed[o]), _lean(low[o]), _lean(np.array([len(x) for x in part])), squeeze(b"".join(part))))
         return pd.DataFrame(rows, columns=names)
 
     bodies = texts.groupBy("home").cogroup(known.groupBy("home")).applyInPandas(deal, "bucket int, home int, at binary, seeds binary, low binary, lens binary, bodies binary")
@@ -384,7 +429,7 @@ def spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         names = ["doc_id", "sha", "n_removed", "n_spans", "kept_sha256", "kept"]
         if not len(own) or not len(rest):
             return pd.DataFrame([], columns=names)
-        group = Group(own, _joined(rest["seeds"]), _joined(rest["docs"]))
+        group = Group(own, _joined(rest["seeds"]), _joined(rest["docs"]), buckets)
         rows = group.cut(*[_joined(rest[c]) for c in ("at", "start", "end", "low")])
         return pd.DataFrame([(*r[:5], r[5].decode("utf-8", "replace") if keep_text else None) for r in rows], columns=names)
 
@@ -400,9 +445,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = saved(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")))
-    first = slim.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("_first"))
+    first = slim.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     found = spans(docs).drop("kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "sha", "n_removed", "n_spans", "kept_sha256")
-    rows = slim.join(first, "sha", "left").join(found, ["doc_id", "sha"], "left")
+    # very many documents may have one text: rows are dealt by its hash and a number, over which its first document is spread
+    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = slim.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(first, ["sha", "_salt"], "left").join(found, ["doc_id", "sha"], "left")
     copy = (F.col("doc_id") > F.col("_first")) & (F.col("n_bytes") >= LEAST)
     value = lambda name, all_, none: F.when(copy, all_).otherwise(F.coalesce(F.col(name), none)).alias(name)
     return rows.select("doc_id", "n_bytes", value("n_removed", F.col("n_bytes"), F.lit(0)), value("n_spans", F.lit(1), F.lit(0)), value("kept_sha256", F.sha2(F.lit(""), 256), F.col("sha")))
