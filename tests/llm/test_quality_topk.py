@@ -81,16 +81,43 @@ def brute(vectors, k):
     return sorted(out)
 
 
-def test_search_matches_brute_force(spark):
+def test_search_matches_brute_force(spark, monkeypatch):
     g = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in np.float32(g.normal(0, 0.2, 16))]) for i in range(1500)]
     vectors += [(1500 + i, vectors[7][1]) for i in range(60)]  # ties
     vectors += [(2000, None), (2020, [1.0] * 15 + [None]), (2040, [float("nan")] * 16), (2060, [float("inf")] * 16), (2080, [0.0] * 16)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(4)
     for blocks in (32, 2):
-        topk.LEAST_BLOCKS = blocks
+        monkeypatch.setattr(topk, "LEAST_BLOCKS", blocks)
         got = topk.search(df).collect()
         assert sorted(tuple(r) for r in got) == brute(vectors, 20)
     few = spark.createDataFrame(vectors[:5], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in topk.search(few).collect()) == brute(vectors[:5], 20)
     assert topk.search(df.limit(0)).count() == 0
+
+
+def test_reading_stops_when_outsiders_cannot_qualify():
+    g = np.random.default_rng(5)
+    cand = np.floor(g.pareto(1.2, (3000, 6)) * 20)  # few large values: the heads of the lists decide
+    queries = np.abs(np.floor(g.normal(0, 20, (8, 6))))
+    found, shares = topk.Lists(cand).best(queries, np.zeros((8, 3000), bool), 5)
+    assert len(shares) < len(topk.ROUNDS) and shares[0] < 0.2 and shares == sorted(shares, reverse=True)
+    for q, (held, scores) in zip(queries, found):
+        assert len(held) <= 5 and sorted(scores) == sorted(cand @ q)[-len(held) :]
+
+
+def test_bounds_hold_every_score_at_any_depth():
+    g = np.random.default_rng(6)
+    cand, queries = np.floor(g.normal(0, 30, (200, 9))), np.floor(g.normal(0, 30, (5, 9)))
+    lists = topk.Lists(cand)
+    for depth in (1, 17, 100, 150, 200):
+        low, high = lists.bounds(np.arange(200), queries, depth)
+        assert (low <= queries @ cand.T).all() and (queries @ cand.T <= high).all()
+    assert (low == high).all()
+
+
+def test_repeated_ids_and_extra_columns(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as rank", "'x' as score")
+    got = [tuple(r) for r in topk.search(df).orderBy("query_id", "rank").collect()]
+    assert [g[:3] for g in got] == [(0, 1, 3), (0, 2, 3), (0, 3, 20), (20, 1, 3), (20, 2, 3), (20, 3, 0), (20, 4, 0)]

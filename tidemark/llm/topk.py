@@ -2,9 +2,10 @@
 
 Queries and candidates are dealt into blocks of bounded size, each pair of blocks is one group. In a group every
 dimension is a list of candidates sorted by their value, read from the end that a query's sign favours. Lists are read
-in rounds, in step; for each query the known part of a candidate's score and the last values read bound it from below
-and above. Reading stops when no candidate outside the k best lower bounds can still qualify, or at the last round;
-the final scores of those that may are then resolved. The k best of each block merge into the k best of all.
+in rounds, in step, ever deeper; for each query the known part of a candidate's score and the last values read bound it
+from below and above. A candidate whose upper bound is under the k-th best lower bound is out and isn't looked at again.
+Reading stops when no more than k candidates are left, whose final scores are then resolved, or at the lists' end, where
+all that is left is known. The k best of each block merge into the k best of all.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 SCALE = 64
 #: Rows of a block at most, about; candidates' blocks at least; queries bounded at once.
-BLOCK, LEAST_BLOCKS, QUERIES = 4096, 32, 512
+BLOCK, LEAST_BLOCKS, QUERIES = 4096, 8, 64
 #: Shares of the lists that have been read after each round.
-ROUNDS = (0.25, 0.5)
+ROUNDS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 1)
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -28,49 +29,64 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return usable.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
 
-def bounded(cand: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
-    """Whether each candidate (column) may be among a query's (row's) k best; own: pairs of a row with itself."""
-    n, dims = cand.shape
-    if n <= 4 * k:
-        return ~own
-    order = np.argsort(cand, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
-    ordered = np.take_along_axis(cand, order, axis=0)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    may = ~own
-    for share in ROUNDS:
-        depth = max(1, int(n * share))
-        high, low = rank >= n - depth, rank < depth  # read so far from the upper and from the lower end
+class Lists:
+    """The candidates of a block as one sorted list a dimension."""
+
+    def __init__(self, cand: np.ndarray):
+        self.cand, self.n = cand, len(cand)
+        order = np.argsort(cand, axis=0, kind="stable")
+        self.ordered = np.take_along_axis(cand, order, axis=0)  # each list's values, the smallest first
+        self.rank = np.empty_like(order)  # each candidate's place in each list
+        np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(self.n)[:, None], order.shape), axis=0)
+
+    def bounds(self, rows: np.ndarray, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(lower, upper) bounds of the scores of candidates ``rows`` (columns) for queries (rows), ``depth`` entries of
+        each list having been read. What isn't read lies between the last value read and the list's other end."""
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        cand, rank = self.cand[rows], self.rank[rows]
+        high, low = rank >= self.n - depth, rank < depth  # read from the upper and from the lower end
         known = np.where(high, cand, 0) @ up.T + np.where(low, cand, 0) @ down.T
-        # unread values lie between the last one read and the list's other end
-        above = (~high).astype(float) @ (up * ordered[n - depth]).T + (~low).astype(float) @ (down * ordered[depth - 1]).T
-        below = (~high).astype(float) @ (up * ordered[0]).T + (~low).astype(float) @ (down * ordered[n - 1]).T
-        lower = np.where(own, -np.inf, (known + below).T)
-        kth = np.partition(lower, n - k, axis=1)[:, n - k]
-        may &= (known + above).T >= kth[:, None]
-        if may.sum() <= 2 * k * len(queries):
-            break
-    return may
+        above = (~high) @ (up * self.ordered[self.n - depth]).T + (~low) @ (down * self.ordered[depth - 1]).T
+        below = (~high) @ (up * self.ordered[0]).T + (~low) @ (down * self.ordered[-1]).T
+        return (known + below).T, (known + above).T
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[float]]:
+        """(candidates, scores) that may be among each query's k best, all k best among them; own: pairs of a row with
+        itself. Besides, the share of pairs still open after each round."""
+        open_, shares, done = ~own, [], np.zeros(len(queries), bool)
+        for share in ROUNDS:
+            live = np.flatnonzero(~done)
+            if not len(live):
+                break
+            depth = max(1, int(self.n * share))
+            rows = np.flatnonzero(open_[live].any(axis=0))
+            lower, upper = self.bounds(rows, queries[live], depth)
+            mine = open_[np.ix_(live, rows)]
+            lower[~mine] = -np.inf
+            if len(rows) > k:
+                kth = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k]
+                mine &= upper >= kth[:, None]
+                open_[np.ix_(live, rows)] = mine
+            done[live] = mine.sum(axis=1) <= k  # no outsider can qualify
+            shares.append(float(open_.mean()))
+        out = []
+        for q, left in zip(queries, open_, strict=True):
+            held = np.flatnonzero(left)
+            out.append((held, self.cand[held] @ q))
+        return out, shares
 
 
 def best(cand: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple]:
     """(query, candidate, score) of each query's k best among the candidates, ties to smaller ids."""
     order = np.argsort(ids, kind="stable")
     cand, ids = cand[order], ids[order]
-    out = []
+    lists, out = Lists(cand), []
     for at in range(0, len(queries), QUERIES):
         q, q_ids = queries[at : at + QUERIES], query_ids[at : at + QUERIES]
-        may = bounded(cand, q, k, q_ids[:, None] == ids[None, :])
-        held = np.flatnonzero(may.any(axis=0))
-        scores = np.where(may[:, held], q @ cand[held].T, -np.inf)
-        for i, row in enumerate(scores):
-            live = np.flatnonzero(row > -np.inf)
-            if len(live) > k:
-                kth = np.partition(row[live], len(live) - k)[len(live) - k]
-                live = live[row[live] >= kth]
-            top = live[np.argsort(-row[live], kind="stable")][:k]
-            out += [(q_ids[i], ids[held[j]], int(row[j])) for j in top]
+        found, _ = lists.best(q, q_ids[:, None] == ids[None, :], k)
+        for i, (held, scores) in enumerate(found):
+            top = np.argsort(-scores, kind="stable")[:k]
+            out += [(q_ids[i], ids[held[j]], int(scores[j])) for j in top]
     return out
 
 
