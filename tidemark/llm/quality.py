@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,8 @@ from tidemark.llm.common import saved
 RISK, LEVEL = 0.0125, 0.05
 #: Rules: the statistic (0 to 1, or scaled to it) of which more is worse.
 RULES = ("symbols", "dup_lines", "repeats", "long_words")
-#: Cutoffs tried, from 1 down; strata with cutoffs of their own at most (those with most labels), the rest are one.
-STEPS, STRATA = 100, 64
+#: Cutoffs tried, from 1 down.
+STEPS = 100
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -84,12 +86,30 @@ def statistics(name: str):
 
 
 def tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X binomial(n, p), exactly up to rounding."""
+    """P(X <= k) for X binomial(n, p), exactly up to rounding: the regularised incomplete beta function at 1 - p, by its
+    continued fraction, whose cost hardly grows with n."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    a, b, x = float(n - k), float(k + 1), 1.0 - p
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        return min(1.0, front * _fraction(a, b, x) / a)
+    return max(0.0, 1.0 - front * _fraction(b, a, 1 - x) / b)
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, evaluated from the front."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1) or tiny)
+    out, m = d, 0
+    while True:
+        m += 1
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + top * d or tiny)
+            c = 1.0 + top / c or tiny
+            out *= c * d
+        if abs(c * d - 1.0) < 1e-14:
+            return out
 
 
 def choose(good: np.ndarray, bad: np.ndarray, level: float, risk: float = RISK) -> int | None:
@@ -104,23 +124,21 @@ def choose(good: np.ndarray, bad: np.ndarray, level: float, risk: float = RISK)
     return best
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> tuple[list[str], dict[tuple[str, str], int]]:
-    """Strata with cutoffs of their own, and the step taken by stratum and rule.
+def cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[tuple[str, str], int]:
+    """The step taken by stratum and rule; every stratum is tested by itself.
 
-    What comes to the driver is at most STRATA + 1 strata times rules times steps times two counts.
+    What comes to the driver is at most strata (languages) times rules times steps times two counts.
     """
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     # equal ids share a label; labelled rows only, narrow
-    known = saved(counted.filter(~base_failed()).join(marks, "doc_id").select("_quality", F.coalesce("lang", F.lit("")).alias("stratum"), *[F.floor(statistics(r) * STEPS).cast("int").alias(r) for r in RULES]))
-    strata = [r["stratum"] for r in known.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(STRATA).collect()]
-    named = F.when(F.col("stratum").isin(strata), F.col("stratum")) if strata else F.lit(None).cast("string")
-    long = known.select("_quality", named.alias("stratum"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])).alias("x"))
+    known = counted.filter(~base_failed()).join(marks, "doc_id").select("_quality", F.coalesce("lang", F.lit("")).alias("stratum"), *[F.floor(statistics(r) * STEPS).cast("int").alias(r) for r in RULES])
+    long = known.select("_quality", "stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])).alias("x"))
     rows = long.groupBy("stratum", "x.rule", "x.step", (F.col("_quality") > 0).alias("good")).count().collect()
     tables: dict[tuple[str, str], np.ndarray] = {}
     for r in rows:
         tables.setdefault((r["stratum"], r["rule"]), np.zeros((2, STEPS + 1), np.int64))[int(r["good"]), r["step"]] += r["count"]
     each = level / max(1, len(tables))
-    return strata, {k: step for k, t in tables.items() if (step := choose(t[1], t[0], each, risk)) is not None}
+    return {k: step for k, t in tables.items() if (step := choose(t[1], t[0], each, risk)) is not None}
 
 
 def base_failed():
@@ -135,10 +153,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float =
     labels no cutoff is certified, and what passes the base rules is kept. Repeated rows are judged alike.
     """
     counted = saved(counts(docs))
-    strata, cut = cutoffs(counted, labels, risk, level)
-    stratum = F.coalesce("lang", F.lit(""))
-    rejected = F.lit(False)
-    for (name, rule), step in sorted(cut.items(), key=str):
-        where = stratum == name if name is not None else ~stratum.isin(strata)
-        rejected = rejected | (where & (F.floor(statistics(rule) * STEPS) >= step))
+    cut = cutoffs(counted, labels, risk, level)
+    rows = [(name, *[cut.get((name, rule), STEPS + 1) for rule in RULES]) for name in sorted({name for name, _ in cut})]
+    table = counted.sparkSession.createDataFrame(rows, ", ".join(["_stratum string", *[f"_{r} int" for r in RULES]]))
+    # a row per stratum at most
+    counted = counted.join(F.broadcast(table), F.coalesce("lang", F.lit("")) == F.col("_stratum"), "left")
+    rejected = F.coalesce(reduce(or_, [F.floor(statistics(r) * STEPS) >= F.col(f"_{r}") for r in RULES]), F.lit(False))
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
