@@ -13,16 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of labelled text for each language's automaton, at most; and how many labelled documents are drawn for
 #: each language, about, to get them.
 SAMPLE_CHARS, SAMPLE_DOCS = 32_768, 120
-#: Languages learned, at most (the most frequent ones).
-LANGUAGES = 64
-#: Characters parsed without a break, and lanes parsed in step.
-SEGMENT, LANES = 256, 8192
+#: Characters parsed without a break, lanes parsed in step, and characters of text handled at once.
+SEGMENT, LANES, BATCH = 1024, 2048, 1_000_000
 
 
 def held_out():
@@ -31,19 +29,21 @@ def held_out():
 
 
 def samples(docs: DataFrame) -> dict[str, str]:
-    """Labelled text by language, at most LANGUAGES times SAMPLE_CHARS characters.
+    """Labelled text by language, at most SAMPLE_CHARS characters of each; every language is learned.
 
-    Documents are drawn by the hash of their ids, at a rate from each language's count, so that nothing is sorted or
-    grouped and the driver gets a few hundred documents' leading SAMPLE_CHARS characters, whatever the table's size.
+    Documents are drawn by the hash of their ids, at a rate from each language's count, so that nothing large is sorted or
+    grouped and the driver gets a few hundred documents' leading SAMPLE_CHARS characters a language, whatever the
+    table's size.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return {}
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE_DOCS / r["count"]))])
+    counts = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE_DOCS)) / F.count("*")).alias("rate"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.filter(draw < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)))
-    rows = chosen.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("at")).limit(LANGUAGES * SAMPLE_DOCS * 2).collect()
+    # a row per language: as many as labels there are
+    chosen = known.join(F.broadcast(counts), "lang").filter(draw < F.col("rate"))
+    at = F.xxhash64("doc_id", "text").alias("at")
+    order = Window.partitionBy("lang").orderBy("at", "text")  # of the few drawn; ids that are very often repeated can't add more
+    drawn = chosen.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), at).withColumn("nth", F.row_number().over(order))
+    rows = drawn.filter(F.col("nth") <= 2 * SAMPLE_DOCS).collect()
     rows.sort(key=lambda r: (r["lang"], r["at"], r["text"]))
     out: dict[str, list[str]] = {}
     for r in rows:
@@ -87,8 +87,8 @@ class Parser:
         keep[1:] = (classes[1:] != 1) | (classes[:-1] != 1)
         return classes[keep]
 
-    def automaton(self, text: list[int]) -> np.ndarray:
-        """The suffix automaton's transitions: state * width + class -> state; 1 is the start, 0 none."""
+    def automaton(self, text: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffix automaton's transitions, packed; state 1 is the start, 0 none."""
         edges: list[dict[int, int]] = [{}, {}]
         link, length, last = [0, 0], [0, 0], 1
         for c in text:
@@ -114,26 +114,49 @@ class Parser:
                         edges[p][c] = copy
                         p = link[p]
             last = new
-        table = np.zeros((len(edges), self.width), np.int32)
-        for state, out in enumerate(edges):
-            if out:
-                table[state, list(out)] = list(out.values())
-        return table.reshape(-1)
-
-    def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases by language and lane; lanes: SEGMENT x lanes classes, -1 past the end of a text."""
+        return self.packed(edges)
+
+    def packed(self, edges: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Transitions as (base, owner, to): class c leads from a state to ``to[base + c]`` if ``owner`` there is the state.
+
+        States share one array, each where its classes find free places, so its size follows the number of edges.
+        """
+        most = sum(map(len, edges)) * 4 + 4 * self.width
+        used, base = bytearray(most), np.zeros(len(edges), np.int64)
+        owner, to = np.full(most, -1, np.int32), np.zeros(most, np.int32)
+        at: dict[int, int] = {}
+        for state in sorted(range(len(edges)), key=lambda i: -len(edges[i])):
+            out = edges[state]
+            if not out:
+                continue
+            classes = sorted(out)
+            low, degree = classes[0], len(classes)
+            place = used.find(0, max(at.get(degree, 0), low))
+            while any(used[place - low + c] for c in classes):
+                place = used.find(0, place + 1)
+            at[degree] = place
+            base[state] = place - low
+            for c, target in out.items():
+                used[place - low + c] = 1
+                owner[place - low + c], to[place - low + c] = state, target
+        end = int(base.max(initial=0)) + self.width
+        return base, owner[:end].copy(), to[:end].copy()
+
+    def phrases(self, lanes: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Phrases by language and lane; lanes: steps x lanes of classes, the longest lane first."""
         n, out = lanes.shape[1], np.zeros((len(self.langs), lanes.shape[1]), np.int64)
-        for k, table in enumerate(self.tables):
+        live = n - np.searchsorted(lens[::-1], np.arange(len(lanes)), side="right")  # lanes that reach each step
+        for k, (base, owner, to) in enumerate(self.tables):
             state, count = np.ones(n, np.int32), np.zeros(n, np.int32)
-            start = table[self.width : 2 * self.width]
-            for row in lanes:
-                ended = row < 0
-                c = np.where(ended, 0, row)
-                to = table[state * self.width + c]
-                broken = to == 0
-                count += broken & ~ended
-                state = np.where(broken, start[c], to)
-                state[state == 0] = 1
+            every = base[1] + np.arange(self.width)
+            start = np.where(owner[every] == 1, to[every], 0).astype(np.int32)
+            start[start == 0] = 1
+            for m, row in zip(live.tolist(), lanes, strict=True):
+                c = row[:m]
+                at = base[state[:m]] + c
+                broken = owner[at] != state[:m]
+                count[:m] += broken
+                state[:m] = np.where(broken, start[c], to[at])
             out[k] = count
         return out
 
@@ -155,11 +178,13 @@ class Parser:
         begin = starts[owner] + nth * SEGMENT
         long = np.minimum(SEGMENT, starts[owner] + sizes[owner] - begin)
         total = np.zeros((len(self.langs), len(texts)))
+        order = np.argsort(-long, kind="stable")
+        owner, begin, long = owner[order], begin[order], long[order]
         for at in range(0, len(owner), LANES):
             b, n = begin[at : at + LANES], long[at : at + LANES]
-            step = np.arange(SEGMENT)[:, None]
-            lanes = np.where(step < n, classes[np.minimum(b + step, len(classes) - 1)], -1)
-            for k, counts in enumerate(self.phrases(lanes.astype(np.int32))):
+            step = np.arange(n[0])[:, None]
+            lanes = classes[np.minimum(b + step, len(classes) - 1)]
+            for k, counts in enumerate(self.phrases(lanes, n)):
                 total[k] += np.bincount(owner[at : at + LANES], weights=counts + 1, minlength=len(texts))
         with np.errstate(divide="ignore", invalid="ignore"):
             return (total * np.array(self.bits)[:, None] / sizes).T, has
@@ -179,7 +204,7 @@ def identify(docs: DataFrame, learned: dict[str, str] | None = None) -> DataFram
     partitions: nothing is shuffled. Extra columns pass through; an own column of one of the three names is replaced.
     """
     texts = tuple(sorted((samples(docs) if learned is None else learned).items()))
-    shared = docs.sparkSession.sparkContext.broadcast(texts)  # at most LANGUAGES * SAMPLE_CHARS characters
+    shared = docs.sparkSession.sparkContext.broadcast(texts)  # at most SAMPLE_CHARS characters a language
     names = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
 
     @F.pandas_udf("lang_pred string, score double")
@@ -189,9 +214,9 @@ def identify(docs: DataFrame, learned: dict[str, str] | None = None) -> DataFram
             texts = [None if t is None else str(t) for t in batch]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             at = 0
-            while known.langs and at < len(texts):  # about 2 million characters at once
+            while known.langs and at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 2_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end] or "") <= BATCH):
                     size += len(texts[end] or "")
                     end += 1
                 bits, has = known.bits_of(texts[at:end])
