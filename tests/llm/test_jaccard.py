@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.util import docs
@@ -55,11 +57,12 @@ def corpus(seed, n=260):
     return out + [out[10]] + [(9_999_000 + i, out[20][1]) for i in range(30)]
 
 
-@pytest.mark.parametrize(("seed", "family", "pivots", "rounds"), [(1, 1024, 16, 4), (2, 8, 2, 3), (3, 4, 1, 1), (4, 16, 3, 2)])
-def test_components_match_brute_force(spark, monkeypatch, seed, family, pivots, rounds):
+@pytest.mark.parametrize(("seed", "family", "pivots", "inner", "hot"), [(1, 1024, 16, 8, 10_000), (2, 8, 2, 1, 20), (3, 4, 1, 2, 1), (4, 16, 3, 8, 100)])
+def test_components_match_brute_force(spark, monkeypatch, seed, family, pivots, inner, hot):
     monkeypatch.setattr(jaccard, "FAMILY", family)
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "INNER", inner)
+    monkeypatch.setattr(jaccard, "HOT", hot)
     texts = corpus(seed)
     got = jaccard.join(docs(spark, texts).withColumnRenamed("source", "component_id")).collect()
     assert sorted(tuple(r) for r in got) == brute(texts)
@@ -94,3 +97,25 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in jaccard.components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+
+
+@pytest.mark.parametrize("inner", [1, 2, 8])
+def test_a_family_in_one_task_by_regions(monkeypatch, inner):
+    monkeypatch.setattr(jaccard, "INNER", inner)
+    r = random.Random(inner)
+    base = [[r.randrange(10**6) for _ in range(60)] for _ in range(6)]
+    sets = []
+    for _ in range(150):
+        s = set(r.choice(base))
+        for x in r.sample(sorted(s), r.randint(0, 12)):
+            s.discard(x)
+        sets.append(s | {r.randrange(10**6) for _ in range(r.randint(0, 6))})
+    rows = pd.DataFrame({"owner": range(150), "n": [len(s) for s in sets], "keys": [np.array(sorted(x for x in s if sum(x in o for o in sets) > 1), np.int64) for s in sets]})
+    label = list(range(150))
+    for a, b in jaccard.linked_in(rows):
+        assert 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+        label = [label[a] if x == label[b] else x for x in label]
+    for i in range(150):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                assert label[i] == label[j]

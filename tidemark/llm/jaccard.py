@@ -5,12 +5,12 @@
    quarter of the shingles occur nowhere else has no partner; of the others, the rarest shingles that a partner must
    share one of are kept (two sets at the threshold can't differ in all of them). Shingles in a large share of all
    sets are known beforehand and not dealt; they come last in that order.
-3. Sets that share such a shingle form families. A family is joined exactly in one task if it is small. In a large
-   one, pivots create Voronoi regions: sets within the threshold of a pivot link to it and need no comparison with each
-   other, since only the components count; by the triangle inequality a set outside can link into the region only
-   from a window of distances around it, so only those boundary sets, with a region of their own or without, are
-   replicated to the region's blocks. Regions that links to pivots hold together already aren't compared. What lies
-   outside all regions is joined recursively, with pivots of its own.
+3. Sets that share such a shingle form families, which are joined in rounds. Pivots create Voronoi regions: sets within
+   the threshold of a pivot belong to the nearest such pivot, link to it, and need no comparison with each other, since
+   only the components count; by the triangle inequality a set outside can link into the region only from a window of
+   distances around it, so only those boundary sets, with a region of their own or without, are compared with it. What
+   lies outside all regions is joined recursively, with more pivots of its own, until nothing is left. Families of up to
+   FAMILY sets go through this inside a task; of larger ones the regions and their boundary sets are replicated to blocks.
 4. Links become components by the smallest label, round by round, with checkpoints.
 """
 
@@ -31,8 +31,10 @@ SHINGLE, PERCENT = 5, 75
 BUCKET, LEAST_BUCKETS, BATCH = 8_000_000, 64, 2_000_000
 #: A shingle is common if it is in one of so many sets; a batch looks for those in one of twice as many.
 COMMON, MOST_COMMON = 16, 65_536
-#: Sets of a family that one task joins at most; pivots of a large family at once; rounds of pivots before blocks.
-FAMILY, PIVOTS, ROUNDS = 1024, 16, 4
+#: Sets of a family that one task joins at most; pivots of the first round, over tasks and in one; their growth by round.
+FAMILY, PIVOTS, INNER, GROWTH = 1024, 16, 8, 4
+#: Parts that a large family's sets are dealt to; a component with more than 1 in HOT of all rows is looked up apart.
+SALTS, HOT = 16, 10_000
 _HOT = np.iinfo(np.int32).max
 
 
@@ -190,38 +192,85 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+class Family:
+    """The sets of a family in one task, with the components that are known so far."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.owners, self.n = pdf["owner"].to_numpy(), pdf["n"].to_numpy()
+        self.lens = np.array([len(k) for k in pdf["keys"]])
+        names, self.flat = np.unique(np.concatenate(pdf["keys"].to_list()), return_inverse=True)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.mark = np.zeros(len(names), bool)
+        self.label = np.arange(len(pdf))
+        if "root" in pdf:
+            known = np.flatnonzero(pdf["root"].notna())
+            _, first, which = np.unique(pdf["root"].iloc[known].to_numpy(np.int64), return_index=True, return_inverse=True)
+            self.label[known] = known[first][which]
+        self.links: list[tuple[int, int]] = []
+
+    def common(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Shingles that x shares with each of the others."""
+        own = self.flat[self.starts[x] : self.starts[x] + self.lens[x]]
+        lens = self.lens[others]
+        begin = np.cumsum(lens) - lens
+        at = np.arange(lens.sum()) + np.repeat(self.starts[others] - begin, lens)
+        self.mark[own] = True
+        both = np.add.reduceat(self.mark[self.flat[at]].astype(np.int64), begin)
+        self.mark[own] = False
+        return both
+
+    def link(self, x: int, y: int) -> None:
+        if self.label[x] != self.label[y]:
+            self.links.append((int(self.owners[x]), int(self.owners[y])))
+            self.label[self.label == self.label[y]] = self.label[x]
+
+    def linked(self, both: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+        return 100 * both >= PERCENT * (self.n[others] + self.n[x] - both)
+
+    def join(self) -> list[tuple[int, int]]:
+        """Links that hold the components together.
+
+        Rounds of pivots: every live set within the threshold of a pivot is in the region of its nearest one. A set that
+        links to a member of a region is at most twice the threshold from its pivot: those, of other components, are
+        compared with the members. Then the regions' sets have met all they can link to and leave.
+        """
+        live = np.arange(len(self.owners))
+        pivots = INNER
+        while len(live) and (self.label[live] != self.label[live[0]]).any():
+            size = np.bincount(self.label[live], minlength=len(self.owners))
+            chosen = live[np.lexsort((self.owners[live], -size[self.label[live]]))][:pivots]
+            best, home = np.full(len(live), np.inf), np.full(len(live), -1)
+            near = []
+            for k, p in enumerate(chosen.tolist()):
+                both = self.common(p, live)
+                d = 1 - both / (self.n[live] + self.n[p] - both)
+                within = self.linked(both, p, live)
+                d[live == p], within[live == p] = 0, True  # its keys are only those that others hold too
+                for x in live[within & (self.label[live] != self.label[p])].tolist():
+                    self.link(p, x)
+                closer = within & (d < best)
+                best[closer], home[closer] = d[closer], k
+                near.append(live[d <= 2 * (1 - PERCENT / 100) + 1e-9])
+            for k, p in enumerate(chosen.tolist()):
+                region = live[home == k]
+                if not len(region):
+                    continue
+                for y in near[k].tolist():
+                    if self.label[y] != self.label[p]:
+                        hit = np.flatnonzero(self.linked(self.common(y, region), y, region))
+                        if len(hit):
+                            self.link(int(region[hit[0]]), y)
+            live = live[home < 0]
+            pivots *= 2
+        return self.links
+
+
 def linked_in(pdf: pd.DataFrame) -> list[tuple[int, int]]:
     """Links that hold a small family's components together, found exactly.
 
-    Sets become pivots one after another; a pivot's distances to all others are measured. Only components count, and
-    every pair across two components has an end outside the largest, so the sets of the largest needn't be pivots.
     Sets of one ``root`` are known to be in one component; null: nothing is known.
     """
-    owners, n = pdf["owner"].to_numpy(), pdf["n"].to_numpy()
-    lens = np.array([len(k) for k in pdf["keys"]])
-    names, flat = np.unique(np.concatenate(pdf["keys"].to_list()), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
-    label = np.arange(len(pdf))
-    if "root" in pdf:
-        known = np.flatnonzero(pdf["root"].notna())
-        _, first, which = np.unique(pdf["root"].iloc[known].to_numpy(np.int64), return_index=True, return_inverse=True)
-        label[known] = known[first][which]
-    done, mark, out = np.zeros(len(pdf), bool), np.zeros(len(names), bool), []
-    while True:
-        sizes = np.bincount(label, minlength=len(pdf))
-        rest = np.flatnonzero(~done & (label != sizes.argmax()))
-        if not len(rest):
-            return out
-        p = rest[np.argmax(sizes[label[rest]])]
-        own = flat[starts[p] : starts[p] + lens[p]]
-        mark[own] = True
-        both = np.add.reduceat(mark[flat].astype(np.int64), starts)
-        mark[own] = False
-        done[p] = True
-        for x in np.flatnonzero((100 * both >= PERCENT * (n + n[p] - both)) & (label != label[p])):
-            if label[x] != label[p]:
-                out.append((int(owners[p]), int(owners[x])))
-                label[label == label[x]] = label[p]
+    return Family(pdf).join()
 
 
 def _families(members: DataFrame) -> DataFrame:
@@ -242,7 +291,8 @@ def links(sets: DataFrame) -> DataFrame:
     sizes = saved(members.groupBy("family").agg(F.count("*").alias("size")))
     out = _families(members.join(sizes.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"))
     large = members.join(sizes.filter(F.col("size") > FAMILY).drop("size"), "family", "left_semi")
-    for step in range(ROUNDS):
+    step = 0
+    while True:
         large = saved(large)
         if large.isEmpty():
             return out
@@ -251,18 +301,20 @@ def links(sets: DataFrame) -> DataFrame:
         left = saved(large.groupBy("family").agg(F.count("*").alias("size")))
         out = out.unionByName(_families(large.join(left.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi")))
         large = large.join(left.filter(F.col("size") > FAMILY).drop("size"), "family", "left_semi")
-    return out.unionByName(_blocks(saved(large)))
+        step += 1
 
 
 def _voronoi(large: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
     """One round of pivots in large families: the links found, and the sets outside all regions."""
     order = Window.partitionBy("family").orderBy(F.xxhash64("owner", F.lit(step)))
-    pivots = large.select("family", "owner").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= PIVOTS)
+    pivots = large.select("family", "owner").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= PIVOTS * GROWTH**step)
     pivots = saved(large.join(pivots.select("owner", "at"), "owner").select("family", "at", F.col("owner").alias("pivot"), F.col("n").alias("pn"), F.col("keys").alias("pk")))
-    # a few pivots for each family of more than FAMILY sets: fewer rows by far than the families have
-    both = F.size(F.array_intersect("keys", "pk"))
-    met = large.join(pivots, "family").withColumn("both", both).withColumn("d", 1 - F.col("both") / (F.col("n") + F.col("pn") - F.col("both")))
-    linked = 100 * F.col("both") >= PERCENT * (F.col("n") + F.col("pn") - F.col("both"))
+    # a family's sets are dealt to SALTS parts, each of which meets all its pivots; sets of too different sizes can't be near
+    salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = F.when((F.col("n") <= 2 * F.col("pn")) & (F.col("pn") <= 2 * F.col("n")), F.size(F.array_intersect("keys", "pk"))).otherwise(0)
+    met = large.withColumn("salt", F.pmod(F.xxhash64("owner", F.lit("salt")), F.lit(SALTS)).cast("int")).join(salted, ["family", "salt"]).withColumn("both", both).withColumn("d", 1 - F.col("both") / (F.col("n") + F.col("pn") - F.col("both")))
+    met = met.withColumn("d", F.when(F.col("owner") == F.col("pivot"), 0.0).otherwise(F.col("d")))  # its keys are only those that others hold too
+    linked = (F.col("owner") == F.col("pivot")) | (100 * F.col("both") >= PERCENT * (F.col("n") + F.col("pn") - F.col("both")))
     seen = met.groupBy("owner").agg(
         F.min(F.when(linked, F.struct("d", "pivot"))).alias("home"),
         F.collect_list(F.when(linked & (F.col("owner") != F.col("pivot")), F.col("pivot"))).alias("to"),
@@ -287,15 +339,6 @@ def _voronoi(large: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
     return out, large.join(seen.filter("home is null").select("owner"), "owner", "left_semi")
 
 
-def _blocks(large: DataFrame) -> DataFrame:
-    """Links of families that pivots don't part: every pair of blocks of FAMILY / 2 sets in a task."""
-    sizes = large.groupBy("family").agg(F.ceil(2 * F.count("*") / FAMILY).cast("int").alias("blocks"))
-    own = large.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int"))
-    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
-    return _families(cells.select("owner", "n", "keys", pair.alias("family")).distinct())
-
-
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reached by links, its own included) for every row.
 
@@ -312,7 +355,12 @@ def join(docs: DataFrame) -> DataFrame:
     hot = np.array([r["common"] for r in common.orderBy(F.desc("n"), "common").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
     sets = saved(candidates(counted(dealt(docs, hot, buckets), buckets)))
     roots = components(links(sets))
-    rooted = told.join(roots.withColumnRenamed("node", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
-    ids = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(ids, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rooted = saved(told.join(roots.withColumnRenamed("node", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner")))
+    ids = saved(rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_rows")))
+    # a component may hold a third of all rows: the HOT largest at most are broadcast, so that no task gets all rows of one
+    many = F.col("_rows") > F.lit(max(1, total["n"] // HOT))
+    large = ids.filter(many).select("root", F.col("component_id").alias("_large"), F.lit(True).alias("_is_large"))
+    told = rooted.join(F.broadcast(large), "root", "left")
+    rest = told.filter("n > 0 and _is_large is null").select("doc_id", "n", "root").join(ids.filter(~many), "root", "left")
+    known = told.filter("n = 0 or _is_large").select("doc_id", "n", F.when(F.col("n") > 0, F.col("_large")).otherwise(F.col("doc_id")).alias("component_id"))
+    return known.unionByName(rest.select("doc_id", "n", "component_id")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
