@@ -1,4 +1,4 @@
-"""Results of queries held against DuckDB: rows as sorted tuples, doubles within a small tolerance."""
+"""Results of queries held against DuckDB: rows as sorted tuples, equal in every value."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ def plain(v):
 
 
 def order(row):
-    return tuple((v is None, f"{v:.5f}" if isinstance(v, float) else str(v)) for v in row)
+    return tuple((v is None, f"{v:.6f}" if isinstance(v, float) else str(v)) for v in row)
 
 
 def difference(df, con, sql: str) -> str | None:
@@ -48,7 +48,6 @@ def difference(df, con, sql: str) -> str | None:
         return f"{len(got)} rows against {len(want)}"
     for g, w in zip(got, want, strict=True):
         for name, a, b in zip(names, g, w, strict=True):
-            same = math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-6) if isinstance(a, float) and isinstance(b, (float, int)) else a == b
-            if not same:
+            if a != b:
                 return f"{name}: {g} against {w}"
     return None

@@ -10,8 +10,9 @@ from tidemark.functions.core import Name, as_column
 #: What counts as no value, true tokens, and accented letters with their plain forms.
 NULLISH = ("", "NULL", "NA", "N/A", "-", "NAO INFORMADO")
 TRUE_TOKENS = ("S", "SIM", "TRUE", "1", "Y", "YES")
-ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
-PLAIN = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
+ACTIVE_TOKENS = ("FUNCIONAMENTO NORMAL", "EM FUNCIONAMENTO", "ATIVO")
+ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñ"
+PLAIN = "aaaaaeeeeiiiiooooouuuucn"
 #: Weights of the two check digits of a 14-digit company number.
 WEIGHTS_1 = (5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2)
 WEIGHTS_2 = (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2)
@@ -19,7 +20,7 @@ WEIGHTS_2 = (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2)
 
 def name_norm(c: Name) -> Column:
     """Lower-case, without accents, white space collapsed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(as_column(c), ACCENTED, PLAIN)), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(as_column(c)), ACCENTED, PLAIN), r"\s+", " "))
 
 
 def name_core(norm: Name, boilerplate: tuple[str, ...]) -> Column:
@@ -62,18 +63,33 @@ def company_number_ok(c: Name) -> Column:
 def clean(c: Name) -> Column:
     """Trimmed text; null where it stands for no value."""
     t = F.trim(as_column(c))
-    return F.when(~F.upper(F.translate(t, ACCENTED, PLAIN)).isin(*NULLISH), t)
+    return F.when(~F.upper(F.translate(F.lower(t), ACCENTED, PLAIN)).isin(*NULLISH), t)
+
+
+def company_number(c: Name) -> Column:
+    """The digits, padded with zeros to fourteen; null without a digit."""
+    d = digits(clean(c))
+    return F.when(F.length(d) > 0, F.when(F.length(d) < 14, F.lpad(d, 14, "0")).otherwise(d))
+
+
+def company_code(c: Name) -> Column:
+    """The digits without leading zeros; null without any."""
+    d = F.regexp_replace(digits(clean(c)), "^0+", "")
+    return F.when(F.length(d) > 0, d)
 
 
 def to_decimal(c: Name, scale: int = 6) -> Column:
-    """A number with decimal comma (and dots between thousands), or with decimal point; null if it is neither."""
-    t = clean(c)
+    """A number, perhaps after a currency mark, with decimal comma (and dots between thousands) or with decimal point;
+    null if it is neither."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(clean(c), " ", ""), "^[R$]+", ""))
     comma = F.regexp_replace(F.regexp_replace(t, r"\.", ""), ",", ".")
     return F.when(t.contains(","), comma).otherwise(t).try_cast(f"decimal(28,{scale})")
 
 
 def to_int(c: Name) -> Column:
-    return to_decimal(c, 6).try_cast("bigint")
+    """A whole number: dots stand between thousands, what follows a comma is cut."""
+    t = F.regexp_replace(F.regexp_replace(clean(c), r"\.", ""), ",", ".")
+    return t.try_cast("decimal(28,6)").try_cast("bigint")
 
 
 def to_bool(c: Name) -> Column:
@@ -99,6 +115,9 @@ def json_field(c: Name, key: str) -> Column:
 
 
 def is_active(status: Name) -> Column:
-    """True, false or unknown, from a registry's status text."""
-    t = F.upper(F.translate(clean(status), ACCENTED, PLAIN))
-    return F.when(t.rlike("CANCEL|ENCERR|LIQUID"), False).when(t.rlike("FUNCIONAMENTO|ATIV|NORMAL"), True)
+    """Whether a registry's status names a fund in operation; every other status is not; null or blank is unknown."""
+    t = F.upper(F.trim(as_column(status)))
+    named = F.lit(False)
+    for token in ACTIVE_TOKENS:
+        named = named | F.contains(t, F.lit(token))
+    return F.when(t != "", named)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import latest_by, pct_cont, safe_div, total
+from tidemark.functions.core import latest_by, pct_cont, safe_div, total, weighted
 
 #: Letters of contract months, January to December; kinds of share events whose factor is the ratio itself.
 MONTH_LETTERS = "FGHJKMNQUVXZ"
@@ -33,7 +33,7 @@ def newest_float(instruments: DataFrame, weights: DataFrame, priority: Sequence[
 
 def short_interest(positions: DataFrame, floats: DataFrame, turnover: DataFrame) -> DataFrame:
     """Open position of each ticker and day: sum, quantity-weighted rate, percent of float, days to cover."""
-    own = positions.groupBy("ticker", "day").agg(F.sum("qty").alias("short_qty"), safe_div(F.sum(F.col("qty") * F.col("rate")), F.sum("qty")).alias("rate"))
+    own = positions.groupBy("ticker", "day").agg(F.sum("qty").alias("short_qty"), weighted("rate", "qty").alias("rate"))
     out = own.join(floats.select("ticker", "float_shares"), "ticker", "left").join(turnover.select("ticker", "day", "adqty"), ["ticker", "day"], "left")
     return out.select("ticker", "day", "short_qty", "rate", (safe_div("short_qty", "float_shares") * 100).alias("pct_float"), safe_div("short_qty", "adqty").alias("days_to_cover"))
 
@@ -56,7 +56,7 @@ def lending_trades(trades: DataFrame, by: Sequence[str]) -> DataFrame:
     return trades.groupBy(*by).agg(
         F.count("*").alias("n_trades"),
         F.sum("qty").alias("qty"),
-        safe_div(F.sum(F.col("qty") * F.col("rate")), F.sum("qty")).alias("mean_rate"),
+        weighted("rate", "qty").alias("mean_rate"),
         F.min("rate").alias("min_rate"),
         F.max("rate").alias("max_rate"),
         F.countDistinct("lender").alias("n_lenders"),
@@ -72,7 +72,7 @@ def participant_legs(trades: DataFrame, by: Sequence[str]) -> DataFrame:
     on = lambda side, c: F.when(F.col("side") == side, c)
     aggs = []
     for side in ("lent", "borrowed"):
-        aggs += [F.coalesce(F.sum(on(side, F.col("qty"))), F.lit(0)).alias(f"{side}_qty"), safe_div(F.sum(on(side, F.col("qty") * F.col("rate"))), F.sum(on(side, F.col("qty")))).alias(f"{side}_rate")]
+        aggs += [F.coalesce(F.sum(on(side, F.col("qty"))), F.lit(0)).alias(f"{side}_qty"), weighted(on(side, F.col("rate")), "qty").alias(f"{side}_rate")]
     return both.groupBy(*by, "participant").agg(*aggs).withColumn("net_qty", F.col("lent_qty") - F.col("borrowed_qty"))
 
 

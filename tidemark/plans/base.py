@@ -36,6 +36,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under its function's name, with SQL for comparison where SQL can say it."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = lambda spark, sf_dir: told(f(spark, sf_dir))
         if sql:
             ORACLES[f.__name__] = sql

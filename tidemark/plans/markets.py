@@ -19,15 +19,15 @@ def adtv_21(spark, d):
 
 
 FLOATS = SESSIONS + """,
-ins AS (SELECT ticker, day AS i_day, qty AS shares FROM sessions WHERE ticker % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day DESC) = 1),
-wts AS (SELECT user_id AS ticker, ts::DATE AS day, event_type AS index_code, sum(event_id % 100 + 500)::BIGINT AS float_shares FROM events WHERE user_id % 7 <> 0 GROUP BY 1, 2, 3),
+ins AS (SELECT ticker, day AS i_day, qty AS shares FROM sessions QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day DESC) = 1),
+wts AS (SELECT user_id AS ticker, ts::DATE AS day, event_type AS index_code, sum(event_id % 100 + 500)::BIGINT AS float_shares FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY 1, 2, 3),
 wt AS (SELECT ticker, day AS w_day, index_code, float_shares FROM wts QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day DESC, coalesce(list_position(['view', 'click', 'error'], index_code), 4), index_code) = 1),
 floats AS (SELECT ticker, shares, index_code, float_shares, greatest(i_day, w_day) AS as_of FROM ins FULL JOIN wt USING (ticker))"""
 
 
 def floats(spark, d):
-    own = sessions(spark, d).filter("ticker % 5 <> 0").withColumn("shares", F.col("qty"))
-    weights = table(spark, d, "events").filter("user_id % 7 <> 0").groupBy(F.col("user_id").alias("ticker"), F.col("ts").cast("date").alias("day"), F.col("event_type").alias("index_code")).agg(F.sum(F.col("event_id") % 100 + 500).alias("float_shares"))
+    own = sessions(spark, d).withColumn("shares", F.col("qty"))
+    weights = table(spark, d, "events").filter(F.col("event_type").isin("view", "click", "error")).groupBy(F.col("user_id").alias("ticker"), F.col("ts").cast("date").alias("day"), F.col("event_type").alias("index_code")).agg(F.sum(F.col("event_id") % 100 + 500).alias("float_shares"))
     return M.newest_float(own, weights, ["view", "click", "error"])
 
 
@@ -45,8 +45,8 @@ def positions(spark, d):
 
 SHORT = FLOATS + ", " + POSITIONS + """,
 adq AS (SELECT ticker, day, avg(qty) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS adqty FROM sessions),
-own AS (SELECT ticker, day, sum(qty)::BIGINT AS short_qty, sum(qty * rate) / nullif(sum(qty), 0) AS rate FROM positions GROUP BY 1, 2),
-short AS (SELECT ticker, day, short_qty, round(rate, 6) AS rate, round(short_qty / nullif(float_shares, 0) * 100, 6) AS pct_float, round(short_qty / nullif(adqty, 0), 6) AS days_to_cover
+own AS (SELECT ticker, day, sum(qty)::BIGINT AS short_qty, sum(qty::DECIMAL(18,2) * rate::DECIMAL(18,6))::DOUBLE / nullif(sum(qty), 0) AS rate FROM positions GROUP BY 1, 2),
+short AS (SELECT ticker, day, short_qty, round(rate::DECIMAL(38,12), 6)::DOUBLE AS rate, round(short_qty / nullif(float_shares, 0) * 100, 6) AS pct_float, round(short_qty / nullif(adqty, 0), 6) AS days_to_cover
   FROM own LEFT JOIN floats USING (ticker) LEFT JOIN adq USING (ticker, day))"""
 
 
@@ -81,15 +81,15 @@ def investor_flow_daily(spark, d):
     return M.month_deltas(mtd, ["event_type"], "day", "v", ev.select("day"))
 
 
-@query(f"""WITH {LINES} SELECT day, kind, count(*) AS n_trades, sum(qty) AS qty, round(sum(qty * rate) / nullif(sum(qty), 0), 6) AS mean_rate, min(rate) AS min_rate, max(rate) AS max_rate,
+@query(f"""WITH {LINES} SELECT day, kind, count(*) AS n_trades, sum(qty) AS qty, round((sum(qty::DECIMAL(18,2) * rate::DECIMAL(18,6))::DOUBLE / nullif(sum(qty), 0))::DECIMAL(38,12), 6)::DOUBLE AS mean_rate, min(rate) AS min_rate, max(rate) AS max_rate,
   count(DISTINCT lender) AS n_lenders, count(DISTINCT borrower) AS n_borrowers, count(*) FILTER (lender IS NOT DISTINCT FROM borrower) AS n_internal FROM lines GROUP BY 1, 2""")
 def lending_trade_daily(spark, d):
     return M.lending_trades(lines(spark, d), ["day", "kind"])
 
 
 @query(f"""WITH {LINES}, legs AS (SELECT day, lender AS participant, 'l' AS side, qty, rate FROM lines UNION ALL SELECT day, borrower, 'b', qty, rate FROM lines)
-SELECT day, participant, coalesce(sum(qty) FILTER (side = 'l'), 0) AS lent_qty, round(sum(qty * rate) FILTER (side = 'l') / nullif(sum(qty) FILTER (side = 'l'), 0), 6) AS lent_rate,
-  coalesce(sum(qty) FILTER (side = 'b'), 0) AS borrowed_qty, round(sum(qty * rate) FILTER (side = 'b') / nullif(sum(qty) FILTER (side = 'b'), 0), 6) AS borrowed_rate,
+SELECT day, participant, coalesce(sum(qty) FILTER (side = 'l'), 0) AS lent_qty, round((sum(qty::DECIMAL(18,2) * rate::DECIMAL(18,6)) FILTER (side = 'l')::DOUBLE / nullif(sum(qty) FILTER (side = 'l'), 0))::DECIMAL(38,12), 6)::DOUBLE AS lent_rate,
+  coalesce(sum(qty) FILTER (side = 'b'), 0) AS borrowed_qty, round((sum(qty::DECIMAL(18,2) * rate::DECIMAL(18,6)) FILTER (side = 'b')::DOUBLE / nullif(sum(qty) FILTER (side = 'b'), 0))::DECIMAL(38,12), 6)::DOUBLE AS borrowed_rate,
   coalesce(sum(qty) FILTER (side = 'l'), 0) - coalesce(sum(qty) FILTER (side = 'b'), 0) AS net_qty FROM legs GROUP BY 1, 2""")
 def lending_participant_daily(spark, d):
     return M.participant_legs(lines(spark, d), ["day"])

@@ -217,7 +217,7 @@ def portfolio_tax(spark, d):
     return P.tax(own, "day", "bought", "gain", "exempt").select("line", "days", "rate", "levy", "tax", "gross_up")
 
 
-FEES = """fa AS (SELECT l_suppkey AS entity, l_shipdate::DATE AS day, l_tax * 100 - 1 AS fee FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49), fb AS (SELECT l_suppkey AS entity, l_shipdate::DATE AS day, l_discount * 100 AS fee FROM lineitem WHERE l_returnflag = 'R'),
+FEES = """fa AS (SELECT l_suppkey AS entity, l_shipdate::DATE AS day, l_tax * 100 - 1 AS fee FROM lineitem WHERE l_returnflag = 'A'), fb AS (SELECT l_suppkey AS entity, l_shipdate::DATE AS day, l_discount * 100 AS fee FROM lineitem WHERE l_returnflag = 'R'),
 a AS (SELECT * FROM fa WHERE day <= DATE '1995-06-30' AND fee BETWEEN 0 AND 5 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY day DESC, fee) = 1), b AS (SELECT * FROM fb WHERE day <= DATE '1995-06-30' AND fee BETWEEN 0 AND 5 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY day DESC, fee) = 1),
 fees AS (SELECT s_suppkey AS entity, coalesce(a.fee, b.fee) AS fee, CASE WHEN a.fee IS NOT NULL THEN 0 WHEN b.fee IS NOT NULL THEN 1 END AS source FROM supplier LEFT JOIN a ON a.entity = s_suppkey LEFT JOIN b ON b.entity = s_suppkey)"""
 
@@ -225,7 +225,7 @@ fees AS (SELECT s_suppkey AS entity, coalesce(a.fee, b.fee) AS fee, CASE WHEN a.
 def disclosed(spark, d):
     li = table(spark, d, "lineitem")
     one = lambda rows, fee: rows.select(F.col("l_suppkey").alias("entity"), F.col("l_shipdate").cast("date").alias("day"), fee.alias("fee"))
-    a = one(li.filter("l_returnflag = 'A' and l_quantity > 49"), F.col("l_tax") * 100 - 1)
+    a = one(li.filter("l_returnflag = 'A'"), F.col("l_tax") * 100 - 1)
     b = one(li.filter("l_returnflag = 'R'"), F.col("l_discount") * 100)
     return P.fees(table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity")), [a, b], "1995-06-30")
 
@@ -255,26 +255,26 @@ def class_return_distribution(spark, d):
     return P.class_returns(fact(spark, d), "family", 12, "2000-06-01", "nav")
 
 
-@query("""WITH c AS (SELECT DISTINCT p_type AS class FROM part UNION ALL SELECT 'NONE'), m AS (SELECT DISTINCT p_type AS class, p_brand AS ticker FROM part WHERE p_type <> 'SMALL'), f AS (SELECT p_brand AS ticker, sum(p_retailprice::DECIMAL(18,2))::DOUBLE AS nav FROM part WHERE p_brand < 'Brand#2' GROUP BY 1),
+@query("""WITH c AS (SELECT DISTINCT p_type AS class FROM part UNION ALL SELECT 'NONE'), m AS (SELECT DISTINCT p_type AS class, p_brand AS ticker FROM part WHERE p_type <> 'SMALL'), f AS (SELECT p_brand AS ticker, sum(p_retailprice::DECIMAL(18,2))::DOUBLE AS nav FROM part WHERE p_size > 45 GROUP BY 1),
 r AS (SELECT class, ticker, nav FROM m JOIN f USING (ticker) QUALIFY row_number() OVER (PARTITION BY class ORDER BY nav DESC NULLS LAST, ticker) = 1)
 SELECT c.class, r.ticker, r.nav, CASE WHEN r.class IS NOT NULL THEN 'equivalent' WHEN c.class IN (SELECT class FROM m) THEN 'no active fund' ELSE 'no pair' END AS reason FROM c LEFT JOIN r USING (class)""")
 def portfolio_equivalents(spark, d):
     part = table(spark, d, "part")
     classes = part.select(F.col("p_type").alias("class")).distinct().unionByName(spark.createDataFrame([("NONE",)], "class string"))
     mapping = part.filter("p_type <> 'SMALL'").select(F.col("p_type").alias("class"), F.col("p_brand").alias("ticker")).distinct()
-    funds = part.filter("p_brand < 'Brand#2'").groupBy(F.col("p_brand").alias("ticker")).agg(F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("double").alias("nav"))
+    funds = part.filter("p_size > 45").groupBy(F.col("p_brand").alias("ticker")).agg(F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("double").alias("nav"))
     return P.equivalents(classes, mapping, funds)
 
 
-CHAIN = """c0 AS (SELECT l_suppkey AS k, date_trunc('month', l_shipdate)::DATE AS period, l_extendedprice / l_quantity AS price, CASE WHEN l_discount > 0.05 THEN l_tax * 1000 ELSE 0 END::DOUBLE AS paid, floor(l_quantity / 26)::BIGINT AS qty FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 40),
+CHAIN = """c0 AS (SELECT l_partkey AS k, date_trunc('month', l_shipdate)::DATE AS period, l_extendedprice / l_quantity AS price, CASE WHEN l_discount > 0.05 THEN l_tax * 1000 ELSE 0 END::DOUBLE AS paid, floor(l_quantity / 26)::BIGINT AS qty FROM lineitem WHERE l_returnflag = 'N'),
 c1 AS (SELECT k, period, count(*) AS n, max(price) AS price, max(paid) AS paid, max(qty) AS qty FROM c0 GROUP BY 1, 2), c2 AS (SELECT *, lag(price) OVER w AS p, lag(qty) OVER w AS q, lag(period) OVER w AS seen FROM c1 WINDOW w AS (PARTITION BY k ORDER BY period))"""
 
 
 @query(f"""WITH {CHAIN} SELECT k, period, round((price + paid) / nullif(p, 0), 6) AS factor, CASE WHEN n > 1 THEN 'ambiguous' WHEN seen IS NULL OR seen <> period - INTERVAL 1 MONTH THEN 'missing_month' WHEN price <= 0 OR p <= 0 THEN 'invalid_value'
   WHEN qty IS DISTINCT FROM q THEN 'quantity_changed' WHEN price = p THEN 'repeated_price' WHEN price < p AND paid = 0 THEN 'drop_without_event' WHEN paid > p THEN 'payment_above_price' END AS flag FROM c2""")
 def portfolio_credit_returns(spark, d):
-    li = table(spark, d, "lineitem").filter("l_returnflag = 'N' and l_quantity > 40")
-    rows = li.select(F.col("l_suppkey").alias("k"), month("l_shipdate").alias("period"), safe_div("l_extendedprice", "l_quantity").alias("price"), F.when(F.col("l_discount") > 0.05, F.col("l_tax") * 1000).otherwise(0.0).alias("paid"), F.floor(F.col("l_quantity") / 26).alias("qty"))
+    li = table(spark, d, "lineitem").filter("l_returnflag = 'N'")
+    rows = li.select(F.col("l_partkey").alias("k"), month("l_shipdate").alias("period"), safe_div("l_extendedprice", "l_quantity").alias("price"), F.when(F.col("l_discount") > 0.05, F.col("l_tax") * 1000).otherwise(0.0).alias("paid"), F.floor(F.col("l_quantity") / 26).alias("qty"))
     return P.price_chain(rows, "k")
 
 

@@ -43,12 +43,12 @@ def metric_coverage(spark, d):
 @query("""WITH o AS (SELECT o_custkey AS entity, date_trunc('month', o_orderdate)::DATE AS period, o_orderstatus AS s FROM orders)
 SELECT x.*, c_name AS name FROM (
   SELECT entity, min(period) AS first_period, max(period) AS last_period, count(DISTINCT period) AS n_periods, s AS family FROM o GROUP BY entity, s) x
-LEFT JOIN customer ON c_custkey = entity WHERE entity % 50 <> 0""")
+LEFT JOIN customer ON c_custkey = entity WHERE entity NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < -900)""")
 def dim_entity(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), month("o_orderdate").alias("period"), "o_orderstatus")
     families = {s: rows.filter(F.col("o_orderstatus") == s) for s in ("F", "O", "P")}
     known = entities(spark, d)
-    return facts.dim_entity(families, known.select("entity", "name"), known.filter("entity % 50 = 0").select("entity"))
+    return facts.dim_entity(families, known.select("entity", "name"), table(spark, d, "customer").filter("c_acctbal < -900").select(F.col("c_custkey").alias("entity")))
 
 
 @query("""SELECT l_partkey, l_suppkey, min(l_shipdate::DATE) AS first_day, max(l_shipdate::DATE) AS last_day, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus,
