@@ -65,13 +65,18 @@ def ranking(fact: DataFrame, metrics: dict[str, Column], metric: str, limit: int
 
 def concentration(rows: DataFrame, value: str, by: Sequence[str] = (), tops: Sequence[int] = (5, 10, 20)) -> DataFrame:
     """Herfindahl index times 10,000 and the shares of the largest; equal values share a rank, so that a top may hold more."""
-    if by:
-        sums = rows.groupBy(*by).agg(total(value).alias("_total"))
-        ranked = rows.join(sums, list(by)).withColumn("_rank", F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last())))
-    else:  # the total and the edges of the tops are found by distributed aggregation, not by a window over all rows
-        edges = rows.filter(F.col(value).isNotNull()).orderBy(F.col(value).desc()).limit(max(tops)).agg(F.sort_array(F.collect_list(value), False).alias("_top"))
-        ranked = rows.crossJoin(F.broadcast(rows.agg(total(value).alias("_total")))).crossJoin(F.broadcast(edges))  # one row each
-        ranked = ranked.withColumn("_rank", F.when(F.array_position("_top", F.col(value)) > 0, F.array_position("_top", F.col(value))).otherwise(F.lit(1 << 30)))
+    if by:  # sums are combined before the shuffle, and only rows of the largest ranks of each group go to its window
+        square = exact(value) * exact(value)
+        sums = rows.groupBy(*by).agg(total(value).alias("_total"), F.sum(square).cast("double").alias("_squares"), F.count(value).alias("n"))
+        rank = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last()))
+        largest = rows.withColumn("_rank", rank).filter(F.col("_rank") <= max(tops))
+        held = largest.groupBy(*by).agg(*[total(F.when(F.col("_rank") <= k, F.col(value))).alias(f"_top{k}") for k in tops])
+        both = sums.join(held, list(by), "left")
+        return both.select(*by, (safe_div("_squares", F.col("_total") * F.col("_total")) * 10000).alias("hhi"), *[safe_div(f"_top{k}", "_total").alias(f"top{k}") for k in tops], "n")
+    # the total and the edges of the tops are found by distributed aggregation, not by a window over all rows
+    edges = rows.filter(F.col(value).isNotNull()).orderBy(F.col(value).desc()).limit(max(tops)).agg(F.sort_array(F.collect_list(value), False).alias("_top"))
+    ranked = rows.crossJoin(F.broadcast(rows.agg(total(value).alias("_total")))).crossJoin(F.broadcast(edges))  # one row each
+    ranked = ranked.withColumn("_rank", F.when(F.array_position("_top", F.col(value)) > 0, F.array_position("_top", F.col(value))).otherwise(F.lit(1 << 30)))
     share = safe_div(value, "_total")
     return ranked.groupBy(*by).agg((F.sum(share * share) * 10000).alias("hhi"), *[(total(F.when(F.col("_rank") <= k, F.col(value))) / F.first("_total")).alias(f"top{k}") for k in tops], F.count(value).alias("n"))
 

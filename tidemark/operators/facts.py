@@ -19,13 +19,16 @@ def entity_month_fact(daily: DataFrame) -> DataFrame:
     Flows are summed over all days of the month, also those without a NAV. Then the newest day with a NAV of each
     subclass counts: NAV and holders are summed over subclasses, and the quota is that of one subclass for good, the one
     with the latest period, then the largest NAV, then the smallest name among rows with a positive quota.
-    One shuffle by entity serves both windows and the last sum, which all partition by it.
+    Days are summed up by entity, month and subclass before any shuffle; the windows see monthly rows only.
     """
-    dated = daily.withColumn("period", month("day"))
+    per = daily.withColumn("period", month("day")).groupBy("entity", "period", "subclass").agg(
+        F.sum(exact("inflow")).alias("_in"),
+        F.sum(exact("outflow")).alias("_out"),
+        F.max_by(F.struct("nav", "quota", "holders"), F.when(F.col("nav").isNotNull(), F.struct("day", "nav", "quota", "holders"))).alias("_last"),
+    )
     flows = Window.partitionBy("entity", "period")
-    newest = Window.partitionBy("entity", "period", "subclass").orderBy(F.col("day").desc(), F.col("nav").desc())
-    rows = dated.repartition("entity").withColumns({"in_month": F.sum(exact("inflow")).over(flows), "out_month": F.sum(exact("outflow")).over(flows)})
-    last = rows.filter("nav is not null").withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1")
+    rows = per.withColumns({"in_month": F.sum("_in").over(flows), "out_month": F.sum("_out").over(flows)})
+    last = rows.filter("_last is not null").select("entity", "period", "subclass", "in_month", "out_month", "_last.*")
     chosen = Window.partitionBy("entity").orderBy((F.coalesce(F.col("quota"), F.lit(0.0)) > 0).desc(), F.col("period").desc(), F.col("nav").desc_nulls_last(), F.col("subclass"))
     last = last.withColumn("_class", F.first("subclass").over(chosen))
     return last.groupBy("entity", "period").agg(
