@@ -1,6 +1,6 @@
 """Queries over the driver tables, each with SQL for comparison where SQL can say it."""
 
-from tidemark.plans import funds, instruments, landing, markets, portfolios, rates, registers, screening, statements, warehouse  # noqa: F401
+from tidemark.plans import funds, histories, instruments, landing, markets, portfolios, rates, registers, screening, statements, warehouse  # noqa: F401
 from tidemark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
