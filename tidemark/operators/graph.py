@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.checkpoint import saved
 from tidemark.functions.core import safe_div
 from tidemark.functions.text import name_norm, trigrams
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the session's shared folder; a folder is made only where none is set (local runs)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
-
-
 def look_through(holdings: DataFrame, depth: int = 4) -> DataFrame:
     """Holdings of holdings down to a depth: root, held, depth, weight (product of value over NAV) and block.
 
