@@ -50,6 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def since_until(df: DataFrame, column: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Rows from the first day to before the last, filtered on the column as it is stored, so that Parquet can skip row
+    groups; a filter on its month alone can't. All rows if there are no days."""
+    if since is None or until is None:
+        return df
+    kind = df.schema[column].dataType
+    return df.filter((F.col(column) >= F.lit(since).cast(kind)) & (F.col(column) < F.lit(until).cast(kind)))
+
+
 def daily(spark: SparkSession, d: str) -> DataFrame:
     """Daily filings: entity, subclass, day, nav, quota, inflow, outflow, holders."""
     status, price = F.col("o_orderstatus"), F.col("o_totalprice")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.core import month, safe_div
 from tidemark.operators import performance as P
 from tidemark.operators import screens as S
-from tidemark.plans.base import FACT, LINES, SESSIONS, entities, fact, lines, query, sessions, table
+from tidemark.plans.base import FACT, LINES, SESSIONS, entities, fact, lines, query, sessions, since_until, table
 from tidemark.plans.warehouse import AGING, aging
 
 PERF = FACT + """,
@@ -105,17 +105,20 @@ def portfolio_movement(spark, d):
 AG = AGING + ", ag AS (SELECT l_suppkey AS entity, * EXCLUDE (l_suppkey) FROM aging), navs AS (SELECT l_suppkey AS entity, date_trunc('month', l_shipdate)::DATE AS period, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS nav, count(*) AS holders FROM lineitem GROUP BY 1, 2)"
 
 
-def aged(spark, d):
-    return aging(spark, d).withColumnRenamed("l_suppkey", "entity")
+JUNE = ("2000-06-01", "2000-07-01")
 
 
-def navs(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity"), month("l_shipdate").alias("period")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("nav"), F.count("*").alias("holders"))
+def aged(spark, d, *days):
+    return aging(spark, d, *days).withColumnRenamed("l_suppkey", "entity")
+
+
+def navs(spark, d, *days):
+    return since_until(table(spark, d, "lineitem"), "l_shipdate", *days).groupBy(F.col("l_suppkey").alias("entity"), month("l_shipdate").alias("period")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("nav"), F.count("*").alias("holders"))
 
 
 @query(f"WITH {AG} SELECT entity, overdue, nav, round(overdue / nullif(nav, 0) * 100, 6) AS pct FROM ag JOIN navs USING (entity, period) WHERE period = DATE '2000-06-01' AND overdue / nullif(nav, 0) * 100 > 90 AND nav > 100000")
 def screen_zombie_growth(spark, d):
-    return S.growing_overdue(aged(spark, d), navs(spark, d), "2000-06-01", 90, 100000)
+    return S.growing_overdue(aged(spark, d, *JUNE), navs(spark, d, *JUNE), "2000-06-01", 90, 100000)
 
 
 @query(f"""WITH {FACT}, g AS (SELECT entity, min(holders) AS min_holders, max(nav) AS max_nav, count(*) AS n_months FROM fact WHERE period > DATE '2000-03-01' AND period <= DATE '2000-06-01' GROUP BY 1)
@@ -127,7 +130,7 @@ def screen_captive_vehicles(spark, d):
 @query(f"""WITH {AG}, g AS (SELECT entity, max(pct_long) AS max_pct, min(pct_long) AS min_pct, count(*) AS n_months FROM ag WHERE period > DATE '1999-06-01' AND period <= DATE '2000-06-01' GROUP BY 1)
 SELECT * FROM g WHERE max_pct > 60 AND max_pct - min_pct < 60""")
 def screen_evergreen_aging(spark, d):
-    return S.evergreen(aged(spark, d), "2000-06-01", 12, 60, 60)
+    return S.evergreen(aged(spark, d, "1999-07-01", "2000-07-01"), "2000-06-01", 12, 60, 60)
 
 
 @query("""WITH r AS (SELECT l_partkey, l_suppkey, l_shipdate::DATE AS day, l_shipdate::DATE + 90 AS maturity, nullif(l_returnflag, 'R') AS status, l_extendedprice AS v FROM lineitem),

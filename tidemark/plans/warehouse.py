@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.core import month, safe_div
 from tidemark.operators import analytics as A
 from tidemark.operators import facts
-from tidemark.plans.base import DAILY, FACT, LINES, SESSIONS, daily, entities, fact, lines, query, sessions, table
+from tidemark.plans.base import DAILY, FACT, LINES, SESSIONS, daily, entities, fact, lines, query, sessions, since_until, table
 
 AS_OF = "2001-08-15"
 
@@ -288,8 +288,8 @@ b AS (SELECT l_suppkey, period, sum(v::DECIMAL(18,2))::DOUBLE AS overdue, coales
 aging AS (SELECT l_suppkey, period, overdue, long_tail, round(d30 / nullif(overdue, 0) * 100, 2) AS pct_d30, round(d90 / nullif(overdue, 0) * 100, 2) AS pct_d90, round(d180 / nullif(overdue, 0) * 100, 2) AS pct_d180, round(long_tail / nullif(overdue, 0) * 100, 2) AS pct_long FROM b)"""
 
 
-def aging(spark, d):
-    rows = table(spark, d, "lineitem").select("l_suppkey", month("l_shipdate").alias("period"), (F.col("l_partkey") % 400 - 30).alias("days"), "l_extendedprice")
+def aging(spark, d, *days):
+    rows = since_until(table(spark, d, "lineitem"), "l_shipdate", *days).select("l_suppkey", month("l_shipdate").alias("period"), (F.col("l_partkey") % 400 - 30).alias("days"), "l_extendedprice")
     return A.aging_buckets(rows, ["l_suppkey", "period"], "days", "l_extendedprice", [30, 90, 180])
 
 
@@ -300,13 +300,13 @@ def fidc_aging_buckets(spark, d):
 
 @query(f"WITH {AGING} SELECT l_suppkey, pct_long, overdue FROM aging WHERE period = DATE '2000-06-01' ORDER BY pct_long DESC NULLS LAST, l_suppkey LIMIT 20")
 def fidc_aging_universe(spark, d):
-    return aging(spark, d).filter("period = date'2000-06-01'").select("l_suppkey", "pct_long", "overdue").orderBy(F.col("pct_long").desc_nulls_last(), "l_suppkey").limit(20)
+    return aging(spark, d, "2000-06-01", "2000-07-01").filter("period = date'2000-06-01'").select("l_suppkey", "pct_long", "overdue").orderBy(F.col("pct_long").desc_nulls_last(), "l_suppkey").limit(20)
 
 
 @query(f"""WITH {AGING} SELECT l_suppkey AS entity, n.pct_long AS now, t.pct_long AS "then", round(n.pct_long - t.pct_long, 6) AS delta FROM aging n JOIN aging t USING (l_suppkey)
 WHERE n.period = DATE '2000-06-01' AND t.period = DATE '2000-03-01' AND n.pct_long - t.pct_long >= 1""")
 def fidc_delinquency_screen(spark, d):
-    return A.acceleration_screen(aging(spark, d).withColumnRenamed("l_suppkey", "entity"), "pct_long", "2000-06-01", 3, 1.0)
+    return A.acceleration_screen(aging(spark, d, "2000-03-01", "2000-07-01").withColumnRenamed("l_suppkey", "entity"), "pct_long", "2000-06-01", 3, 1.0)
 
 
 @query(f"""WITH {LINES}, f AS (SELECT lender, date_trunc('month', day)::DATE AS period, coalesce(sum(value::DECIMAL(18,2)) FILTER (kind = 'A')::DOUBLE, 0) AS taken, coalesce(sum(value::DECIMAL(18,2)) FILTER (kind = 'R')::DOUBLE, 0) AS given FROM lines GROUP BY 1, 2),
