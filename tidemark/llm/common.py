@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.checkpoint import saved  # noqa: F401
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,16 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that later reads don't compute it again.
+def boxed(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others in one struct ``_row``: what an operator adds can't clash with columns that the
+    caller has, and no text is held twice."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in names] or [F.lit(None).alias("_none")]
+    return df.select(F.struct(*others).alias("_row"), *[F.col(f"`{c}`") for c in names])
 
-    The folder is the session's ``spark.checkpoint.dir``; one is made only where that is unset (local runs).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+
+def unboxed(df: DataFrame, columns: list[str], names: tuple[str, ...], **new: Column) -> DataFrame:
+    """The caller's columns: those in ``names`` (as given to ``boxed``) from the top, others from ``_row``, some anew."""
+    return df.select(*[(new[c] if c in new else F.col(f"`{c}`") if c in names else F.col("_row").getField(c)).alias(c) for c in columns])
 
 
 def running(df: DataFrame, group: list[str], order: list[str], value: Column, into: str, buckets: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.common import saved
+from tidemark.operators.graph import components
 
 SHINGLE, PERCENT = 5, 75
 #: Bytes of text for a bucket of shingles, about; buckets at least; bytes packed at once.
@@ -174,24 +175,6 @@ def candidates(counts: DataFrame) -> DataFrame:
     return counts.groupBy("home").applyInPandas(choose, "owner long, n long, keys array<long>, prefix array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the edges (a, b): root is the smallest node that it reaches.
-
-    Each round takes the smallest label of the neighbours, then the label of the label. Sums go by partial
-    aggregation; joins on a node with very many edges can be split by adaptive execution.
-    """
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("_old"), F.least("root", "_near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        new = saved(step.join(up, "root", "left").select("node", "_old", F.least("root", "_up").alias("root")))
-        labels = new.select("node", "root")
-        if new.filter("_old <> root").isEmpty():
-            return labels
-
-
 class Family:
     """The sets of a family in one task, with the components that are known so far."""
 

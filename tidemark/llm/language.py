@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import boxed
+
 #: Characters of labelled text for each language's automaton, at most; and how many labelled documents are drawn for
 #: each language, about, to get them.
 SAMPLE_CHARS, SAMPLE_DOCS = 32_768, 120
@@ -23,9 +25,9 @@ SAMPLE_CHARS, SAMPLE_DOCS = 32_768, 120
 SEGMENT, LANES, BATCH = 1024, 2048, 1_000_000
 
 
-def held_out():
+def held_out(doc_id="doc_id"):
     """Whether a document is kept from training: the CRC-32 of its id, as text, modulo 3, is 1."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
 def samples(docs: DataFrame) -> dict[str, str]:
@@ -195,18 +197,10 @@ def parser(texts: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(texts))
 
 
-def identify(docs: DataFrame, learned: dict[str, str] | None = None) -> DataFrame:
-    """``docs`` with held_out, lang_pred and score (0 to 1) added.
-
-    Only the text decides. Null texts, texts without a letter, and all texts where nothing was learned: ``und``, score 0.
-    Otherwise the score is the saving of the best language's bits over the second's; ties go to the smaller name (score
-    0); with one learned language it is 1. Whole texts of any length are parsed, in segments. Rows keep their order of
-    partitions: nothing is shuffled. Extra columns pass through; an own column of one of the three names is replaced.
-    """
+def recognised(docs: DataFrame, learned: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` as ``_row``, with ``_told`` (lang_pred, score). Only the text decides."""
     texts = tuple(sorted((samples(docs) if learned is None else learned).items()))
     shared = docs.sparkSession.sparkContext.broadcast(texts)  # at most SAMPLE_CHARS characters a language
-    names = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
-
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = parser(shared.value)
@@ -228,5 +222,18 @@ def identify(docs: DataFrame, learned: dict[str, str] | None = None) -> DataFram
                 at = end
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    told = docs.select(*names, predict(F.col("text")).alias("_told"))
-    return told.select(*names, held_out().alias("held_out"), F.col("_told.lang_pred").alias("lang_pred"), F.col("_told.score").alias("score"))
+    return boxed(docs, "text").select("_row", "text", predict(F.col("text")).alias("_told"))
+
+
+def identify(docs: DataFrame, learned: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` with held_out, lang_pred and score (0 to 1) added.
+
+    Only the text decides. Null texts, texts without a letter, and all texts where nothing was learned: ``und``, score 0.
+    Otherwise the score is the saving of the best language's bits over the second's; ties go to the smaller name (score
+    0); with one learned language it is 1. Whole texts of any length are parsed, in segments. Rows keep their order of
+    partitions: nothing is shuffled. Repeated rows are judged alike. Extra columns pass through; an own column of one of
+    the three names is replaced.
+    """
+    names = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    told = recognised(docs, learned)
+    return told.select(*[(F.col("text") if c == "text" else F.col("_row").getField(c)).alias(c) for c in names], held_out(F.col("_row.doc_id")).alias("held_out"), F.col("_told.lang_pred").alias("lang_pred"), F.col("_told.score").alias("score"))

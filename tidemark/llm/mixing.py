@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, running, saved
+from tidemark.llm.common import WORD, boxed, running, saved, unboxed
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -61,12 +61,12 @@ def repeat(docs: DataFrame, **how) -> DataFrame:
     Rows are joined to their share by doc_id, which must be unique and not null (true after deduplication).
     """
     share = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_id"])
-    rows = docs.join(share, F.col("doc_id") == F.col("_id")).filter(F.col("_taken") > 0)
+    rows = boxed(docs, "doc_id", "text").join(share, F.col("doc_id") == F.col("_id")).filter(F.col("_taken") > 0)
     copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
     rows = rows.withColumn("_copy", F.explode(copies)).withColumn("_left", F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int"))
     lead = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_left")), " ")
-    text = F.when(F.col("_left") < F.col("_size"), lead).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
+    rows = rows.withColumn("_text", F.when(F.col("_left") < F.col("_size"), lead).otherwise(F.col("text")))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return unboxed(rows, docs.columns, ("doc_id", "text"), **new)

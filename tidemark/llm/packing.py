@@ -28,6 +28,8 @@ REMEMBERED, END, NONE = 50_000, 1, 1 << 30
 KIND = np.zeros(256, np.int8)
 KIND[[*range(65, 91), *range(97, 123)]] = 1
 KIND[list(b".,;:!?")] = 2
+#: Branches after which the rest is packed by best fit for a new incumbent (at each of the first so many, and at every end).
+TRIED = 64
 #: Pieces that fillings of a bin are enumerated around, and bins branched on, at most, before best fit fills the rest.
 FILLINGS, BRANCHES = 24, 4000
 
@@ -369,9 +371,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         open_.append([])
         if -(-(total + waste) // capacity) >= best:
             continue
-        rest = best_fit(left, capacity)
-        if bins + (n := sum(n for _, n in rest)) < best:
-            incumbent, best = done + rest, bins + n
+        if branches < TRIED or not branches % TRIED or not left:
+            rest = best_fit(left, capacity)
+            if bins + (n := sum(n for _, n in rest)) < best:
+                incumbent, best = done + rest, bins + n
         if not left or best <= floor:
             continue
         branches += 1

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import boxed, saved, unboxed
 
 KINDS = ("assign", "access", "hex", "random")
 PATTERNS = {
@@ -166,8 +166,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", rate: float = RATE) -> DataF
 
     Two scans: one for the cutoffs over all texts, one that applies them. Nothing is shuffled.
     """
-    own = docs.columns
-    out = spans(findings(docs), cutoffs(findings(docs.select("text")), rate))
+    out = spans(findings(boxed(docs, "text")), cutoffs(findings(docs.select("text")), rate))
     begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -175,8 +174,8 @@ def redact(docs: DataFrame, mask: str = "[secret]", rate: float = RATE) -> DataF
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["at"] + 1, F.length("text")))
-    clear = F.when(F.size("_spans") > 0, F.aggregate("_spans", begin, step, rest)).otherwise(F.col("text"))
-    out = out.withColumn("_clear", clear).drop("text").withColumnRenamed("_clear", "text")
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*own)
+    out = out.withColumn("_clear", F.when(F.size("_spans") > 0, F.aggregate("_spans", begin, step, rest)).otherwise(F.col("text")))
+    new = {"text": F.col("_clear")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("_spans") > 0, F.length("_clear").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return unboxed(out, docs.columns, ("text",), **new)
