@@ -97,6 +97,10 @@ def test_refusals(spark):
         guards.unique(spark.createDataFrame([(1,), (1,)], "k int"), ["k"], "x")
     assert guards.panel_cursor("2026-01-31|a|nav|") == (day("2026-01-31"), "a", "nav", "")
     guards.panel_ids(["a"] * 50, signed_in=True)
+    assert guards.nav_cursor("2026-01-31|x", ["a"]) == (day("2026-01-31"), "x") and guards.nav_cursor(None, []) is None
+    for ids, text in ((["a", "b"], "2026-01-31|x"), (["a"], "2026-01-31"), (["a"], "x|y")):
+        with pytest.raises(guards.Refused):
+            guards.nav_cursor(text, ids)
 
 
 def test_block_bootstrap_is_what_numpy_gives(spark):

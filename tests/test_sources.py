@@ -126,3 +126,12 @@ def test_price_report(spark, tmp_path):
     rows = S.read_report(spark, str(tmp_path / "r.xml"), roots=("DI1",)).collect()
     assert [(r.ticker, float(r.settlement), r.open_interest, r.trade_date) for r in rows] == [("DI1F19", 99.5, None, datetime.date(2018, 1, 2))]
     assert S.read_report(spark, str(tmp_path / "r.xml")).count() == 2
+
+
+def test_records_as_facts_and_labelled_values(spark):
+    rows = spark.createDataFrame([("AB", "1.234,5", ""), ("CD", None, "7")], "code string, Min string, Max string")
+    got = sorted((r.code, r.metric, float(r.value)) for r in S.long_facts(rows, ["code"], {"Min": "low", "Max": "high"}).collect())
+    assert got == [("AB", "low", 1234.5), ("CD", "high", 7.0)]
+    page = spark.createDataFrame([("<td>Emissor:</td><td> <b>ACME SA</b></td><p>Taxa 7,5 %</p><td>Data:</td>",)], "html string")
+    r = S.labelled_values(page, "html", {"issuer": "Emissor", "rate": "taxa", "day": "Data", "none": "Nada"}).first()
+    assert (r.issuer, r.rate, r.day, r.none) == ("ACME SA", "7,5 %", None, None)

@@ -82,6 +82,18 @@ def panel_cursor(text: str | None) -> tuple[date, str, str, str] | None:
     return (date_cursor(parts[0]), *parts[1:])
 
 
+def nav_cursor(text: str | None, ids: Sequence[str]) -> tuple[date, str] | None:
+    """The parts of a cursor date|class of one entity's values; with several entities it can't be told which it is of."""
+    if text is None:
+        return None
+    if len(ids) != 1:
+        raise Refused("a cursor needs exactly one id")
+    day, bar, name = text.partition("|")
+    if not bar:
+        raise Refused(f"cursor {text!r} doesn't have two parts")
+    return date_cursor(day), name
+
+
 def unique(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """``df``, or a refusal if a key occurs twice."""
     if not df.groupBy(*keys).count().filter(F.col("count") > 1).isEmpty():

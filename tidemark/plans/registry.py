@@ -90,3 +90,21 @@ def walk_forward(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumn("label", F.when(F.col("_next").isNotNull(), (F.col("_next") > F.col("amount")).cast("double")))
     told = forecast.walk_forward(rows, "series", "day", ["amount", "n", "change"], "label", 2, 1996, least=50)
     return told.select("series", "day", "year", "label", F.element_at("p", 2).alias("p_up"), F.element_at("clim", 2).alias("clim_up"))
+
+
+#: Fixed values of the adaptation: which index stands for a class.
+CLASS_INDEX = {"ECONOMY": "view", "PROMO": "click", "STANDARD": "purchase"}
+
+
+@query("SELECT p_partkey AS id, p_type AS class, m.index_code FROM part LEFT JOIN (VALUES ('ECONOMY', 'view'), ('PROMO', 'click'), ('STANDARD', 'purchase')) m(class, index_code) ON m.class = p_type")
+def class_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index that stands for each security's class, null where none does."""
+    known = F.create_map(*[F.lit(x) for pair in CLASS_INDEX.items() for x in pair])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("class"), F.try_element_at(known, F.col("p_type")).alias("index_code"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, nullif(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '') AS heading FROM pages")
+def page_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields cut from pages: host, title, first heading."""
+    part = lambda c, p: F.regexp_extract(c, p, 1)
+    return table(spark, d, "pages").select("page_id", part("url", r"^https?://([^/?#]+)").alias("host"), F.nullif(F.trim(part("html", "<title>([^<]*)</title>")), F.lit("")).alias("title"), F.nullif(F.trim(part("html", "<h1>([^<]*)</h1>")), F.lit("")).alias("heading"))

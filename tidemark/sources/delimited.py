@@ -43,3 +43,19 @@ def wide_to_long(rows: DataFrame, date: str, tenors: Mapping[str, str], date_for
     own = rows.select(F.try_to_timestamp(F.trim(date), F.lit(date_format)).cast("date").alias("observation_date"), *[F.col(f"`{c}`").alias(tenors[c]) for c in columns])
     long = own.unpivot(["observation_date"], [tenors[c] for c in columns], "series_id", "value")
     return long.withColumn("value", T.to_decimal("value")).dropna()
+
+
+def long_facts(rows: DataFrame, keys: Sequence[str], metrics: Mapping[str, str]) -> DataFrame:
+    """Records told as facts: the keys, metric and value (a number with decimal comma or point), one row per record and
+    metric that holds a number. metrics: source column -> metric."""
+    own = rows.select(*keys, *[F.col(f"`{c}`").cast("string").alias(m) for c, m in metrics.items()])
+    return own.unpivot(list(keys), list(metrics.values()), "metric", "value").withColumn("value", T.to_decimal("value")).dropna(subset=["value"])
+
+
+def labelled_values(pages: DataFrame, text: str, labels: Mapping[str, str]) -> DataFrame:
+    """``pages`` with a column per label: what stands between the label and the end of its line or element, tags and blanks
+    around it left out; null where the label isn't found or nothing follows."""
+    from re import escape
+
+    value = lambda mark: F.trim(F.regexp_extract(text, rf"(?i){escape(mark)}\s*+:?+\s*+(?:<[^>]*>\s*)*+([^<\r\n]+)", 1))
+    return pages.withColumns({name: F.nullif(value(mark), F.lit("")) for name, mark in labels.items()})
