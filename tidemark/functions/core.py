@@ -36,9 +36,9 @@ def total(c: Name, scale: int = 2) -> Column:
 
 
 def weighted(value: Name, weight: Name) -> Column:
-    """Mean weighted by a quantity, from exact sums and to twelve digits; null where the weights sum to 0."""
+    """Mean weighted by a quantity, from exact sums and to nine digits; null where the weights sum to 0."""
     product = as_column(weight).cast("decimal(18,2)") * as_column(value).cast("decimal(18,6)")
-    return F.round(safe_div(F.sum(product), F.sum(F.when(as_column(value).isNotNull(), as_column(weight).cast("decimal(18,2)")))), 12)
+    return F.round(safe_div(F.sum(product), F.sum(F.when(as_column(value).isNotNull(), as_column(weight).cast("decimal(18,2)")))), 9)
 
 
 def pct_cont(c: Name, p: float) -> Column:

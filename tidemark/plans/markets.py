@@ -46,7 +46,7 @@ def positions(spark, d):
 SHORT = FLOATS + ", " + POSITIONS + """,
 adq AS (SELECT ticker, day, avg(qty) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS adqty FROM sessions),
 own AS (SELECT ticker, day, sum(qty)::BIGINT AS short_qty, sum(qty::DECIMAL(18,2) * rate::DECIMAL(18,6))::DOUBLE / nullif(sum(qty), 0) AS rate FROM positions GROUP BY 1, 2),
-short AS (SELECT ticker, day, short_qty, round(rate::DECIMAL(38,12), 6)::DOUBLE AS rate, round(short_qty / nullif(float_shares, 0) * 100, 6) AS pct_float, round(short_qty / nullif(adqty, 0), 6) AS days_to_cover
+short AS (SELECT ticker, day, short_qty, round(rate::DECIMAL(38,9), 6)::DOUBLE AS rate, round(short_qty / nullif(float_shares, 0) * 100, 6) AS pct_float, round(short_qty / nullif(adqty, 0), 6) AS days_to_cover
   FROM own LEFT JOIN floats USING (ticker) LEFT JOIN adq USING (ticker, day))"""
 
 
@@ -81,15 +81,15 @@ def investor_flow_daily(spark, d):
     return M.month_deltas(mtd, ["event_type"], "day", "v", ev.select("day"))
 
 
-@query(f"""WITH {LINES} SELECT day, kind, count(*) AS n_trades, sum(qty) AS qty, round((sum(qty::DECIMAL(18,2) * rate::DECIMAL(18,6))::DOUBLE / nullif(sum(qty), 0))::DECIMAL(38,12), 6)::DOUBLE AS mean_rate, min(rate) AS min_rate, max(rate) AS max_rate,
+@query(f"""WITH {LINES} SELECT day, kind, count(*) AS n_trades, sum(qty) AS qty, round((sum(qty::DECIMAL(18,2) * rate::DECIMAL(18,6))::DOUBLE / nullif(sum(qty), 0))::DECIMAL(38,9), 6)::DOUBLE AS mean_rate, min(rate) AS min_rate, max(rate) AS max_rate,
   count(DISTINCT lender) AS n_lenders, count(DISTINCT borrower) AS n_borrowers, count(*) FILTER (lender IS NOT DISTINCT FROM borrower) AS n_internal FROM lines GROUP BY 1, 2""")
 def lending_trade_daily(spark, d):
     return M.lending_trades(lines(spark, d), ["day", "kind"])
 
 
 @query(f"""WITH {LINES}, legs AS (SELECT day, lender AS participant, 'l' AS side, qty, rate FROM lines UNION ALL SELECT day, borrower, 'b', qty, rate FROM lines)
-SELECT day, participant, coalesce(sum(qty) FILTER (side = 'l'), 0) AS lent_qty, round((sum(qty::DECIMAL(18,2) * rate::DECIMAL(18,6)) FILTER (side = 'l')::DOUBLE / nullif(sum(qty) FILTER (side = 'l'), 0))::DECIMAL(38,12), 6)::DOUBLE AS lent_rate,
-  coalesce(sum(qty) FILTER (side = 'b'), 0) AS borrowed_qty, round((sum(qty::DECIMAL(18,2) * rate::DECIMAL(18,6)) FILTER (side = 'b')::DOUBLE / nullif(sum(qty) FILTER (side = 'b'), 0))::DECIMAL(38,12), 6)::DOUBLE AS borrowed_rate,
+SELECT day, participant, coalesce(sum(qty) FILTER (side = 'l'), 0) AS lent_qty, round((sum(qty::DECIMAL(18,2) * rate::DECIMAL(18,6)) FILTER (side = 'l')::DOUBLE / nullif(sum(qty) FILTER (side = 'l'), 0))::DECIMAL(38,9), 6)::DOUBLE AS lent_rate,
+  coalesce(sum(qty) FILTER (side = 'b'), 0) AS borrowed_qty, round((sum(qty::DECIMAL(18,2) * rate::DECIMAL(18,6)) FILTER (side = 'b')::DOUBLE / nullif(sum(qty) FILTER (side = 'b'), 0))::DECIMAL(38,9), 6)::DOUBLE AS borrowed_rate,
   coalesce(sum(qty) FILTER (side = 'l'), 0) - coalesce(sum(qty) FILTER (side = 'b'), 0) AS net_qty FROM legs GROUP BY 1, 2""")
 def lending_participant_daily(spark, d):
     return M.participant_legs(lines(spark, d), ["day"])
@@ -124,7 +124,7 @@ def cash_events(spark, d):
     return M.next_session(own, sessions(spark, d), "ticker", "last_cum", 7)
 
 
-@query(f"""WITH {CASH} SELECT *, CASE WHEN ex_day IS NOT NULL THEN 'cash' WHEN last_cum >= DATE '2024-01-24' THEN 'pending' ELSE 'unresolved' END AS kind FROM cash""")
+@query(f"""WITH {CASH} SELECT * REPLACE (round(amount, 6) AS amount), CASE WHEN ex_day IS NOT NULL THEN 'cash' WHEN last_cum >= DATE '2024-01-24' THEN 'pending' ELSE 'unresolved' END AS kind FROM cash""")
 def cash_event_resolution(spark, d):
     kind = F.when(F.col("ex_day").isNotNull(), "cash").when(F.col("last_cum") >= F.lit("2024-01-24").cast("date"), "pending").otherwise("unresolved")
     return cash_events(spark, d).dropDuplicates().withColumn("kind", kind)
@@ -149,7 +149,7 @@ def panel_close_return(spark, d):
 
 
 @query("""WITH o AS (SELECT l_orderkey, l_partkey, l_extendedprice / l_quantity AS price FROM lineitem), c AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_candidates, min(l_suppkey) AS s, min(l_extendedprice / l_quantity) AS cl FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT l_orderkey, l_partkey, round(price, 6) AS price, n_candidates, CASE WHEN n_candidates = 1 AND abs(price - cl) <= 0.005::DOUBLE * cl THEN s END AS l_suppkey FROM o LEFT JOIN c USING (l_orderkey)""")
+SELECT l_orderkey, l_partkey, round(price::DECIMAL(38,9), 6)::DOUBLE AS price, n_candidates, CASE WHEN n_candidates = 1 AND abs(price - cl) <= 0.005::DOUBLE * cl THEN s END AS l_suppkey FROM o LEFT JOIN c USING (l_orderkey)""")
 def isin_resolution(spark, d):
     rows = table(spark, d, "lineitem").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
     known = rows.filter("l_returnflag = 'R'").select("l_orderkey", "l_suppkey", F.col("price").alias("close"))

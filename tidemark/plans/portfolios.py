@@ -211,10 +211,10 @@ def portfolio_sector(spark, d):
 
 @query(f"""WITH {HELD}, b AS (SELECT line, date_diff('day', bought, DATE '1996-06-30') AS days, value * ((line % 21) - 5) / 100 AS gain, status = 'P' AS exempt FROM held WHERE bought <= DATE '1996-06-30'),
 r AS (SELECT *, CASE WHEN days <= 180 THEN 0.225 WHEN days <= 360 THEN 0.2 WHEN days <= 720 THEN 0.175 ELSE 0.15 END::DOUBLE AS rate, CASE WHEN days < 30 THEN floor((30 - days) * 100 / 30) / 100 ELSE 0 END::DOUBLE AS levy FROM b)
-SELECT line, days, rate, levy, round(CASE WHEN exempt THEN 0 ELSE greatest(gain, 0) * levy + greatest(gain, 0) * (1 - levy) * rate END, 6) AS tax, round(CASE WHEN exempt THEN gain / (1 - rate) END, 6) AS gross_up FROM r""")
+SELECT line, days, rate, levy, round((CASE WHEN exempt THEN 0 ELSE greatest(gain, 0) * levy + greatest(gain, 0) * (1 - levy) * rate END)::DECIMAL(38,9), 6)::DOUBLE AS tax, round(CASE WHEN exempt THEN gain / (1 - rate) END, 6) AS gross_up FROM r""")
 def portfolio_tax(spark, d):
     own = held(spark, d).filter("bought <= date'1996-06-30'").withColumns({"day": F.lit("1996-06-30").cast("date"), "gain": F.col("value") * (F.col("line") % 21 - 5) / 100, "exempt": F.col("status") == "P"})
-    return P.tax(own, "day", "bought", "gain", "exempt").select("line", "days", "rate", "levy", "tax", "gross_up")
+    return P.tax(own, "day", "bought", "gain", "exempt").select("line", "days", "rate", "levy", F.round("tax", 9).alias("tax"), "gross_up")
 
 
 FEES = """fa AS (SELECT l_suppkey AS entity, l_shipdate::DATE AS day, l_tax * 100 - 1 AS fee FROM lineitem WHERE l_returnflag = 'A'), fb AS (SELECT l_suppkey AS entity, l_shipdate::DATE AS day, l_discount * 100 AS fee FROM lineitem WHERE l_returnflag = 'R'),
@@ -279,10 +279,10 @@ def portfolio_credit_returns(spark, d):
 
 
 @query("""WITH m AS (SELECT l_partkey % 50 AS k, date_trunc('month', l_shipdate)::DATE AS period, count(*) AS n, median(l_extendedprice / l_quantity) AS median FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 3), c AS (SELECT *, median / nullif(lag(median) OVER (PARTITION BY k ORDER BY period), 0) - 1 AS change FROM m)
-SELECT k, period, n, round(median, 6) AS median, round(change, 6) AS change, coalesce(change < -0.05, false) AS is_pending FROM c""")
+SELECT k, period, n, round(median::DECIMAL(38,9), 6)::DOUBLE AS median, round(change, 6) AS change, coalesce(change < -0.05, false) AS is_pending FROM c""")
 def portfolio_debenture_returns(spark, d):
     rows = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("k"), month("l_shipdate").alias("period"), safe_div("l_extendedprice", "l_quantity").alias("price"))
-    return P.median_price_returns(rows, "k", 3, 5.0)
+    return P.median_price_returns(rows, "k", 3, 5.0).withColumn("median", F.round("median", 9))
 
 
 @query(f"""WITH {HELD}, g AS (SELECT portfolio, sum(value::DECIMAL(18,2))::DOUBLE AS total, count(*) AS n FROM held GROUP BY 1)

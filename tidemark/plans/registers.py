@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import latest_by
+from tidemark.functions.core import latest_by, total
 from tidemark.operators import filings as L
 from tidemark.plans.base import query, table
 
@@ -142,15 +142,15 @@ def macro_series(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy(F.col("event_type").alias("series"), day.alias("day")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
-@query("SELECT user_id % 5 AS currency, ts::DATE AS day, round(avg(value::DECIMAL(18,2))::DOUBLE, 6) AS buy, max(value) AS sell, round(max(value) - avg(value::DECIMAL(18,2))::DOUBLE, 6) AS spread FROM events GROUP BY 1, 2")
+@query("SELECT user_id % 5 AS currency, ts::DATE AS day, round(avg(value::DECIMAL(18,2))::DOUBLE, 6) AS buy, max(value) AS sell, round((max(value) - avg(value::DECIMAL(18,2))::DOUBLE)::DECIMAL(38,9), 6)::DOUBLE AS spread FROM events GROUP BY 1, 2")
 def fx_daily(spark: SparkSession, d: str) -> DataFrame:
     """Daily rates of each currency."""
     own = table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("currency"), F.col("ts").cast("date").alias("day"))
-    mean = F.avg(F.col("value").cast("decimal(18,2)")).cast("double")
-    return own.agg(mean.alias("buy"), F.max("value").alias("sell"), (F.max("value") - mean).alias("spread"))
+    mean = total("value") / F.count("*")
+    return own.agg(mean.alias("buy"), F.max("value").alias("sell"), F.round(F.max("value") - mean, 9).alias("spread"))
 
 
-@query("SELECT event_type AS indicator, ts::DATE AS day, (json_extract(props, '$.k')::INT) % 4 AS horizon, median(value) AS median, count(*) AS n FROM events WHERE json_extract(props, '$.k')::INT >= 20 GROUP BY ALL")
+@query("SELECT event_type AS indicator, ts::DATE AS day, (json_extract(props, '$.k')::INT) % 4 AS horizon, round(median(value), 6) AS median, count(*) AS n FROM events WHERE json_extract(props, '$.k')::INT >= 20 GROUP BY ALL")
 def focus_expectations(spark: SparkSession, d: str) -> DataFrame:
     """Survey medians by horizon, which the rows' JSON holds."""
     k = F.get_json_object("props", "$.k").cast("int")

@@ -54,7 +54,7 @@ def share_count_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {HELD}, {FEES}, x AS (SELECT portfolio, value, fee FROM held LEFT JOIN fees ON entity = line % 10)
 SELECT portfolio, sum(value::DECIMAL(18,2))::DOUBLE AS total, coalesce(sum(value::DECIMAL(18,2)) FILTER (fee IS NOT NULL), 0)::DOUBLE AS covered, count(*) FILTER (fee IS NULL) AS n_without,
-  round((sum(value::DECIMAL(18,2) * round(fee, 6)::DECIMAL(18,6))::DOUBLE / nullif(sum(value::DECIMAL(18,2)) FILTER (fee IS NOT NULL), 0)::DOUBLE)::DECIMAL(38,12), 6)::DOUBLE AS mean_fee FROM x GROUP BY 1""")
+  round((sum(value::DECIMAL(18,2) * round(fee, 6)::DECIMAL(18,6))::DOUBLE / nullif(sum(value::DECIMAL(18,2)) FILTER (fee IS NOT NULL), 0)::DOUBLE)::DECIMAL(38,9), 6)::DOUBLE AS mean_fee FROM x GROUP BY 1""")
 def fees_summary(spark: SparkSession, d: str) -> DataFrame:
     """Each portfolio's mean fee, weighted by value, and how much of it has a fee at all."""
     fees = disclosed(spark, d).select(F.col("entity").alias("_fund"), F.round("fee", 6).alias("fee"))
@@ -62,7 +62,7 @@ def fees_summary(spark: SparkSession, d: str) -> DataFrame:
     known = F.when(F.col("fee").isNotNull(), F.col("value"))
     weight = F.col("value").cast("decimal(18,2)")
     out = own.groupBy("portfolio").agg(total("value").alias("total"), F.coalesce(total(known), F.lit(0.0)).alias("covered"), F.count_if(F.col("fee").isNull()).alias("n_without"), F.sum(weight * F.col("fee").cast("decimal(18,6)")).cast("double").alias("_sum"))
-    return out.withColumn("mean_fee", F.round(F.col("_sum") / F.nullif(F.col("covered"), F.lit(0.0)), 12)).drop("_sum")
+    return out.withColumn("mean_fee", F.round(F.col("_sum") / F.nullif(F.col("covered"), F.lit(0.0)), 9)).drop("_sum")
 
 
 @query("""WITH a AS (SELECT c_custkey AS id, c_name AS asked FROM customer UNION ALL SELECT s_suppkey + 1000000, s_name FROM supplier), k AS (SELECT s_suppkey AS company, lower(replace(s_name, '#', ' ')) AS norm, s_name AS name FROM supplier)
