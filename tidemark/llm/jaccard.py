@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
@@ -34,8 +34,8 @@ BUCKET, LEAST_BUCKETS, BATCH = 8_000_000, 64, 2_000_000
 COMMON, MOST_COMMON = 16, 65_536
 #: Sets of a family that one task joins at most; pivots of the first round, over tasks and in one; their growth by round.
 FAMILY, PIVOTS, INNER, GROWTH = 1024, 16, 8, 4
-#: Parts that a large family's sets are dealt to; a component with more than 1 in HOT of all rows is looked up apart.
-SALTS, HOT = 16, 10_000
+#: A component with more than 1 in HOT of all rows is looked up apart.
+HOT = 10_000
 _HOT = np.iinfo(np.int32).max
 
 
@@ -178,8 +178,8 @@ def candidates(counts: DataFrame) -> DataFrame:
 class Family:
     """The sets of a family in one task, with the components that are known so far."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        self.owners, self.n = pdf["owner"].to_numpy(), pdf["n"].to_numpy()
+    def __init__(self, pdf: pd.DataFrame, percent: int = PERCENT):
+        self.percent, self.owners, self.n = percent, pdf["owner"].to_numpy(), pdf["n"].to_numpy()
         self.lens = np.array([len(k) for k in pdf["keys"]])
         names, self.flat = np.unique(np.concatenate(pdf["keys"].to_list()), return_inverse=True)
         self.starts = np.cumsum(self.lens) - self.lens
@@ -208,7 +208,7 @@ class Family:
             self.label[self.label == self.label[y]] = self.label[x]
 
     def linked(self, both: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
-        return 100 * both >= PERCENT * (self.n[others] + self.n[x] - both)
+        return 100 * both >= self.percent * (self.n[others] + self.n[x] - both)
 
     def join(self) -> list[tuple[int, int]]:
         """Links that hold the components together.
@@ -233,7 +233,7 @@ class Family:
                     self.link(p, x)
                 closer = within & (d < best)
                 best[closer], home[closer] = d[closer], k
-                near.append(live[d <= 2 * (1 - PERCENT / 100) + 1e-9])
+                near.append(live[d <= 2 * (1 - self.percent / 100) + 1e-9])
             for k, p in enumerate(chosen.tolist()):
                 region = live[home == k]
                 if not len(region):
@@ -248,19 +248,19 @@ class Family:
         return self.links
 
 
-def linked_in(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+def linked_in(pdf: pd.DataFrame, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that hold a small family's components together, found exactly.
 
     Sets of one ``root`` are known to be in one component; null: nothing is known.
     """
-    return Family(pdf).join()
+    return Family(pdf, percent).join()
 
 
-def _families(members: DataFrame) -> DataFrame:
+def _families(members: DataFrame, percent: int) -> DataFrame:
     """Links of small families: rows family, owner, n, keys (and root)."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(linked_in(pdf) if len(pdf) > 1 else [], columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(linked_in(pdf, percent) if len(pdf) > 1 else [], columns=["a", "b"], dtype="int64")
 
     return members.groupBy("family").applyInPandas(join, "a long, b long")
 
@@ -270,40 +270,72 @@ def links(sets: DataFrame) -> DataFrame:
     by_key = sets.select(F.explode("prefix").alias("key"), "owner")
     stars = by_key.join(by_key.groupBy("key").agg(F.min("owner").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m"), "key").select("a", F.col("owner").alias("b")).filter("a <> b").distinct()
     family = components(stars).select(F.col("node").alias("owner"), F.col("root").alias("family"))
-    members = saved(sets.select("owner", "n", "keys").join(family, "owner"))
+    return linked(sets.select("owner", "n", "keys").join(family, "owner"), PERCENT)
+
+
+def linked(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that hold the components within families together: rows family, owner, n, keys."""
+    members = saved(members)
     sizes = saved(members.groupBy("family").agg(F.count("*").alias("size")))
-    out = _families(members.join(sizes.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"))
-    large = members.join(sizes.filter(F.col("size") > FAMILY).drop("size"), "family", "left_semi")
+    out = _families(members.join(sizes.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"), percent)
+    large = members.join(sizes.filter(F.col("size") > FAMILY), "family")
     step = 0
     while True:
         large = saved(large)
         if large.isEmpty():
             return out
-        more, large = _voronoi(large, step)
+        more, large = _voronoi(large, step, percent)
         out = out.unionByName(more)
         left = saved(large.groupBy("family").agg(F.count("*").alias("size")))
-        out = out.unionByName(_families(large.join(left.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi")))
-        large = large.join(left.filter(F.col("size") > FAMILY).drop("size"), "family", "left_semi")
+        large = large.drop("size")
+        out = out.unionByName(_families(large.join(left.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"), percent))
+        large = large.join(left.filter(F.col("size") > FAMILY), "family")
         step += 1
 
 
-def _voronoi(large: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
-    """One round of pivots in large families: the links found, and the sets outside all regions."""
-    order = Window.partitionBy("family").orderBy(F.xxhash64("owner", F.lit(step)))
-    pivots = large.select("family", "owner").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= PIVOTS * GROWTH**step)
-    pivots = saved(large.join(pivots.select("owner", "at"), "owner").select("family", "at", F.col("owner").alias("pivot"), F.col("n").alias("pn"), F.col("keys").alias("pk")))
-    # a family's sets are dealt to SALTS parts, each of which meets all its pivots; sets of too different sizes can't be near
-    salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = F.when((F.col("n") <= 2 * F.col("pn")) & (F.col("pn") <= 2 * F.col("n")), F.size(F.array_intersect("keys", "pk"))).otherwise(0)
-    met = large.withColumn("salt", F.pmod(F.xxhash64("owner", F.lit("salt")), F.lit(SALTS)).cast("int")).join(salted, ["family", "salt"]).withColumn("both", both).withColumn("d", 1 - F.col("both") / (F.col("n") + F.col("pn") - F.col("both")))
-    met = met.withColumn("d", F.when(F.col("owner") == F.col("pivot"), 0.0).otherwise(F.col("d")))  # its keys are only those that others hold too
-    linked = (F.col("owner") == F.col("pivot")) | (100 * F.col("both") >= PERCENT * (F.col("n") + F.col("pn") - F.col("both")))
-    seen = met.groupBy("owner").agg(
-        F.min(F.when(linked, F.struct("d", "pivot"))).alias("home"),
-        F.collect_list(F.when(linked & (F.col("owner") != F.col("pivot")), F.col("pivot"))).alias("to"),
-        F.collect_list(F.when(~linked & (F.col("d") <= 2 * (1 - PERCENT / 100)), F.col("pivot"))).alias("near"),
-    )
-    seen = saved(seen.select("owner", F.col("home.pivot").alias("home"), "to", "near"))
+def _met(large: DataFrame, step: int, percent: int) -> DataFrame:
+    """What each set of a large family has to do with its pivots: home (the nearest within the threshold), to (those that
+    it links to), near (others that a link may lead past).
+
+    About PIVOTS * GROWTH ** step sets a family are pivots, chosen by hash where they stand. A family's sets are dealt to
+    parts of FAMILY and its pivots to parts of FAMILY / 4; each two parts meet in one task.
+    """
+    want = PIVOTS * GROWTH**step
+    sets = large.withColumns({"chunks": F.ceil(F.col("size") / FAMILY).cast("int"), "parts": F.ceil(F.least(F.lit(want), F.col("size")) * 4 / FAMILY).cast("int"), "_draw": F.pmod(F.xxhash64("owner", F.lit(step)), F.col("size"))})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("owner", F.lit(n), F.lit(step)), F.col(n)).cast("int")
+    pivots = sets.filter(F.col("_draw") < want).withColumn("part", own("parts")).select("family", every("chunks").alias("chunk"), "part", "owner", "n", "keys", F.lit(True).alias("pivot"))
+    others = sets.withColumn("chunk", own("chunks")).select("family", "chunk", every("parts").alias("part"), "owner", "n", "keys", F.lit(False).alias("pivot"))
+    far = 2 * (1 - percent / 100) + 1e-9
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = Family(pdf, percent)
+        members, chosen = np.flatnonzero(~pdf["pivot"]), np.flatnonzero(pdf["pivot"])
+        best, home = np.full(len(members), np.inf), np.zeros(len(members), np.int64)
+        to: list[list[int]] = [[] for _ in members]
+        near: list[list[int]] = [[] for _ in members]
+        for p in chosen.tolist() if len(members) else []:
+            name = int(cell.owners[p])
+            both = cell.common(p, members)
+            d = 1 - both / (cell.n[members] + cell.n[p] - both)
+            within, itself = cell.linked(both, p, members), cell.owners[members] == name
+            d[itself], within[itself] = 0, True  # its keys may be only those that others hold too
+            for x in np.flatnonzero(within & ~itself).tolist():
+                to[x].append(name)
+            for x in np.flatnonzero(~within & (d <= far)).tolist():
+                near[x].append(name)
+            closer = within & ((d < best) | ((d == best) & (name < home)))
+            best[closer], home[closer] = d[closer], name
+        return pd.DataFrame({"owner": cell.owners[members], "d": best, "home": home, "to": pd.Series(to, dtype=object), "near": pd.Series(near, dtype=object)})
+
+    met = pivots.unionByName(others).groupBy("family", "chunk", "part").applyInPandas(meet, "owner long, d double, home long, to array<long>, near array<long>")
+    told = met.groupBy("owner").agg(F.min(F.when(F.col("d") <= 1, F.struct("d", "home"))).alias("best"), F.flatten(F.collect_list("to")).alias("to"), F.flatten(F.collect_list("near")).alias("near"))
+    return told.select("owner", F.col("best.home").alias("home"), "to", "near")
+
+
+def _voronoi(large: DataFrame, step: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One round of pivots in large families (with their size): the links found, and the sets outside all regions."""
+    seen = saved(_met(large, step, percent))
     out = seen.select(F.explode("to").alias("a"), F.col("owner").alias("b"))
     # a set that links to pivots of two regions makes them one component: pairs across these need no comparison
     roots = components(seen.filter("home is not null").select(F.col("home").alias("a"), F.explode("to").alias("b")).distinct())
@@ -318,7 +350,7 @@ def _voronoi(large: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
     inner = placed.filter("home is not null").join(chunks, "home").select("owner", "home", F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "root")
     outer = border.select("owner", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk", F.col("own").alias("root"))
     cells = inner.unionByName(outer).withColumn("family", F.xxhash64("home", "block", "chunk")).select("owner", "family", "root")
-    out = out.unionByName(_families(cells.join(large.select("owner", "n", "keys"), "owner")))
+    out = out.unionByName(_families(cells.join(large.select("owner", "n", "keys"), "owner"), percent))
     return out, large.join(seen.filter("home is null").select("owner"), "owner", "left_semi")
 
 
@@ -337,11 +369,15 @@ def join(docs: DataFrame) -> DataFrame:
     common = seen.filter("common is not null").groupBy("common").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(64, total["n"] // COMMON))
     hot = np.array([r["common"] for r in common.orderBy(F.desc("n"), "common").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
     sets = saved(candidates(counted(dealt(docs, hot, buckets), buckets)))
-    roots = components(links(sets))
+    return labelled(told, components(links(sets)), total["n"])
+
+
+def labelled(told: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of rows doc_id, n, owner, by the owners' roots (node, root; alone if missing)."""
     rooted = saved(told.join(roots.withColumnRenamed("node", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner")))
     ids = saved(rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_rows")))
     # a component may hold a third of all rows: the HOT largest at most are broadcast, so that no task gets all rows of one
-    many = F.col("_rows") > F.lit(max(1, total["n"] // HOT))
+    many = F.col("_rows") > F.lit(max(1, rows // HOT))
     large = ids.filter(many).select("root", F.col("component_id").alias("_large"), F.lit(True).alias("_is_large"))
     told = rooted.join(F.broadcast(large), "root", "left")
     rest = told.filter("n > 0 and _is_large is null").select("doc_id", "n", "root").join(ids.filter(~many), "root", "left")
