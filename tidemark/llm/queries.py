@@ -170,13 +170,14 @@ SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
 FROM formed f JOIN walk w ON w.word = f.word JOIN formed e ON e.word = w.at AND e.form IS NULL
 """
 
-#: Shingle sets and links told in full; {shingle} words, {percent} of the union, {more} columns.
+#: Shingle sets and links told in full; {shingle} words, {percent} of the union, {more} columns, {leads}: the next words, {parts}: their names.
 LINKS_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words FROM documents),
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+e AS (SELECT row, len(words) AS n, unnest(words) AS word, unnest(range(len(words))) AS i FROM w),
 s AS (
-  SELECT row, hash(unnest(CASE WHEN len(words) >= {shingle} THEN list_distinct(list_transform(range(1, len(words) - {shingle} + 2), lambda i: array_to_string(words[i:i + {shingle} - 1], ' ')))
-                     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END)) AS shingle FROM w),
+  SELECT DISTINCT row, hash({parts}) AS shingle FROM (SELECT row, n, i, {leads} FROM e WINDOW o AS (PARTITION BY row ORDER BY i)) WHERE i <= n - {shingle}
+  UNION ALL SELECT row, hash(words) FROM w WHERE len(words) BETWEEN 1 AND {shingle} - 1),
 n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
 links AS (
   SELECT a.row AS x, b.row AS y FROM (SELECT s.*, n.n FROM s JOIN n USING (row)) a JOIN (SELECT s.*, n.n FROM s JOIN n USING (row)) b ON a.shingle = b.shingle AND a.row <> b.row AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n
@@ -186,8 +187,16 @@ least AS (SELECT row, min(doc_id) AS component_id FROM (SELECT reach.row, w.doc_
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least.component_id, w.doc_id) AS component_id{more}
 FROM w LEFT JOIN n USING (row) LEFT JOIN least USING (row)
 """
-OP7_SQL = LINKS_SQL.format(shingle=jaccard.SHINGLE, percent=jaccard.PERCENT, more="")
-OP13_SQL = LINKS_SQL.format(shingle=supermin.SHINGLE, percent=supermin.PERCENT, more=", coalesce(w.doc_id = coalesce(least.component_id, w.doc_id), false) AS kept")
+
+
+def links_sql(shingle: int, percent: int, more: str = "") -> str:
+    names = [f"w{j}" for j in range(shingle)]
+    leads = ", ".join(f"lead(word, {j}) OVER o AS w{j}" for j in range(shingle))
+    return LINKS_SQL.format(shingle=shingle, percent=percent, more=more, parts=", ".join(names), leads=leads)
+
+
+OP7_SQL = links_sql(jaccard.SHINGLE, jaccard.PERCENT)
+OP13_SQL = links_sql(supermin.SHINGLE, supermin.PERCENT, ", coalesce(w.doc_id = coalesce(least.component_id, w.doc_id), false) AS kept")
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
