@@ -44,10 +44,14 @@ def fund_restatements(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {DOCS}, {PAIRS}, f AS (SELECT doc, 'status' AS path, status AS value FROM docs UNION ALL SELECT doc, 'amount', (floor(amount))::BIGINT::VARCHAR FROM docs UNION ALL SELECT doc, 'large', 'yes' FROM docs WHERE amount > 200000),
-o AS (SELECT p.doc, previous, path, value FROM pairs p JOIN f ON f.doc = p.previous), n AS (SELECT p.doc, previous, path, value FROM pairs p JOIN f ON f.doc = p.doc WHERE previous IS NOT NULL)
-SELECT doc, previous, path, CASE WHEN o.value IS NULL THEN 'added' WHEN n.value IS NULL THEN 'removed' ELSE 'changed' END AS kind, o.value AS old, n.value AS new, TRY_CAST(n.value AS DOUBLE) - TRY_CAST(o.value AS DOUBLE) AS delta
-FROM o FULL JOIN n USING (doc, previous, path) WHERE o.value IS DISTINCT FROM n.value"""
+    f"""WITH {DOCS}, {PAIRS},
+both_ AS (
+  SELECT n.doc, n.previous, unnest(['status', 'amount', 'large']) AS path,
+         unnest([o.status, floor(o.amount)::BIGINT::VARCHAR, CASE WHEN o.amount > 200000 THEN 'yes' END]) AS old,
+         unnest([n.status, floor(n.amount)::BIGINT::VARCHAR, CASE WHEN n.amount > 200000 THEN 'yes' END]) AS new
+  FROM pairs n JOIN (SELECT o_orderkey AS doc, o_orderstatus AS status, o_totalprice AS amount FROM orders) o ON o.doc = n.previous)
+SELECT doc, previous, path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS kind, old, new, TRY_CAST(new AS DOUBLE) - TRY_CAST(old AS DOUBLE) AS delta
+FROM both_ WHERE old IS DISTINCT FROM new"""
 )
 def restatement_diff(spark: SparkSession, d: str) -> DataFrame:
     """Fields that differ between each document and its version before."""
