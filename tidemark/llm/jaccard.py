@@ -277,7 +277,7 @@ def linked(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that hold the components within families together: rows family, owner, n, keys."""
     members = saved(members)
     sizes = saved(members.groupBy("family").agg(F.count("*").alias("size")))
-    out = _families(members.join(sizes.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"), percent)
+    out = saved(_families(members.join(sizes.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"), percent))
     large = members.join(sizes.filter(F.col("size") > FAMILY), "family")
     step = 0
     while True:
@@ -285,10 +285,10 @@ def linked(members: DataFrame, percent: int) -> DataFrame:
         if large.isEmpty():
             return out
         more, large = _voronoi(large, step, percent)
-        out = out.unionByName(more)
+        out = out.unionByName(saved(more))
         left = saved(large.groupBy("family").agg(F.count("*").alias("size")))
         large = large.drop("size")
-        out = out.unionByName(_families(large.join(left.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"), percent))
+        out = out.unionByName(saved(_families(large.join(left.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"), percent)))
         large = large.join(left.filter(F.col("size") > FAMILY), "family")
         step += 1
 
@@ -345,7 +345,8 @@ def _voronoi(large: DataFrame, step: int, percent: int) -> tuple[DataFrame, Data
     # boundary sets meet a region only where the triangle inequality allows a link: up to twice the threshold away.
     # Of a pair with regions on both sides, the end in the region of the larger root goes to the other's
     border = placed.select("owner", F.col("root").alias("own"), F.explode("near").alias("home")).join(region.select("home", "root", "blocks"), "home").filter("own is null or root < own")
-    chunks = border.groupBy("home").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("chunks"))
+    border = saved(border)
+    chunks = saved(border.groupBy("home").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("chunks")))
     border = border.join(chunks, "home").withColumn("chunk", F.pmod(F.xxhash64("owner"), F.col("chunks")).cast("int"))
     inner = placed.filter("home is not null").join(chunks, "home").select("owner", "home", F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "root")
     outer = border.select("owner", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk", F.col("own").alias("root"))
