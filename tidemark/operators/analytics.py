@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import as_column, exact, latest_by, month, months_mod_12, pct_cont, rank_top, safe_div, total
+from tidemark.functions.ranges import joined_by, percentiles
 
 
 def profile(fact: DataFrame, as_of: str, quiet_days: int = 90) -> DataFrame:
@@ -49,11 +50,13 @@ def industry_trend(fact: DataFrame, by: Sequence[str] = ("period", "family")) ->
 def distribution(rows: DataFrame, value: str, benchmark: float | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles, mean, sample deviation, count, and count and spread above a benchmark."""
     v = F.col(value)
-    aggs = [pct_cont(v, p / 100).alias(f"p{p}") for p in (10, 25, 50, 75, 90)]
-    aggs += [F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.count(v).alias("n")]
+    shares = {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)}
+    aggs = [F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.count(v).alias("n")]
     if benchmark is not None:
-        aggs += [F.count_if(v > benchmark).alias("n_above"), (pct_cont(v, 0.5) - benchmark).alias("spread")]
-    return rows.groupBy(*by).agg(*aggs)
+        aggs.append(F.count_if(v > benchmark).alias("n_above"))
+    out = joined_by(rows.groupBy(*by).agg(*aggs), percentiles(rows, by, value, shares), by)
+    names = [*by, *shares, "mean", "sd", "n"]
+    return out.select(*names) if benchmark is None else out.select(*names, "n_above", (F.col("p50") - benchmark).alias("spread"))
 
 
 def ranking(fact: DataFrame, metrics: dict[str, Column], metric: str, limit: int, within: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import exact, latest_by, month, pct_cont, total, unpivot
+from tidemark.functions.core import exact, latest_by, month, total, unpivot
+from tidemark.functions.ranges import joined_by, percentiles_of
 
 #: Share of the trailing median of filers that makes a period complete.
 COMPLETE, TRAILING = 0.80, 6
@@ -117,8 +118,13 @@ def activity_grains(rows: DataFrame, grains: Sequence[Sequence[str]], value: str
         raise ValueError("give two grains or more")
     label = F.concat_ws("+", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in columns])
     sets = [[F.col(c) for c in g] for g in grains]
-    out = rows.groupingSets(sets, *[F.col(c) for c in columns]).agg(label.alias("grain"), F.count("*").alias("n_rows"), total(value).alias("total"), F.countDistinct(distinct).alias("n_distinct"), pct_cont(value, 0.5).alias("median"))
-    return out.select("grain", *columns, "n_rows", "total", "n_distinct", "median")
+    out = rows.groupingSets(sets, *[F.col(c) for c in columns]).agg(label.alias("grain"), F.count("*").alias("n_rows"), total(value).alias("total"), F.countDistinct(distinct).alias("n_distinct"))
+    # medians by ranges: equal values of the finest grain are counted once, then counted on for each grain
+    fine = rows.groupBy(*columns, F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
+    kinds = [F.struct(F.lit("+".join(c for c in columns if c in g)).alias("grain"), *[(F.col(c) if c in g else F.lit(None)).alias(c) for c in columns]) for g in grains]
+    counts = fine.select(F.explode(F.array(*kinds)).alias("_by"), "_value", "_n").groupBy("_by", "_value").agg(F.sum("_n").alias("_n"))
+    keys = ["grain", *columns]
+    return joined_by(out, percentiles_of(counts, keys, {"median": 0.5}), keys).select(*keys, "n_rows", "total", "n_distinct", "median")
 
 
 def instrument_activity(families: dict[str, tuple[DataFrame, str]], as_of: str) -> DataFrame:

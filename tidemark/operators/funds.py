@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import total
+from tidemark.functions.checkpoint import saved
+from tidemark.functions.core import exact, total
+from tidemark.functions.ranges import joined_by
 
 
 def labelled(c: Column, labels: Mapping[str, str]) -> Column:
@@ -42,16 +44,21 @@ def tranche_series(tranches: DataFrame, flows: DataFrame, by: Sequence[str]) ->
 
 
 def holdings_by_month(holdings: DataFrame) -> DataFrame:
-    """Each month's totals by asset, by kind, and over all, in one pass of grouping sets: funds and assets (distinct),
+    """Each month's totals by asset, by kind, and over all, from one row for each fund's asset: funds and assets (distinct),
     value, and value held of related parties. Columns month, fund, kind, asset, value, related."""
-    grouped = holdings.groupingSets([[F.col("month"), F.col("kind"), F.col("asset")], [F.col("month"), F.col("kind")], [F.col("month")]], "month", "kind", "asset")
-    return grouped.agg(
-        F.grouping_id().alias("level"),
-        F.countDistinct("fund").alias("n_funds"),
-        F.countDistinct("asset").alias("n_assets"),
-        total("value").alias("value"),
-        F.coalesce(total(F.when(F.col("related"), F.col("value"))), F.lit(0.0)).alias("related_value"),
-    )
+    # one shuffle of the holdings, combined before it: each fund's asset once a month
+    once = saved(holdings.groupBy("month", "kind", "asset", "fund").agg(F.sum(exact("value")).alias("_v"), F.sum(F.when(F.col("related"), exact("value"))).alias("_r")))
+
+    def level(keys: list[str], code: int) -> DataFrame:
+        sums = lambda df: df.agg(F.sum("_v").alias("_v"), F.sum("_r").alias("_r"), F.count("fund").alias("n_funds"))
+        by_fund = once if "asset" in keys else once.groupBy(*keys, "fund").agg(F.sum("_v").alias("_v"), F.sum("_r").alias("_r"))
+        assets = once.filter("asset is not null").select(*keys, "asset").distinct().groupBy(*keys).agg(F.count("*").alias("n_assets")) if "asset" not in keys else None
+        out = sums(by_fund.groupBy(*keys))
+        out = out.withColumn("n_assets", F.col("asset").isNotNull().cast("long")) if assets is None else joined_by(out, assets, keys)
+        blank = [F.lit(None).cast(once.schema[c].dataType).alias(c) for c in ("month", "kind", "asset") if c not in keys]
+        return out.select(*keys, *blank, F.lit(code).alias("level"), "n_funds", F.coalesce("n_assets", F.lit(0)).alias("n_assets"), F.col("_v").cast("double").alias("value"), F.coalesce(F.col("_r").cast("double"), F.lit(0.0)).alias("related_value"))
+
+    return level(["month", "kind", "asset"], 0).unionByName(level(["month", "kind"], 1)).unionByName(level(["month"], 3))
 
 
 def by_exactly_one(rows: DataFrame, column: str, found: DataFrame, key: str) -> DataFrame:

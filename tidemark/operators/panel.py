@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import latest_by, month, unpivot
+from tidemark.functions.ranges import joined_by, percentiles
 
 DESCRIBED = ("n", "null_rate", "mean", "sd", "min", "p50", "max")
 
@@ -30,10 +31,11 @@ def wide(panel: DataFrame, metrics: Sequence[str], day: str = "day") -> DataFram
 
 
 def describe(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """A row per column: n, null_rate, mean, sample deviation, extremes and median, in one pass over the rows."""
+    """A row per column: n, null_rate, mean, sample deviation, extremes, and the median by ranges of values."""
     flat = unpivot(rows.select(*[F.col(m).cast("double").alias(m) for m in metrics]), [], metrics)
     v = F.col("value")
-    return flat.groupBy("metric").agg(F.count(v).alias("n"), (1 - F.count(v) / F.count("*")).alias("null_rate"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.percentile(v, F.lit(0.5)).alias("p50"), F.max(v).alias("max"))
+    out = flat.groupBy("metric").agg(F.count(v).alias("n"), (1 - F.count(v) / F.count("*")).alias("null_rate"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return joined_by(out, percentiles(flat, ["metric"], "value", {"p50": 0.5}), ["metric"])
 
 
 def correlations(rows: DataFrame, metrics: Sequence[str], least: int = 3) -> DataFrame:

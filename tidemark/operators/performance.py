@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import latest_by, safe_div
+from tidemark.functions.ranges import ranked
 
 Partition = Sequence[str]
 
@@ -63,8 +64,7 @@ def performance_ranking(rows: DataFrame, by: str, day: str, value: str, cls: str
     PERCENT_RANK (smallest first, four digits) within its class."""
     ends = rows.groupBy(by, cls).agg(F.min_by(value, day).alias("first_value"), F.max_by(value, day).alias("last_value"), F.count(value).alias("n_obs")).filter(F.col("n_obs") >= least)
     ends = ends.withColumn("ret", safe_div("last_value", "first_value") - 1)
-    out = ends.withColumn("rank", F.rank().over(Window.partitionBy(cls).orderBy(F.col("ret").desc_nulls_last())))
-    out = out.withColumn("percent_rank", F.round(F.percent_rank().over(Window.partitionBy(cls).orderBy(F.col("ret").asc_nulls_last())), 4))
+    out = ranked(ends, [cls], "ret", percent_rank="percent_rank").withColumn("percent_rank", F.round("percent_rank", 4))
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
@@ -75,7 +75,7 @@ def daily_metric_ranking(rows: DataFrame, by: str, day: str, value: str, metric:
     out = out.filter(F.col("n_obs") >= least).withColumn("return", safe_div("last_value", "first_value") - 1)
     if metric not in ("return", "volatility", "n_obs"):
         raise ValueError(f"unknown metric {metric}")
-    return out.withColumn("rank", F.rank().over(Window.orderBy(F.col(metric).desc_nulls_last())))  # one row per instrument
+    return ranked(out, [], metric)
 
 
 def wide(rows: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence[str]) -> DataFrame:
