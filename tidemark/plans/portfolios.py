@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.core import month, safe_div
 from tidemark.functions.text import name_core, name_norm
+from tidemark.operators import resolve as RES
 from tidemark.operators import graph as G
 from tidemark.operators import panel as L
 from tidemark.operators import portfolio as P
@@ -290,3 +291,63 @@ SELECT portfolio, 'size' AS "constraint", total AS fact, 2000000.0::DOUBLE AS mo
 def portfolio_client_fit(spark, d):
     rows = held(spark, d).groupBy("portfolio").agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"), F.count("*").alias("n"))
     return P.fits(rows, {"size": ("total", 2_000_000), "lines": ("n", 10)})
+
+
+NAMES = """name_parts AS (SELECT *, 'F' || lpad(p_brand, 13, '0') AS fund FROM (SELECT p_partkey, p_name, p_size, p_retailprice, p_type, replace(p_brand, 'Brand#', '') AS p_brand FROM part)),
+hist AS (SELECT lpad(p_brand, 14, '0') AS id, p_name AS matched, max(p_partkey) = max(max(p_partkey)) OVER (PARTITION BY p_brand) AS is_current, DATE '2020-01-01' + max(p_size)::INT AS last_period FROM name_parts GROUP BY p_brand, p_name),
+lines AS (SELECT p_partkey AS line, CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'e', 'a') WHEN 2 THEN p_name || ' of the house and of others' WHEN 3 THEN split_part(p_name, ' ', 1) ELSE 'firf ' || p_name || ' mm crpr' END AS nn,
+  CASE WHEN p_size = 7 THEN lpad(p_brand, 14, '0') END AS number, p_retailprice AS quota, DATE '2024-01-01' + p_size::INT AS quota_day FROM name_parts),
+filed AS (SELECT lpad(p_brand, 14, '0') AS id, DATE '2024-01-01' + p_size::INT AS day, max(p_retailprice) AS quota FROM name_parts GROUP BY ALL)"""
+
+
+def resolver_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Brands as entities that file the names of their parts; each part is a line that prints its name in some way."""
+    part = table(spark, d, "part")
+    fund = F.lpad(F.replace("p_brand", F.lit("Brand#"), F.lit("")), 14, "0")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size"))
+    per = part.groupBy(fund.alias("id"), F.col("p_name").alias("name")).agg(F.max("p_partkey").alias("_k"), F.date_add(F.lit("2020-01-01").cast("date"), F.max("p_size")).alias("last_period"))
+    newest = per.groupBy("id").agg(F.max("_k").alias("_last"))
+    names = per.join(newest, "id").select("id", "name", (F.col("_k") == F.col("_last")).alias("is_current"), "last_period")
+    name, kind = F.col("p_name"), F.col("p_size") % 5
+    printed = F.when(kind == 0, name).when(kind == 1, F.replace(name, F.lit("e"), F.lit("a"))).when(kind == 2, F.concat(name, F.lit(" of the house and of others"))).when(kind == 3, F.split_part(name, F.lit(" "), F.lit(1))).otherwise(F.concat(F.lit("firf "), name, F.lit(" mm crpr")))
+    lines = part.select(F.col("p_partkey").alias("line"), printed.alias("name"), F.when(F.col("p_size") == 7, fund).alias("number"), F.col("p_retailprice").alias("quota"), day.alias("quota_day"))
+    quotas = part.groupBy(fund.alias("id"), day.alias("day")).agg(F.max("p_retailprice").alias("quota"))
+    return lines, names, quotas, spark.createDataFrame([], "ticker string, id string")
+
+
+@query(
+    f"""WITH {NAMES},
+words AS (SELECT DISTINCT nn, array_to_string(list_filter(string_split(nn, ' '), lambda w: w NOT IN ('firf', 'mm', 'crpr')), ' ') AS c FROM lines),
+ask AS (SELECT nn AS asked FROM words UNION SELECT c FROM words WHERE c <> nn AND len(string_split(c, ' ')) >= 2),
+known AS (SELECT DISTINCT matched AS name FROM hist),
+seq AS (
+  SELECT s, row_number() OVER (PARTITION BY s ORDER BY k, i) AS spot, substr('  ' || w || ' ', i::INT, 3) AS g
+  FROM (SELECT s, w, k, unnest(range(1, length(w) + 2)) AS i FROM (SELECT s, unnest(string_split(s, ' ')) AS w, unnest(range(len(string_split(s, ' ')))) AS k FROM (SELECT asked AS s FROM ask UNION SELECT name FROM known)) WHERE w <> '')),
+sets AS (SELECT s, list_distinct(list(g)) AS gs, list(g ORDER BY spot) AS g FROM seq GROUP BY s),
+met AS (SELECT asked, name, a.gs AS ga, b.gs AS gb, b.g AS gbo FROM ask JOIN sets a ON a.s = asked CROSS JOIN known JOIN sets b ON b.s = name WHERE len(list_intersect(a.gs, b.gs)) > 0),
+ext AS (
+  SELECT asked, name, max(len(list_intersect(ga, e)) / (len(ga) + len(e) - len(list_intersect(ga, e)))) AS best
+  FROM (SELECT asked, name, ga, list_distinct(gbo[i:j]) AS e FROM (SELECT *, unnest(range(i, len(gbo) + 1)) AS j FROM (SELECT *, unnest(range(1, len(gbo) + 1)) AS i FROM met WHERE len(string_split(asked, ' ')) <= 4))) GROUP BY asked, name),
+sc AS (SELECT * FROM (SELECT m.asked, m.name, greatest(len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))), coalesce(best, 0)) AS score FROM met m LEFT JOIN ext ON ext.asked = m.asked AND ext.name = m.name) WHERE score >= 0.25),
+num AS (
+  SELECT l.line, l.number AS id, arg_min(h.matched, (-coalesce(s.score, 0), NOT h.is_current, h.last_period IS NOT NULL, -datediff('day', DATE '2000-01-01', h.last_period), h.matched)) AS matched, 'number' AS kind, false AS hint
+  FROM lines l LEFT JOIN hist h ON h.id = l.number LEFT JOIN (SELECT nn, asked, name, score FROM sc JOIN words ON nn = asked) s ON s.nn = l.nn AND s.name = h.matched WHERE l.number IS NOT NULL GROUP BY l.line, l.number),
+exact AS (SELECT line, h.id, min(matched) AS matched, CASE WHEN bool_or(is_current) THEN 'exact_current' ELSE 'exact_history' END AS kind, 1.0::DOUBLE AS score, false AS hint FROM lines l JOIN hist h ON h.matched = l.nn WHERE number IS NULL GROUP BY line, h.id),
+dir AS (SELECT nn, name, score, false AS hint FROM words JOIN sc ON asked = nn),
+hin AS (SELECT nn, name, least(0.5, score) AS score, true AS hint FROM words JOIN sc ON asked = c AND c <> nn WHERE NOT EXISTS (SELECT 1 FROM dir WHERE dir.nn = words.nn AND dir.name = sc.name)),
+per AS (SELECT nn, id, arg_min((matched, score, hint), (-score, -datediff('day', DATE '2000-01-01', last_period), matched)) AS b FROM (SELECT * FROM dir UNION ALL SELECT * FROM hin) x JOIN hist ON matched = name GROUP BY nn, id),
+top AS (SELECT nn, id, b[1] AS matched, b[2] AS score, b[3] AS hint FROM per QUALIFY b[3] OR row_number() OVER (PARTITION BY nn, b[3] ORDER BY b[2] DESC, id) <= 5),
+al AS (
+  SELECT line, id, matched, kind, NULL::DOUBLE AS score, hint FROM num UNION ALL SELECT * FROM exact
+  UNION ALL SELECT line, id, matched, 'trigram', score, hint FROM lines l JOIN top USING (nn) WHERE number IS NULL AND line NOT IN (SELECT line FROM exact)),
+q AS (SELECT al.*, abs(f.quota - l.quota) / abs(nullif(l.quota, 0)) AS diff FROM al JOIN lines l USING (line) LEFT JOIN filed f ON f.id = al.id AND f.day = l.quota_day),
+r AS (SELECT *, coalesce(diff <= 0.005, false) AS ok, row_number() OVER w AS rank, lead(score) OVER w AS s2, lead(coalesce(diff <= 0.005, false)) OVER w AS ok2
+  FROM q WINDOW w AS (PARTITION BY line ORDER BY coalesce(diff <= 0.005, false) DESC, hint, score DESC NULLS LAST, diff NULLS LAST, id)),
+v AS (SELECT *, max(CASE WHEN rank = 1 THEN (CASE WHEN kind = 'number' THEN false WHEN ok AND NOT coalesce(ok2, false) THEN false WHEN hint THEN true WHEN ok2 IS NULL THEN false ELSE coalesce(score, 0) - coalesce(s2, 0) < 0.05 END)::INT END) OVER (PARTITION BY line) = 1 AS amb FROM r)
+SELECT l.line, v.id, v.matched, v.kind, v.rank, round(v.diff, 6) AS quota_diff, coalesce(amb, false) AS is_ambiguous, CASE WHEN v.kind <> 'number' THEN round(v.score, 4) END AS score
+FROM lines l LEFT JOIN v ON v.line = l.line AND v.rank <= 5"""
+)
+def portfolio_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Every line's candidates by all routes; the score of a number's best name isn't told."""
+    out = RES.resolved(*resolver_inputs(spark, d), boilerplate=("firf", "mm", "crpr"))
+    return out.withColumn("score", F.when(F.col("kind") != "number", F.col("score")))
