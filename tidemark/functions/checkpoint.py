@@ -7,10 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def saved(df: DataFrame) -> DataFrame:
+#: Whether the optimizer derives conditions from conditions.
+DERIVES = "spark.sql.constraintPropagation.enabled"
+
+
+def saved(df: DataFrame, forget: bool = False) -> DataFrame:
     """``df`` written to the folder that ``spark.checkpoint.dir`` names, so that later reads don't compute it again, and a
     lost executor costs only what wasn't written. Unset, a folder is made for local sessions; on a cluster it's an error,
-    since a folder of one machine is none of the others'."""
+    since a folder of one machine is none of the others'.
+
+    A checkpoint keeps the conditions that the optimizer has derived for its rows. In a loop whose rounds join earlier rounds
+    they multiply until planning fills the driver; with ``forget`` none are derived.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -18,4 +26,11 @@ def saved(df: DataFrame) -> DataFrame:
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+    if not forget:
+        return df.checkpoint()
+    held = spark.conf.get(DERIVES, "true")
+    spark.conf.set(DERIVES, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(DERIVES, held)
