@@ -275,20 +275,20 @@ def links(sets: DataFrame) -> DataFrame:
 
 def linked(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that hold the components within families together: rows family, owner, n, keys."""
-    members = saved(members)
-    sizes = saved(members.groupBy("family").agg(F.count("*").alias("size")))
-    out = saved(_families(members.join(sizes.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"), percent))
+    members = saved(members, forget=True)
+    sizes = saved(members.groupBy("family").agg(F.count("*").alias("size")), forget=True)
+    out = saved(_families(members.join(sizes.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"), percent), forget=True)
     large = members.join(sizes.filter(F.col("size") > FAMILY), "family")
     step = 0
     while True:
-        large = saved(large)
+        large = saved(large, forget=True)
         if large.isEmpty():
             return out
         more, large = _voronoi(large, step, percent)
-        out = out.unionByName(saved(more))
-        left = saved(large.groupBy("family").agg(F.count("*").alias("size")))
+        out = out.unionByName(saved(more, forget=True))
+        left = saved(large.groupBy("family").agg(F.count("*").alias("size")), forget=True)
         large = large.drop("size")
-        out = out.unionByName(saved(_families(large.join(left.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"), percent)))
+        out = out.unionByName(saved(_families(large.join(left.filter(F.col("size") <= FAMILY).drop("size"), "family", "left_semi"), percent), forget=True))
         large = large.join(left.filter(F.col("size") > FAMILY), "family")
         step += 1
 
@@ -335,18 +335,18 @@ def _met(large: DataFrame, step: int, percent: int) -> DataFrame:
 
 def _voronoi(large: DataFrame, step: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """One round of pivots in large families (with their size): the links found, and the sets outside all regions."""
-    seen = saved(_met(large, step, percent))
+    seen = saved(_met(large, step, percent), forget=True)
     out = seen.select(F.explode("to").alias("a"), F.col("owner").alias("b"))
     # a set that links to pivots of two regions makes them one component: pairs across these need no comparison
     roots = components(seen.filter("home is not null").select(F.col("home").alias("a"), F.explode("to").alias("b")).distinct())
     region = seen.filter("home is not null").groupBy("home").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / FAMILY).cast("int"))
-    region = saved(region.join(roots.withColumnRenamed("node", "home"), "home", "left").withColumn("root", F.coalesce("root", "home")))
+    region = saved(region.join(roots.withColumnRenamed("node", "home"), "home", "left").withColumn("root", F.coalesce("root", "home")), forget=True)
     placed = seen.join(region.select("home", "root", "blocks"), "home", "left")
     # boundary sets meet a region only where the triangle inequality allows a link: up to twice the threshold away.
     # Of a pair with regions on both sides, the end in the region of the larger root goes to the other's
     border = placed.select("owner", F.col("root").alias("own"), F.explode("near").alias("home")).join(region.select("home", "root", "blocks"), "home").filter("own is null or root < own")
-    border = saved(border)
-    chunks = saved(border.groupBy("home").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("chunks")))
+    border = saved(border, forget=True)
+    chunks = saved(border.groupBy("home").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("chunks")), forget=True)
     border = border.join(chunks, "home").withColumn("chunk", F.pmod(F.xxhash64("owner"), F.col("chunks")).cast("int"))
     inner = placed.filter("home is not null").join(chunks, "home").select("owner", "home", F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "root")
     outer = border.select("owner", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk", F.col("own").alias("root"))
