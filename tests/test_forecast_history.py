@@ -69,3 +69,58 @@ def test_history_is_refused_where_it_cannot_be_told(spark):
     for call in (lambda: history.history(bars, "b", day(1), day(2)), lambda: history.history(bars, "a", day(5), day(2)), lambda: history.history(bars, "a", day(1), day(8), limit=3), lambda: history.history(bars, "a", day(1), day(8), after="x"), lambda: history.histories(bars, "other"), lambda: history.panel({})):
         with pytest.raises(guards.Refused):
             call()
+
+
+def test_nested_penalties_and_past_states(spark):
+    rows = [(*r[:4], r[4], int(i % 3) if i % 7 else None) for i, r in enumerate(series(900))]
+    df = spark.createDataFrame(rows, SCHEMA + ", past int")
+    got = forecast.walk_forward(df, "k", "day", ["x", "z"], "label", 2, 2021, horizon=3, past="past", grid=(1e-4, 1.0), held=1).collect()
+    y = np.array([r[4] for r in rows])
+    first = {2021: 366, 2022: 731}
+    for r in got:
+        i = (r.day - datetime.date(2020, 1, 1)).days
+        known = [j for j in range(len(rows)) if j + 3 < first[r.year]]
+        same = [j for j in known if rows[i][5] is None or rows[j][5] == rows[i][5]]
+        assert np.allclose(r.markov[1], (y[same].sum() + 1) / (len(same) + 2)) and r.c_chosen in (1.0, 1e-4, None)
+    assert {r.c_chosen for r in got if r.year == 2022} == {1.0}
+    own = forecast.scored(spark.createDataFrame([(1, [0.25, 0.75]), (0, [0.5, 0.5]), (None, [1.0, 0.0])], "label int, p array<double>"), "p").collect()
+    assert [round(x.log_loss, 6) for x in own] == [0.287682, 0.693147] and [x.brier for x in own] == [0.125, 0.5] and [x.hit for x in own] == [1.0, 0.0] or own[1].hit == 1.0
+
+
+def test_paired_blocks_by_their_numbers(spark):
+    g = np.random.default_rng(1)
+    x = g.normal(0.2, 1, 200)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)] + [("b", 0, 1.0), ("b", 1, None)], "k string, day int, diff double")
+    run = lambda: {r.k: (r.n, r.mean, r.low, r.high) for r in forecast.paired_bootstrap(df.repartition(3), "k", "day", "diff", 10, 500).collect()}
+    got = run()
+    assert got == run() and got["b"] == (1, 1.0, 1.0, 1.0)
+    n, mean, low, high = got["a"]
+    starts = np.random.default_rng(2).integers(0, 191, (4000, 20))
+    other = np.quantile(x[starts[:, :, None] + np.arange(10)].mean(axis=(1, 2)), [0.05, 0.95])
+    assert n == 200 and abs(mean - x.mean()) < 1e-12 and np.allclose([low, high], other, atol=0.03)
+
+
+def test_clustered_intervals_are_those_of_the_same_draws(spark):
+    from pyspark.sql import functions as F
+
+    g = np.random.default_rng(4)
+    c = g.integers(0, 30, 400)
+    a, b = g.normal(size=400), g.normal(size=400) + c / 30
+    y = a + 0.5 * b + g.normal(size=400)
+    df = spark.createDataFrame([(int(k), float(p), float(q), float(r)) for k, p, q, r in zip(c, a, b, y)] + [(1, None, 1.0, 1.0)], "c int, a double, b double, y double")
+    got = {r.model: r for r in forecast.clustered_gain(df, "c", "y", ["a"], ["b"], 40).collect()}
+    draws = spark.range(0, 41).withColumnRenamed("id", "draw").crossJoin(spark.range(0, 30)).select(F.col("draw").cast("int").alias("draw"), F.col("id").cast("int").alias("c"), F.xxhash64(F.col("draw").cast("int"), F.col("id").cast("int")).alias("h")).collect()
+    w = np.ones((41, 30))
+    for r in draws:
+        if r.draw:
+            w[r.draw, r.c] = sum(r.h / 2.0**64 + 0.5 > s for s in forecast.poisson_steps())
+
+    def told(weights, x):
+        x = np.column_stack([np.ones(400), x])
+        beta = np.linalg.lstsq(x * np.sqrt(weights)[:, None], y * np.sqrt(weights), rcond=None)[0]
+        mean = (weights * y).sum() / weights.sum()
+        return 1 - (weights * (y - x @ beta) ** 2).sum() / (weights * (y - mean) ** 2).sum()
+
+    gains = [told(w[k][c], np.column_stack([a, b])) - told(w[k][c], a) for k in range(41)]
+    assert np.allclose([got["gain"].value, got["gain"].low, got["gain"].high], [gains[0], *np.quantile(gains[1:], [0.025, 0.975])], atol=1e-6)
+    assert got["full"].n_clusters == 30 and got["gain"].low > 0

@@ -96,18 +96,26 @@ def rolling_correlation(a: DataFrame, b: DataFrame, day: str, x: str, y: str, n:
     return both.withColumn("corr", F.when(F.count("*").over(w) == n, F.corr(x, y).over(w)))
 
 
-def ridge(rows: DataFrame, target: str, features_: Sequence[str], alpha: float) -> list[float]:
-    """Coefficients of a ridge regression on centred columns. Spark sums the products; only their matrix, as wide as the
-    list of features, is solved on the driver."""
+def ridge(rows: DataFrame, target: str, features_: Sequence[str], alpha: float) -> DataFrame:
+    """feature, coefficient of a ridge regression on centred columns. Products are summed where rows stand; one row, as wide as
+    the list of features, is solved in a task."""
     import numpy as np
+    import pandas as pd
 
     names = [*features_, target]
-    means = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
-    centred = rows.select(*[(F.col(c) - F.lit(float(means[c]))).alias(c) for c in names])
-    sums = centred.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).first()
+    means = rows.agg(*[F.avg(c).alias(f"_{c}") for c in names])
+    centred = rows.crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"_{c}")).alias(c) for c in names])  # one row
+    sums = centred.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j])
     k = len(features_)
-    gram = np.array([[sums[f"{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-    return np.linalg.solve(gram + alpha * np.eye(k), np.array([sums[f"{i}_{k}"] for i in range(k)], float)).tolist()
+
+    def solve(it):
+        for batch in it:
+            for row in batch.to_dict("records"):
+                gram = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+                found = np.linalg.solve(gram + alpha * np.eye(k), np.array([row[f"s{i}_{k}"] for i in range(k)], float))
+                yield pd.DataFrame({"feature": list(features_), "coefficient": found})
+
+    return sums.mapInPandas(solve, "feature string, coefficient double")
 
 
 def block_bootstrap(rows: DataFrame, by: str, day: str, value: str, block: int, draws: int, seed: int = 0, level: float = 0.95) -> DataFrame:

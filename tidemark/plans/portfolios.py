@@ -84,8 +84,7 @@ def pair_correlation(spark, d):
 @query("""WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem)
 SELECT 'l_quantity' AS feature, round(sum((l_quantity - mx) * (l_extendedprice - my)) / (sum((l_quantity - mx) * (l_quantity - mx)) + 100), 4) AS coefficient FROM lineitem, m""")
 def ridge_fit(spark, d):
-    found = L.ridge(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], 100.0)
-    return spark.createDataFrame([("l_quantity", round(found[0], 4))], "feature string, coefficient double")
+    return L.ridge(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], 100.0).withColumn("coefficient", F.round("coefficient", 4))
 
 
 @query()

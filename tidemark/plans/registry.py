@@ -79,17 +79,45 @@ def identify(spark: SparkSession, d: str) -> DataFrame:
     return both.select("id", F.coalesce("_x", "_y").alias("company"), way.alias("matched"))
 
 
-@query()
-def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each priority's daily amount rises, told year by year from the days before."""
+def forecasts(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("series").orderBy("day")
     daily = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.col("o_orderdate").cast("date").alias("day")).agg(total("o_totalprice").alias("amount"), F.count("*").cast("double").alias("n"))
     rows = daily.withColumns({"change": F.col("amount") - F.lag("amount").over(w), "_next": F.lead("amount").over(w)})
     rows = rows.withColumn("label", F.when(F.col("_next").isNotNull(), (F.col("_next") > F.col("amount")).cast("double")))
-    told = forecast.walk_forward(rows, "series", "day", ["amount", "n", "change"], "label", 2, 1996, least=50)
-    return told.select("series", "day", "year", "label", F.element_at("p", 2).alias("p_up"), F.element_at("clim", 2).alias("clim_up"))
+    return forecast.walk_forward(rows.withColumn("past", (F.col("change") > 0).cast("int")), "series", "day", ["amount", "n", "change"], "label", 2, 1996, least=50, past="past", grid=(0.01, 1.0, 100.0), held=1)
+
+
+@query()
+def walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each priority's daily amount rises, told year by year from the days before."""
+    up = lambda name: F.element_at(name, 2)
+    return forecasts(spark, d).select("series", "day", "year", "label", up("p").alias("p_up"), up("clim").alias("clim_up"), up("markov").alias("markov_up"), up("nested").alias("nested_up"), "c_chosen")
+
+
+@query()
+def walk_forward_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Mean scores of each model by series and year."""
+    told = forecasts(spark, d)
+    parts = [forecast.scored(told, m).select("series", "year", F.lit(m).alias("model"), "log_loss", "brier", "hit") for m in ("p", "nested", "clim", "markov")]
+    means = [F.avg(c).alias(c) for c in ("log_loss", "brier", "hit")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("series", "year", "model").agg(F.count("*").alias("n"), *means)
+
+
+@query()
+def walk_forward_gain(spark: SparkSession, d: str) -> DataFrame:
+    """How much less log loss the chosen model has than the shares by past state, with an interval over blocks of days."""
+    told = forecasts(spark, d)
+    ours = forecast.scored(told, "nested").select("series", "day", F.col("log_loss").alias("a"))
+    theirs = forecast.scored(told, "markov").select("series", "day", F.col("log_loss").alias("b"))
+    return forecast.paired_bootstrap(ours.join(theirs, ["series", "day"]).withColumn("diff", F.col("b") - F.col("a")), "series", "day", "diff", 21, 400)
+
+
+@query()
+def clustered_gain(spark: SparkSession, d: str) -> DataFrame:
+    """What discount and tax add to quantity in telling a line's price, with intervals over suppliers."""
+    return forecast.clustered_gain(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", ["l_quantity"], ["l_discount", "l_tax"], 300)
 
 
 #: Fixed values of the adaptation: which index stands for a class.
