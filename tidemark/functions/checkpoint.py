@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Whether the optimizer derives conditions from conditions.
@@ -34,3 +35,11 @@ def saved(df: DataFrame, forget: bool = False) -> DataFrame:
         return df.checkpoint()
     finally:
         spark.conf.set(DERIVES, held)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that ``spark.checkpoint.dir`` names, for tables that later steps read."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        saved(spark.range(1))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
