@@ -8,17 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Whether the optimizer derives conditions from conditions.
-DERIVES = "spark.sql.constraintPropagation.enabled"
-
-
 def saved(df: DataFrame, forget: bool = False) -> DataFrame:
     """``df`` written to the folder that ``spark.checkpoint.dir`` names, so that later reads don't compute it again, and a
     lost executor costs only what wasn't written. Unset, a folder is made for local sessions; on a cluster it's an error,
     since a folder of one machine is none of the others'.
 
-    A checkpoint keeps the conditions that the optimizer has derived for its rows. In a loop whose rounds join earlier rounds
-    they multiply until planning fills the driver; with ``forget`` none are derived.
+    A checkpoint also keeps what the optimizer had estimated: the size of a join is the product of its sides'. In a loop whose
+    rounds join earlier rounds these numbers grow without end and fill the driver. With ``forget`` the rows go to a table in
+    the same folder instead and are read back with the size that they have.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -29,12 +26,9 @@ def saved(df: DataFrame, forget: bool = False) -> DataFrame:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     if not forget:
         return df.checkpoint()
-    held = spark.conf.get(DERIVES, "true")
-    spark.conf.set(DERIVES, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set(DERIVES, held)
+    path = shared_folder(spark, "saved")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

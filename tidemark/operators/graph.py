@@ -36,13 +36,13 @@ def look_through(holdings: DataFrame, depth: int = 4) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node it reaches) of an undirected graph (a, b), by smallest labels and shortcuts."""
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+    both = saved(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), forget=True)
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), forget=True)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near"))
         step = labels.join(near, "node").select("node", F.col("root").alias("_old"), F.least("root", "_near").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        moved = saved(step.join(up, "root", "left").select("node", "_old", F.least("root", "_up").alias("root")))
+        moved = saved(step.join(up, "root", "left").select("node", "_old", F.least("root", "_up").alias("root")), forget=True)
         labels = moved.select("node", "root")
         if moved.filter("_old <> root").isEmpty():
             return labels
