@@ -49,8 +49,11 @@ def wide(observations: DataFrame, by: Sequence[str], metrics: Sequence[str]) ->
 
 
 def first_seen_on(documents: DataFrame, seen: str, zone: str, day: Column) -> DataFrame:
-    """Documents first seen on a local day of a zone; ``seen`` is in UTC."""
-    return documents.filter(F.from_utc_timestamp(seen, zone).cast("date") == day)
+    """Documents first seen on a local day of a zone; ``seen`` is in UTC. The day's ends are told in UTC, so that the filter
+    is on the column as it is stored."""
+    start, end = (F.to_utc_timestamp(d.cast("timestamp"), zone) for d in (day.cast("date"), F.date_add(day.cast("date"), 1)))
+    kind = documents.schema[seen].dataType
+    return documents.filter((F.col(seen) >= start.cast(kind)) & (F.col(seen) < end.cast(kind)))
 
 
 def coverage_by_code(cases: DataFrame, code: Column, names: Mapping[str, str], flag: Column) -> DataFrame:

@@ -26,7 +26,7 @@ def adjustment_status(events: DataFrame, anchors: DataFrame) -> DataFrame:
     own = events.select("ticker", "kind", "last_cum", "factor", "asset").distinct().join(anchors, "ticker").filter(F.col("last_cum") < F.col("anchor"))
     one = Window.partitionBy("ticker", "kind", "last_cum")
     reason = (
-        F.when(~F.col("kind").isin(*SUPPORTED), F.concat(F.lit("unsupported event "), "kind"))
+        F.when(~F.col("kind").isin(*SUPPORTED), F.concat(F.lit("unsupported corporate event "), "kind"))
         .when(share_ratio(F.col("kind"), F.col("factor")).isNull(), F.concat(F.lit("unreadable factor on "), "kind"))
         .when(F.count("*").over(Window.partitionBy("ticker", "kind", "last_cum", "factor")) > 1, F.concat(F.lit("ambiguous "), "kind", F.lit(" paid in two assets")))
         .when(F.count("*").over(one) > 1, F.concat(F.lit("ambiguous "), "kind", F.lit(" published with two factors")))
@@ -39,7 +39,7 @@ def adjustment_status(events: DataFrame, anchors: DataFrame) -> DataFrame:
 def spliced(bars: DataFrame, renames: DataFrame) -> DataFrame:
     """Bars under their newest name: rows of an earlier name before the day of its change count for the later one.
     renames: old, new, day; each name has one successor at most, and only one hop is taken by a call."""
-    out = bars.join(F.broadcast(renames), F.col("ticker") == F.col("old"), "left")  # one row per renamed ticker
+    out = bars.join(renames, F.col("ticker") == F.col("old"), "left")
     earlier = F.col("new").isNotNull() & (bars["day"] < renames["day"])
     return out.select(F.when(earlier, F.col("new")).otherwise(bars["ticker"]).alias("ticker"), *[bars[c] for c in bars.columns if c != "ticker"])
 

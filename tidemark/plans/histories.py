@@ -13,7 +13,7 @@ from tidemark.plans.markets import ADJ, share_events
 
 STATUS = """ev AS (SELECT DISTINCT user_id AS ticker, CASE event_id % 5 WHEN 0 THEN 'GRUPAMENTO' WHEN 1 THEN 'CISAO' ELSE 'DESDOBRAMENTO' END AS kind, ts::DATE AS last_cum, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 10.0 + event_id % 2 END::DOUBLE AS factor, event_id % 2 AS asset FROM events WHERE event_type = 'signup'),
 anchors AS (SELECT ticker, max(day) AS anchor FROM sessions GROUP BY 1),
-bl AS (SELECT e.*, a.anchor, CASE WHEN kind NOT IN ('DESDOBRAMENTO', 'GRUPAMENTO', 'BONIFICACAO') THEN 'unsupported event ' || kind WHEN factor IS NULL THEN 'unreadable factor on ' || kind
+bl AS (SELECT e.*, a.anchor, CASE WHEN kind NOT IN ('DESDOBRAMENTO', 'GRUPAMENTO', 'BONIFICACAO') THEN 'unsupported corporate event ' || kind WHEN factor IS NULL THEN 'unreadable factor on ' || kind
   WHEN count(*) OVER (PARTITION BY e.ticker, kind, last_cum, factor) > 1 THEN 'ambiguous ' || kind || ' paid in two assets' WHEN count(*) OVER (PARTITION BY e.ticker, kind, last_cum) > 1 THEN 'ambiguous ' || kind || ' published with two factors' END AS reason
   FROM ev e JOIN anchors a ON a.ticker = e.ticker WHERE last_cum < anchor),
 st AS (SELECT ticker, max(last_cum) AS block_through, arg_min(reason, (-epoch(last_cum), reason)) AS block_reason FROM bl WHERE reason IS NOT NULL GROUP BY 1)"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.core import latest_by, total
 from tidemark.operators import filings as L
-from tidemark.plans.base import query, table
+from tidemark.plans.base import query, since_until, table
 
 DOCS = """docs AS (SELECT o_orderkey AS doc, o_custkey AS filer, o_orderpriority AS type, year(o_orderdate) AS y, o_orderstatus AS status, o_totalprice AS amount, o_orderdate AS filed,
   row_number() OVER (PARTITION BY o_custkey, o_orderpriority, year(o_orderdate) ORDER BY o_orderdate, o_orderkey)::INT AS version FROM orders)"""
@@ -142,7 +142,7 @@ def implied_check(spark: SparkSession, d: str) -> DataFrame:
 def macro_series(spark: SparkSession, d: str) -> DataFrame:
     """One series in a window, the last value of each day."""
     day = F.col("ts").cast("date")
-    own = table(spark, d, "events").filter((F.col("event_type") == "purchase") & day.between(_day("2024-01-05"), _day("2024-01-25")))
+    own = since_until(table(spark, d, "events"), "ts", "2024-01-05", "2024-01-26").filter(F.col("event_type") == "purchase")
     return own.groupBy(F.col("event_type").alias("series"), day.alias("day")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
@@ -154,12 +154,12 @@ def fx_daily(spark: SparkSession, d: str) -> DataFrame:
     return own.agg(mean.alias("buy"), F.max("value").alias("sell"), F.round(F.max("value") - mean, 9).alias("spread"))
 
 
-@query("SELECT event_type AS indicator, ts::DATE AS day, (json_extract(props, '$.k')::INT) % 4 AS horizon, round(median(value), 6) AS median, count(*) AS n FROM events WHERE json_extract(props, '$.k')::INT >= 20 GROUP BY ALL")
+@query("SELECT event_type AS indicator, ts::DATE AS day, (json_extract(props, '$.k')::INT) % 4 AS horizon, round(median(value), 6) AS median, count(*) AS n, CASE WHEN json_extract(props, '$.k')::INT >= 20 THEN 'full' ELSE 'top' END AS base FROM events GROUP BY ALL")
 def focus_expectations(spark: SparkSession, d: str) -> DataFrame:
-    """Survey medians by horizon, which the rows' JSON holds."""
+    """Survey medians by horizon and base of forecasters, which the rows' JSON holds."""
     k = F.get_json_object("props", "$.k").cast("int")
-    own = table(spark, d, "events").filter(k >= 20)
-    return own.groupBy(F.col("event_type").alias("indicator"), F.col("ts").cast("date").alias("day"), (k % 4).alias("horizon")).agg(F.percentile("value", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
+    base = F.when(k >= 20, "full").otherwise("top")
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("indicator"), F.col("ts").cast("date").alias("day"), (k % 4).alias("horizon"), base.alias("base")).agg(F.percentile("value", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
 
 
 @query("SELECT p_type AS title, date_trunc('month', l_shipdate)::DATE AS base, DATE '2000-01-01' + (p_size * 30)::INT AS maturity, round(avg(l_extendedprice::DECIMAL(18,2))::DOUBLE, 6) AS price FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_shipdate BETWEEN DATE '1995-01-01' AND DATE '1997-12-31' GROUP BY ALL")

@@ -1,4 +1,4 @@
-"""Queries on what there is: catalogues of series, of the library's own queries, portfolio fee summaries, identification."""
+"""Queries on what there is: catalogues of series, portfolio fee summaries, identification."""
 
 from __future__ import annotations
 
@@ -32,16 +32,13 @@ def inflation_registry(spark: SparkSession, d: str) -> DataFrame:
     return _registry(table(spark, d, "lineitem"), F.concat("l_returnflag", F.lit("/"), "l_linestatus"), "l_shipdate")
 
 
-@query()
-def catalog(spark: SparkSession, d: str) -> DataFrame:
-    """The library's queries, with their families."""
-    return spark.createDataFrame([(name, name.split("_")[0]) for name in sorted(QUERIES)], "name string, family string")
-
-
-@query("SELECT user_id AS ticker, max(ts)::DATE AS newest, count(*) AS n_rows, sum(event_id % 1000003)::BIGINT AS revision FROM events GROUP BY 1")
+@query("""SELECT user_id AS ticker, max(ts) AS newest, count(*) AS n_rows,
+  bit_xor(('0x' || substr(md5(concat_ws('|', event_id, epoch_us(ts), user_id, event_type, round(value * 100)::BIGINT, props)), 1, 15))::BIGINT) AS revision FROM events GROUP BY 1""")
 def data_revision(spark: SparkSession, d: str) -> DataFrame:
-    """A number for each ticker that changes when its rows do."""
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("ticker")).agg(F.max("ts").cast("date").alias("newest"), F.count("*").alias("n_rows"), F.sum(F.col("event_id") % 1000003).alias("revision"))
+    """For each ticker its newest row and a number of all its rows' values: hashes, combined so that order doesn't count."""
+    fields = ("event_id", F.unix_micros(F.col("ts").cast("timestamp")), "user_id", "event_type", F.round(F.col("value") * 100).cast("bigint"), "props")
+    whole = F.conv(F.substring(F.md5(F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in fields])), 1, 15), 16, 10).cast("bigint")
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("ticker")).agg(F.max("ts").alias("newest"), F.count("*").alias("n_rows"), F.bit_xor(whole).alias("revision"))
 
 
 @query("""WITH e AS (SELECT user_id AS isin, ts::DATE AS day, event_type AS kind, value AS factor, event_id FROM events WHERE event_type IN ('signup', 'purchase'))
