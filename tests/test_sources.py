@@ -63,12 +63,28 @@ def test_field_maps(spark):
     a, b = S.mapped(rows, fields, "fi_diario", ["cnpj"]).collect()
     assert (a.cnpj, a.dt_comptc, a.vl_total, a.nr_cotst, a.id_subclasse) == ("11222333000181", datetime.date(2026, 9, 1), Decimal("1000.5"), 3, None)
     assert a.raw == {"CNPJ_FUNDO": "", "OTHER": "left"}
-    assert (b.cnpj, b.dt_comptc, b.vl_total) == ("00000000000022", None, None) and b.raw == {"VL_TOTAL": "NULL"}
-    with pytest.raises(S.FieldMapMismatch):
+    assert (b.cnpj, b.dt_comptc, b.vl_total) == ("00000000000022", None, None) and b.raw == {"CNPJ_FUNDO_CLASSE": None, "VL_TOTAL": "NULL", "NR_COTST": None, "OTHER": None}
+    with pytest.raises(S.SourceChanged):
         S.mapped(rows.select("OTHER"), fields, "fi_diario", ["cnpj"])
     assert S.coverage(["cnpj_fundo"], fields)[0] == ["cnpj"]
 
 
+def test_maps_of_recreated_headers():
+    aging = S.by_rule("fidc_aging", ["CNPJ_FUNDO_CLASSE", "DT_COMPTC"])
+    assert len(aging) == 23 and aging["vl_prazo_maior_1080"].candidates == ("TAB_VI_A10_VL_PRAZO_VENC_MAIOR_1080", "TAB_VI_A_VL_10", "TAB_VI_VL_PRAZO_MAIS_1080")
+    assert aging["vl_inad_360"].candidates == ("TAB_VI_B7_VL_INAD_360", "TAB_VI_B_VL_7", "TAB_VI_VL_INAD_181_360")
+    assert len(S.by_rule("fidc_scr", [])) == 21 and len(S.by_rule("securit_fluxo", [])) == 16
+    old = S.by_rule("fund_registry", ["CNPJ_FUNDO", "DENOM_SOCIAL", "SIT", "ADMIN", "Extra_Coluna"])
+    assert S.coverage(["CNPJ_Fundo", "Denominacao_Social", "Situacao", "Administrador"], old)[0] == ["cnpj", "fund_name", "status", "admin_name"]
+    assert old["extra_coluna"].candidates == ("Extra_Coluna",) and S.by_rule("fii_complemento", [])["pct_dividend_yield_mes"].type == "pct"
+
+
+def test_a_poor_fit_warns(spark):
+    fields = {"a": S.Field(("A",)), "b": S.Field(("B",)), "c": S.Field(("C",))}
+    with pytest.warns(UserWarning, match="only 1 of 3"):
+        S.mapped(spark.createDataFrame([("1",)], "A string"), fields, "x")
+
+
 def test_tab_columns_by_rule():
     fields = S.by_rule("fidc_setor", ["CNPJ_FUNDO", "DT_COMPTC", "TAB_II_A_VL_INDUST", "TAB_II_VL_CARTEIRA", "TAB_X_PR_GARANTIA_DIRCRED"])
     assert {"vl_a_indust", "vl_carteira", "pr_garantia_dircred"} < set(fields) and fields["vl_carteira"].type == "numeric"
