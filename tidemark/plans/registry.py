@@ -62,18 +62,32 @@ def fees_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("mean_fee", F.round(F.col("_sum") / F.nullif(F.col("covered"), F.lit(0.0)), 9)).drop("_sum")
 
 
-@query("""WITH a AS (SELECT c_custkey AS id, c_name AS asked FROM customer UNION ALL SELECT s_suppkey + 1000000, s_name FROM supplier), k AS (SELECT s_suppkey AS company, lower(replace(s_name, '#', ' ')) AS norm, s_name AS name FROM supplier)
-SELECT a.id, coalesce(x.company, y.company) AS company, CASE WHEN x.company IS NOT NULL THEN 'name' WHEN y.company IS NOT NULL THEN 'norm' END AS matched FROM a LEFT JOIN k x ON x.name = a.asked LEFT JOIN k y ON y.norm = lower(replace(replace(a.asked, 'Customer', 'Supplier'), '#', ' '))""")
+@query(
+    """WITH k AS (SELECT c_custkey AS company, c_name AS name, c_mktsegment || '/' || c_nationkey AS class FROM customer),
+c AS (SELECT class, min(company) AS company, count(*) AS n FROM k GROUP BY class),
+l AS (
+  SELECT o_orderkey AS line, CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END AS number, CASE WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN upper(replace(c_name, '#', '  #')) END AS printed,
+         CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN c_mktsegment || '/' || c_nationkey END AS class
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey)
+SELECT line, CASE WHEN l.number IS NOT NULL THEN a.company WHEN printed IS NOT NULL THEN b.company WHEN c.n = 1 THEN c.company END AS company,
+       CASE WHEN a.company IS NOT NULL THEN 'number' WHEN b.company IS NOT NULL THEN 'name' WHEN c.n = 1 THEN 'class' WHEN c.n > 1 THEN 'ambiguous' ELSE 'none' END AS matched, CASE WHEN c.n > 1 THEN c.n END AS n_candidates
+FROM l LEFT JOIN k a ON a.company = l.number LEFT JOIN (SELECT company, lower(name) AS norm FROM k) b ON b.norm = lower(replace(l.printed, '  #', '#')) LEFT JOIN c ON c.class = l.class"""
+)
 def identify(spark: SparkSession, d: str) -> DataFrame:
-    """Lines identified by their exact name, else by their normalised one."""
-    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("asked")).unionByName(table(spark, d, "supplier").select((F.col("s_suppkey") + 1000000).alias("id"), F.col("s_name").alias("asked")))
-    known = table(spark, d, "supplier").select("s_suppkey", "s_name", name_norm(F.replace("s_name", F.lit("#"), F.lit(" "))).alias("_norm"))
-    exact = known.select(F.col("s_name").alias("asked"), F.col("s_suppkey").alias("_x"))
-    loose = known.select("_norm", F.col("s_suppkey").alias("_y"))
-    norm = name_norm(F.replace(F.replace("asked", F.lit("Customer"), F.lit("Supplier")), F.lit("#"), F.lit(" ")))
-    both = asked.join(exact, "asked", "left").withColumn("_norm", norm).join(loose, "_norm", "left")
-    way = F.when(F.col("_x").isNotNull(), "name").when(F.col("_y").isNotNull(), "norm")
-    return both.select("id", F.coalesce("_x", "_y").alias("company"), way.alias("matched"))
+    """Each order's company by what it prints: a number, a name in other case and spacing, or only a class, which tells one
+    company apart only if it has no other."""
+    companies = table(spark, d, "customer").select(F.col("c_custkey").alias("company"), "c_name", F.concat("c_mktsegment", F.lit("/"), F.col("c_nationkey").cast("string")).alias("class"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("line"), F.col("o_custkey").alias("company"), F.col("o_orderpriority").alias("kind")).join(companies, "company", "left")
+    by_number, by_name = F.col("kind") == "1-URGENT", F.col("kind").isin("2-HIGH", "3-MEDIUM")
+    printed = F.upper(F.replace("c_name", F.lit("#"), F.lit("  #")))
+    lines = orders.select("line", F.when(by_number, F.col("company")).alias("number"), F.when(by_name, printed).alias("printed"), F.when(~by_number & ~by_name, F.col("class")).alias("class"))
+    bare = lambda c: F.regexp_replace(name_norm(c), " *# *", "#")
+    numbers = companies.select(F.col("company").alias("_a"))
+    names = companies.select(bare("c_name").alias("_norm"), F.col("company").alias("_b"))
+    classes = companies.groupBy("class").agg(F.min("company").alias("_c"), F.count("*").alias("_n"))
+    met = lines.join(numbers, F.col("number") == F.col("_a"), "left").join(names, bare("printed") == F.col("_norm"), "left").join(classes, "class", "left")
+    way = F.when(F.col("_a").isNotNull(), "number").when(F.col("_b").isNotNull(), "name").when(F.col("_n") == 1, "class").when(F.col("_n") > 1, "ambiguous").otherwise("none")
+    return met.select("line", F.coalesce("_a", "_b", F.when(F.col("_n") == 1, F.col("_c"))).alias("company"), way.alias("matched"), F.when(F.col("_n") > 1, F.col("_n")).alias("n_candidates"))
 
 
 def forecasts(spark: SparkSession, d: str) -> DataFrame:
