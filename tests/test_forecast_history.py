@@ -124,3 +124,16 @@ def test_clustered_intervals_are_those_of_the_same_draws(spark):
     gains = [told(w[k][c], np.column_stack([a, b])) - told(w[k][c], a) for k in range(41)]
     assert np.allclose([got["gain"].value, got["gain"].low, got["gain"].high], [gains[0], *np.quantile(gains[1:], [0.025, 0.975])], atol=1e-6)
     assert got["full"].n_clusters == 30 and got["gain"].low > 0
+
+
+def test_a_universe_ends_with_each_familys_complete_month(spark):
+    rows = [(f"{fam}{i}", fam, datetime.date(2024, m, 1), 100.0 * i, 1.0 if m != 3 else None) for fam in "ab" for m in range(1, 8) for i in range(10) if not (fam == "b" and m == 7 and i > 2)]
+    fact = spark.createDataFrame(rows, "entity string, family string, period date, nav double, x double")
+    run = lambda **how: history.universe(fact, "x", datetime.date(2024, 2, 10), datetime.date(2024, 8, 2), **how)
+    assert {(r.family, r.date.month) for r in run().collect()} == {("a", m) for m in (2, 4, 5, 6, 7)} | {("b", m) for m in (2, 4, 5, 6)}
+    assert {r.date.month for r in run(family="b", until=datetime.date(2024, 7, 31)).collect()} == {2, 4, 5, 6, 7}
+    assert {r.id for r in run(family="a", min_nav=700.0).collect()} == {"a7", "a8", "a9"}
+    assert run(family="b", min_months=5).count() == 0 and run(family="a", min_months=5).count() == 50
+    for bad in (lambda: history.universe(fact, "y", datetime.date(2024, 2, 1), datetime.date(2024, 8, 2)), lambda: run(until=datetime.date(2023, 1, 1))):
+        with pytest.raises(guards.Refused):
+            bad()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import guards
 from tidemark.functions.core import keyset_after
+from tidemark.operators import facts
 from tidemark.operators.market import adjusted_close, share_ratio, total_return
 
 #: The specifications of a history, and the share events that can be adjusted for.
@@ -111,6 +112,36 @@ def panel(sources: dict[str, DataFrame], ids: list[str] | None = None, metrics:
     return out.withColumn("unit", unit_of(F.col("metric")))
 
 
+def universe(fact: DataFrame, metric: str, since: date, as_of: date, until: date | None = None, family: str | None = None, min_nav: float | None = None, min_months: int | None = None) -> DataFrame:
+    """family, id, date, metric, value: a monthly metric of every fund of a family (or of all) that passes: its latest NAV in the
+    window is ``min_nav`` or more, and it has ``min_months`` values of the metric.
+
+    Without ``until`` a family's window ends with its own latest complete month (ended, and filed by 0.80 of the median of
+    the six before), so that a month half filed isn't taken for the industry; with it, the window holds what there is.
+    Refused: an unknown metric, and an empty window. fact: entity, family, period, nav and other metrics."""
+    guards.one_of(metric, [c for c in fact.columns if c not in ("entity", "family", "period")], "metric")
+    own = fact if family is None else fact.filter(F.col("family") == family)
+    if until is None:
+        guards.window(since, as_of)
+        counts = own.groupBy("family", "period").agg(F.countDistinct("entity").alias("_n"))
+        before = Window.partitionBy("family").orderBy("period").rowsBetween(-facts.TRAILING, -1)  # one row a family and month
+        counts = counts.withColumn("_median", F.percentile("_n", F.lit(0.5)).over(before))
+        done = (F.last_day("period") < F.lit(as_of)) & F.coalesce(F.col("_n") >= facts.COMPLETE * F.col("_median"), F.lit(True))
+        ends = counts.filter(done).groupBy("family").agg(F.max("period").alias("_end"))
+        own = own.join(ends, "family").filter(F.col("period") <= F.col("_end")).drop("_end")
+    else:
+        guards.window(since, until)
+        own = own.filter(F.col("period") <= F.trunc(F.lit(until), "month"))
+    own = own.filter(F.col("period") >= F.trunc(F.lit(since), "month"))
+    held = own.groupBy("family", "entity").agg(F.max_by("nav", F.when(F.col("nav").isNotNull(), F.col("period"))).alias("_nav"), F.count(metric).alias("_months"))
+    if min_nav is not None:
+        held = held.filter(F.col("_nav") >= min_nav)
+    if min_months is not None:
+        held = held.filter(F.col("_months") >= min_months)
+    kept = own.join(held.select("family", "entity"), ["family", "entity"], "left_semi").filter(F.col(metric).isNotNull())
+    return kept.select("family", F.col("entity").alias("id"), F.col("period").alias("date"), F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value"))
+
+
 def panel_page(observations: DataFrame, after: str | None, limit: int = guards.ROW_CAP) -> DataFrame:
     """The next page after a cursor date|id|metric|class."""
     return keyset_after(observations, ["date", "id", "metric", "class"], guards.panel_cursor(after), limit)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import history as H
-from tidemark.plans.base import DAILY, SESSIONS, daily, query, sessions, table
+from tidemark.plans.base import DAILY, FACT, SESSIONS, daily, fact, query, sessions, table
 from tidemark.plans.markets import ADJ, share_events
 
 STATUS = """ev AS (SELECT DISTINCT user_id AS ticker, CASE event_id % 5 WHEN 0 THEN 'GRUPAMENTO' WHEN 1 THEN 'CISAO' ELSE 'DESDOBRAMENTO' END AS kind, ts::DATE AS last_cum, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 10.0 + event_id % 2 END::DOUBLE AS factor, event_id % 2 AS asset FROM events WHERE event_type = 'signup'),
@@ -75,3 +75,17 @@ def panel_after(spark: SparkSession, d: str) -> DataFrame:
     """A page of chosen metrics of two families in a window, after a cursor."""
     window = (datetime.date(1996, 1, 1), datetime.date(2024, 1, 20))
     return H.panel_page(H.panel(sources(spark, d), metrics=["nav", "close", "n_trades"], families=["fund", "market"], window=window), "1997-03-01|20|nav|", 500)
+
+
+@query(
+    f"""WITH {FACT},
+c AS (SELECT family, period, count(DISTINCT entity) AS n FROM fact GROUP BY ALL),
+m AS (SELECT *, median(n) OVER (PARTITION BY family ORDER BY period ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS med FROM c),
+e AS (SELECT family, max(period) AS last FROM m WHERE last_day(period) < DATE '2001-07-15' AND coalesce(n >= 0.8::DOUBLE * med, true) GROUP BY family),
+w AS (SELECT fact.* FROM fact JOIN e USING (family) WHERE period <= last AND period >= DATE '1997-01-01'),
+k AS (SELECT family, entity FROM w GROUP BY ALL HAVING arg_max(nav, period) FILTER (nav IS NOT NULL) >= 50000 AND count(inflow) >= 5)
+SELECT family, entity AS id, period AS date, 'inflow' AS metric, inflow AS value FROM w JOIN k USING (family, entity) WHERE inflow IS NOT NULL"""
+)
+def panel_universe(spark: SparkSession, d: str) -> DataFrame:
+    """Inflows of every family's funds of some size and history, each family until its own latest complete month."""
+    return H.universe(fact(spark, d), "inflow", datetime.date(1997, 1, 1), datetime.date(2001, 7, 15), min_nav=50000, min_months=5)
