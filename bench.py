@@ -15,6 +15,7 @@ HEADLINE = (
     "activity_grouping_sets", "lending_participant_daily", "short_interest_daily", "close_total_return", "panel_wide",
     "asof_join", "name_resolve", "shared_exposure", "portfolio_credit_returns",
     "company_financials", "balance_sheets", "flat_forward", "restatement_diff", "holdings_monthly", "research_universe",
+    "business_days", "implied_rate", "body_differences", "ticker_lineages", "known_values", "fact_by_period",
 )
 
 
