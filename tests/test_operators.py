@@ -2,13 +2,14 @@
 
 import datetime
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import guards
-from tidemark.operators import filings, ingest, panel, rates, statements
+from tidemark.operators import filings, graph, ingest, panel, rates, statements
 
 
 def day(text):
@@ -122,3 +123,21 @@ def test_percent_of_nothing(spark):
     df = spark.createDataFrame([(1, 2.0, 0.5), (1, 2.0, None), (2, 0.0, 1.0)], "k int, q double, r double")
     assert {r.k: r.x for r in df.groupBy("k").agg(weighted("r", "q").alias("x")).collect()} == {1: 0.5, 2: None}
     assert df.agg(F.sum("q")).first()[0] == 4.0
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    r = random.Random(3)
+    pairs = [(i, i + 1) for i in range(40)] + [(r.randint(100, 180), r.randint(100, 180)) for _ in range(45)] + [(7, 7), (None, 3)]
+    root = {x: x for p in pairs for x in p if x is not None}
+    for _ in range(200):
+        for a, b in pairs:
+            if a is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    want = {x: y for x, y in root.items() if any(x in p and None not in p and p[0] != p[1] for p in pairs)}
+    got = graph.components(spark.createDataFrame(pairs, "a long, b long"))
+    assert {x.node: x.root for x in got.collect()} == want
+    named = graph.components(spark.createDataFrame([("b", "c"), ("c", "a"), ("y", "z")], "a string, b string"))
+    assert {x.node: x.root for x in named.collect()} == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0

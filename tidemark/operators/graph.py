@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,9 @@ from tidemark.functions.checkpoint import saved
 from tidemark.functions.core import safe_div
 from tidemark.functions.text import name_norm, trigrams
 
+#: Rows of a graph, each link both ways, that one task unites: 16 MB of numbers.
+SMALL = 1_000_000
+
 
 def look_through(holdings: DataFrame, depth: int = 4) -> DataFrame:
     """Holdings of holdings down to a depth: root, held, depth, weight (product of value over NAV) and block.
@@ -34,9 +40,40 @@ def look_through(holdings: DataFrame, depth: int = 4) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that each reaches) of a graph in memory."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        for side in (left, right):
+            np.minimum.at(new, label[side], low)
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node it reaches) of an undirected graph (a, b), by smallest labels and shortcuts."""
+    """node, root (the smallest node it reaches) of an undirected graph (a, b).
+
+    By smallest labels and shortcuts, round by round; a graph of SMALL rows at most, which is counted, takes one task
+    instead, since each round costs several shuffles."""
     both = saved(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), forget=True)
+    if both.count() <= SMALL:
+        kind = both.schema["a"].dataType.simpleString()
+
+        def told(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = list(it)
+            if parts:
+                whole = pd.concat(parts)
+                nodes, roots = united(whole["a"].to_numpy(), whole["b"].to_numpy())
+                yield pd.DataFrame({"node": nodes, "root": roots})
+
+        return saved(both.coalesce(1).mapInPandas(told, f"node {kind}, root {kind}"), forget=True)
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), forget=True)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near"))
