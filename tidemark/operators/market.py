@@ -87,8 +87,8 @@ def adjusted_close(bars: DataFrame, events: DataFrame, anchor: str) -> DataFrame
     """Adds ``close_adj``: the close over the product of the distinct ratios of events whose last day with rights is the
     bar's day or later, and before ``anchor``; six digits.
 
-    Events (ticker, last_cum, kind, factor) are far fewer than bars: their products are summed up per ticker first, as one
-    running product from the end, and each bar looks its own up in the ticker's sorted array.
+    Events (ticker, last_cum, kind, factor) are far fewer than bars: a ticker's become one sorted array of logs, which each of
+    its bars sums from its own day on.
     """
     ratios = events.select("ticker", "last_cum", share_ratio(F.col("kind"), F.col("factor")).alias("ratio")).filter(F.col("ratio").isNotNull() & (F.col("last_cum") < F.lit(anchor).cast("date"))).distinct()
     per = ratios.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("last_cum", F.log("ratio").alias("ln")))).alias("_events"))

@@ -71,7 +71,7 @@ def asof(sessions: DataFrame, frame: DataFrame, key: str, day: str, columns: Seq
     both = own.unionByName(obs, allowMissingColumns=True).withColumn("_n", F.sum("_kind").over(w))
     # a session's number is compared with how many sessions had passed when the observation came
     both = both.withColumn("_held", F.last(F.when(F.col("_kind") == 0, F.struct("_n", "_obs")), ignorenulls=True).over(w)).filter("_kind = 1")
-    age = F.col("_n") - F.col("_held._n") - F.when(F.col("_held._obs.obs_day") == F.col(day), 1).otherwise(1)
+    age = F.col("_n") - F.col("_held._n") - 1
     fresh = age <= most_sessions
     return both.select(*sessions.columns, *[F.when(fresh, F.col(f"_held._obs.{c}")).alias(c) for c in ("obs_day", *columns)])
 
