@@ -33,7 +33,7 @@ BUCKET, LEAST_BUCKETS, BATCH = 8_000_000, 64, 2_000_000
 #: A shingle is common if it is in one of so many sets; a batch looks for those in one of twice as many.
 COMMON, MOST_COMMON = 16, 65_536
 #: Sets of a family that one task joins at most; pivots of the first round, over tasks and in one; their growth by round.
-FAMILY, PIVOTS, INNER, GROWTH = 1024, 16, 8, 4
+FAMILY, PIVOTS, INNER, GROWTH = 1024, 64, 8, 16
 #: A component with more than 1 in HOT of all rows is looked up apart.
 HOT = 10_000
 _HOT = np.iinfo(np.int32).max
