@@ -125,7 +125,8 @@ def next_session(events: DataFrame, bars: DataFrame, key: str, day: str, within:
 
 def event_return(bars: DataFrame, events: DataFrame, most_days: int = 7) -> DataFrame:
     """Adds ``ret``: close times the share ratio of events since the bar before, over the close before, less 1; null where
-    an event can't be read, the factor of quotation changed, or the gap is over ``most_days`` days."""
+    an event can't be read, the factor of quotation changed, or the gap is over ``most_days`` days. Over a close of 0 it is
+    infinite, or no number if the close is 0 too."""
     w = Window.partitionBy("ticker").orderBy("day")
     rows = bars.withColumns({"_close": F.lag("close").over(w), "_day": F.lag("day").over(w), "_unit": F.lag("unit").over(w)})
     ratio = share_ratio(F.col("kind"), F.col("factor"))
@@ -135,7 +136,9 @@ def event_return(bars: DataFrame, events: DataFrame, most_days: int = 7) -> Data
     grown = F.coalesce(F.aggregate(own, F.lit(0.0), lambda s, e: s + F.coalesce(e["ln"], F.lit(0.0))), F.lit(0.0))
     sound = readable & (F.datediff("day", "_day") <= most_days) & F.col("unit").eqNullSafe(F.col("_unit"))
     out = rows.join(per, "ticker", "left")
-    return out.withColumn("ret", F.when(sound, F.col("close") * F.exp(grown) / F.col("_close") - 1)).drop("_close", "_day", "_unit", "_events")
+    worth = F.col("close") * F.exp(grown)
+    ret = F.when(F.col("_close") == 0, worth * F.lit(float("inf"))).otherwise(F.try_divide(worth, "_close")) - 1
+    return out.withColumn("ret", F.when(sound, ret)).drop("_close", "_day", "_unit", "_events")
 
 
 def resolve_unique(asked: DataFrame, candidates: DataFrame, keys: Sequence[str], name: str, price: str, close: str, tolerance: float = 0.005) -> DataFrame:
