@@ -104,3 +104,11 @@ def test_candidates_are_five_at_most(spark):
     none = spark.createDataFrame([], "id string, day date, quota double"), spark.createDataFrame([], "ticker string, id string")
     assert [int(r.id) for r in R.resolved(lines, known, *none).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
     assert R.resolved(lines.limit(0), known, *none).count() == 0 and R.resolved(lines, known.limit(0), *none).filter(F.col("id").isNull()).count() == 1
+
+
+def test_names_of_a_number_that_are_too_unlike_count_as_equally_unlike(spark):
+    known = spark.createDataFrame([("00000000000001", "fim abcdef ghijkl mnopqr stuvwx", False, date(2020, 1, 1)), ("00000000000001", "zzzzzz", True, date(2020, 1, 1))], "id string, name string, is_current boolean, last_period date")
+    lines = spark.createDataFrame([(1, "fim o um dois tres quatro cinco", "1", None, None)], "line int, name string, number string, quota double, quota_day date")
+    empty = spark.createDataFrame([], "id string, day date, quota double"), spark.createDataFrame([], "ticker string, id string")
+    likest, current = (R.resolved(lines, known, *empty, number_least=n).first() for n in (0.0, R.LEAST))
+    assert likest.matched.startswith("fim") and current.matched == "zzzzzz" and 0 < likest.score < R.LEAST

@@ -74,12 +74,12 @@ def scores(asked: DataFrame, names: DataFrame, least: float = LEAST) -> DataFram
     return long_.unionByName(short).filter(F.col("score") >= least)
 
 
-def resolved(lines: DataFrame, names: DataFrame, quotas: DataFrame, tickers: DataFrame, boilerplate: tuple[str, ...] = ()) -> DataFrame:
+def resolved(lines: DataFrame, names: DataFrame, quotas: DataFrame, tickers: DataFrame, boilerplate: tuple[str, ...] = (), number_least: float = 0.0) -> DataFrame:
     """line, id, matched, kind, score, rank, quota_diff, is_ambiguous: each line's candidates, TOP at most; one row without an id
     for a line that finds none.
 
     lines: line, name, number, quota, quota_day. names: id, name, is_current, last_period. quotas: id, day, quota. tickers:
-    ticker, id. A number wins (digits only, padded to fourteen), then a name that is a ticker, then an exact normalised name (kind
+    ticker, id. A number wins (digits only, padded to fourteen; its likest name is told, of names below ``number_least`` the current one), then a name that is a ticker, then an exact normalised name (kind
     exact_current or exact_history), else trigrams: an entity's best name counts. A name that only reaches LEAST once the
     input's boilerplate words are gone is a hint, scored HINT at most. Candidates rank by a confirming quota of that very
     day, then hints last, then score. Ambiguous: the first two are within GAP and the quota doesn't tell them apart, or the
@@ -95,7 +95,8 @@ def resolved(lines: DataFrame, names: DataFrame, quotas: DataFrame, tickers: Dat
     short = F.size(F.split("_nn", " ")) <= SHORT
     numbered = numbered.select("line", "_number", "matched", "is_current", "last_period", F.when(F.col("_nn").isNotNull() & F.col("_norm").isNotNull(), likeness).alias("_like"), F.when(short, ordered_trigrams("_nn")).alias("_a"), F.when(short, ordered_trigrams("_norm")).alias("_b"))
     numbered = with_extents(numbered, "_a", "_b", "_extent").withColumn("_s", F.greatest("_like", "_extent"))
-    first = F.min(F.struct((-F.coalesce("_s", F.lit(0.0))).alias("a"), (~F.coalesce("is_current", F.lit(False))).alias("b"), F.col("last_period").isNotNull().alias("c"), F.datediff(F.lit("2100-01-01").cast("date"), "last_period").alias("d"), "matched", F.col("_s").alias("s")))
+    like = F.when(F.col("_s") >= number_least, F.col("_s")).otherwise(0.0)
+    first = F.min(F.struct((-like).alias("a"), (~F.coalesce("is_current", F.lit(False))).alias("b"), F.col("last_period").isNotNull().alias("c"), F.datediff(F.lit("2100-01-01").cast("date"), "last_period").alias("d"), "matched", F.col("_s").alias("s")))
     by_number = numbered.groupBy("line", "_number").agg(first.alias("_f")).select("line", F.col("_number").alias("id"), "_f.matched", F.lit("number").alias("kind"), F.col("_f.s").alias("score"), F.lit(False).alias("_hint"))
 
     named = own.filter("_number is null and _nn is not null")
