@@ -107,3 +107,10 @@ def test_many_pairs_agree_with_a_walk_of_both_trees(spark):
         x, y = flat(a, b), flat(b, a)
         want |= {(i, k, x.get(k), y.get(k)) for k in x.keys() | y.keys() if x.get(k) != y.get(k)}
     assert got == want
+
+
+def test_bodies_longer_than_what_a_task_hands_over_are_whole(spark):
+    n = 2 * B.ROWS + 5
+    texts = [(1, "<R>" + "".join(f"<A><B>{i}</B></A>" for i in range(n)) + "</R>"), (2, "no xml"), (3, "<R/>"), (4, None)]
+    told = B.leaves(spark.createDataFrame(texts, "id int, content string"))
+    assert [(r.id, r.status, r.n, r.most) for r in told.selectExpr("*", "steps[0].at as at").groupBy("id", "status").agg({"*": "count", "at": "max"}).toDF("id", "status", "n", "most").orderBy("id").collect()] == [(1, "ok", n, n), (2, "not_xml", 1, None), (3, "ok", 1, None), (4, "not_xml", 1, None)]

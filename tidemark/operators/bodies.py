@@ -13,7 +13,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +35,8 @@ NUMERIC = ("VL_", "VLR_", "QT_", "QNT_", "PR_", "PRC_", "TX_", "DESEMP_")
 NUMERIC_PARENTS = ("CLS_SENIOR", "CLS_SUBORDINADA")
 NIL = "{http://www.w3.org/2001/XMLSchema-instance}nil"
 STEP = "struct<tag:string,key:string,at:int,n:int,ok:boolean>"
+#: Leaves that a task hands over at once.
+ROWS = 20_000
 _ENDS = "[\\\\,\\]/]"
 
 
@@ -56,11 +58,14 @@ def _key(e: ET.Element, names: Sequence[str]) -> str | None:
 
 def _told(e: ET.Element, steps: tuple, keys: Mapping[str, Sequence[str]]) -> Iterator[tuple]:
     """(steps, attribute, value, nil) of every leaf at or below an element."""
-    text, nil = (e.text or "").strip(), _is_nil(e)
+    text, nil = (e.text or "").strip(), bool(e.attrib) and _is_nil(e)
     if nil or text or (not len(e) and steps):
         yield steps, None if steps else "#text", None if nil else text, nil
-    for name, value in sorted((_bare(k), v.strip()) for k, v in e.attrib.items() if k != NIL):
-        yield steps, name, value, False
+    if e.attrib:
+        for name, value in sorted((_bare(k), v.strip()) for k, v in e.attrib.items() if k != NIL):
+            yield steps, name, value, False
+    if not len(e):
+        return
     namesakes: dict[str, list[ET.Element]] = {}
     for child in e:
         if isinstance(child.tag, str):
@@ -90,22 +95,48 @@ def leaves(bodies: DataFrame, keys: Mapping[str, Sequence[str]] = KEYS, roots: S
     """id, status, steps, attribute, value, nil: a row for each leaf of a body, and one without steps for a body that can't be
     read, or has no leaf. ``bodies``: id, content. A DTD is refused, as no report has one. Deep or long bodies are whole."""
 
-    def told(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    step = pa.struct([("tag", pa.string()), ("key", pa.string()), ("at", pa.int32()), ("n", pa.int32()), ("ok", pa.bool_())])
+
+    def packed(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        at, status, steps, attribute, value, nil = map(list, zip(*rows, strict=True))
+        ends = [0]
+        for s in steps:
+            ends.append(ends[-1] + len(s or ()))
+        flat = list(zip(*(x for s in steps for x in s or ()), strict=True)) or [()] * len(step)
+        structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, step, strict=True)], fields=list(step))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs, mask=pa.array([s is None for s in steps]))
+        columns = [ids.take(pa.array(at)), pa.array(status, pa.string()), lists, pa.array(attribute, pa.string()), pa.array(value, pa.string()), pa.array(nil, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "status", "steps", "attribute", "value", "nil"])
+
+    def told(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for i, content in zip(batch["id"], batch["content"], strict=True):
-                status, root = parsed(content, roots)
-                found = list(_told(root, (), keys)) if root is not None else []
-                rows = [(i, status, [dict(zip(("tag", "key", "at", "n", "ok"), s, strict=True)) for s in steps], a, v, nil) for steps, a, v, nil in found]
-                yield pd.DataFrame(rows or [(i, status, None, None, None, False)], columns=["id", "status", "steps", "attribute", "value", "nil"])
+            ids, rows = batch.column(0), []
+            for i, content in enumerate(batch.column(1)):
+                status, root = parsed(content.as_py(), roots)
+                found = _told(root, (), keys) if root is not None else iter(())
+                first = next(found, None)
+                rows.append((i, status, *(first or (None, None, None, False))))
+                for leaf in found:
+                    rows.append((i, status, *leaf))
+                    if len(rows) >= ROWS:
+                        yield packed(ids, rows)
+                        rows = []
+            if rows:
+                yield packed(ids, rows)
 
     kind = bodies.schema["id"].dataType.simpleString()
-    return bodies.select("id", "content").mapInPandas(told, f"id {kind}, status string, steps array<{STEP}>, attribute string, value string, nil boolean")
+    return bodies.select("id", "content").mapInArrow(told, f"id {kind}, status string, steps array<{STEP}>, attribute string, value string, nil boolean")
+
+
+def _attribute() -> Column:
+    """The end of a path: the attribute, if the leaf is one."""
+    at = F.when(F.col("attribute") == "#text", "#text").otherwise(F.concat(F.lit("@"), F.col("attribute")))
+    return F.coalesce(at, F.lit(""))
 
 
 def _path(segments: Column) -> Column:
     """Segments joined, with the attribute at the end."""
-    at = F.when(F.col("attribute") == "#text", "#text").otherwise(F.concat(F.lit("@"), F.col("attribute")))
-    return F.concat(F.array_join(segments, "/"), F.coalesce(at, F.lit("")))
+    return F.concat(F.array_join(segments, "/"), _attribute())
 
 
 def _segment(step: Column, keyed: Column, single: Column) -> Column:
@@ -132,21 +163,23 @@ def differences(pairs: DataFrame, told: DataFrame) -> DataFrame:
     body can't be read have no rows.
     """
     sides = pairs.select("pair", F.col("old").alias("id"), F.lit(0).alias("side")).unionByName(pairs.select("pair", F.col("new").alias("id"), F.lit(1).alias("side")))
-    rows = told.join(sides, "id").withColumn("_bad", F.max((F.col("status") != "ok").cast("int")).over(Window.partitionBy("pair"))).filter("_bad = 0 and steps is not null")
-    rows = saved(rows.select("pair", "side", "steps", "attribute", "value", "nil"))
+    # told once; the table is dealt by pair once, and each level is a sort within a pair's part
+    rows = saved(told.join(sides, "id").select("pair", "side", "status", "steps", "attribute", "value", "nil"), forget=True)
+    bad = rows.filter("status != 'ok'").select("pair").distinct()
     depth = rows.agg(F.max(F.size("steps"))).first()[0] or 0
-    rows = rows.withColumns({"_path": F.array().cast("array<string>"), "basis": F.lit(0)})
+    rows = rows.join(bad, "pair", "left_anti").filter("steps is not null").drop("status")
+    tag, parent = F.try_element_at("steps", F.lit(-1))["tag"], F.try_element_at("steps", F.lit(-2))["tag"]
+    number = F.when(F.col("attribute").isNull() & ((F.size("steps") > 0) & (tag.rlike(f"^({'|'.join(NUMERIC)})") | F.coalesce(parent.isin(*NUMERIC_PARENTS), F.lit(False)))) & F.col("value").rlike(r"^[+-]?[0-9]+([.,][0-9]+)?$"), F.expr("try_cast(replace(value, ',', '.') AS decimal(38, 12))"))
+    rows = rows.withColumns({"leaf": F.coalesce("attribute", tag), "num": number, "_path": F.lit(""), "basis": F.lit(0)}).repartition("pair")
     for level in range(depth):
-        step = F.get("steps", F.lit(level))
+        step = F.get("steps", F.lit(0))
         group = Window.partitionBy("pair", "_path", step["tag"])
         both = rows.withColumns({"_keyed": F.coalesce(F.min(step["ok"]).over(group), F.lit(False)), "_most": F.max(step["n"]).over(group)})
         here = step.isNotNull()
-        segment = _segment(step, F.col("_keyed"), F.col("_most") <= 1)
+        segment = F.concat(F.lit("/" if level else ""), _segment(step, F.col("_keyed"), F.col("_most") <= 1))
         basis = F.when(F.col("_keyed"), 1).when(F.col("_most") <= 1, 0).otherwise(2)
-        rows = both.withColumns({"_path": F.when(here, F.array_append("_path", segment)).otherwise(F.col("_path")), "basis": F.when(here, F.greatest("basis", basis)).otherwise(F.col("basis"))}).drop("_keyed", "_most")
-    tag, parent = F.element_at("steps", -1)["tag"], F.try_element_at("steps", F.lit(-2))["tag"]
-    number = F.when(F.col("attribute").isNull() & ((F.size("steps") > 0) & (tag.rlike(f"^({'|'.join(NUMERIC)})") | F.coalesce(parent.isin(*NUMERIC_PARENTS), F.lit(False)))) & F.col("value").rlike(r"^[+-]?[0-9]+([.,][0-9]+)?$"), F.expr("try_cast(replace(value, ',', '.') AS decimal(38, 12))"))
-    named = rows.select("pair", "side", _path(F.col("_path")).alias("path"), F.coalesce("attribute", F.when(F.size("steps") > 0, tag)).alias("leaf"), "value", "nil", "basis", number.alias("num"))
+        rows = both.withColumns({"_path": F.when(here, F.concat("_path", segment)).otherwise(F.col("_path")), "basis": F.when(here, F.greatest("basis", basis)).otherwise(F.col("basis")), "steps": F.slice("steps", 2, F.greatest(F.size("steps"), F.lit(1)))}).drop("_keyed", "_most")
+    named = rows.select("pair", "side", F.concat("_path", _attribute()).alias("path"), "leaf", "value", "nil", "basis", "num")
     side = lambda k: F.max(F.when(F.col("side") == k, F.struct("value", "nil", "num")))
     met = named.groupBy("pair", "path").agg(F.first("leaf").alias("leaf"), F.max("basis").alias("basis"), side(0).alias("a"), side(1).alias("b"))
     a, b = F.col("a"), F.col("b")
