@@ -59,6 +59,19 @@ def test_tail_of_a_curve(spark):
     assert got == {c: brute_tail([r[2:] for r in rows if r[0] == c]) for c in got}
 
 
+def test_tail_of_long_curves_takes_no_square_of_their_vertices(spark):
+    g = np.random.default_rng(2)
+    for n in (3, 40, 400):
+        for noise in (0.0, 0.5, 0.9, 1.1):
+            x = 21.0 * np.arange(1, n + 1)
+            y = 1e-4 * x + np.where(np.arange(n) < n // 3, 0.05 * (n // 3 - np.arange(n)), 0.0) + noise * 1e-3 * g.uniform(-1.5, 1.5, n)
+            t = np.full(n, 1.5e-3)
+            assert x[rates.tail_from(x.tolist(), y.tolist(), t.tolist())] == brute_tail(list(zip(x, y, t / 1.5, strict=True)))
+    # all vertices on a line: every cut fits, and slices of all of them would be 400 million points
+    v = spark.range(20_000).select(F.lit("x").alias("curve"), F.lit("2026-01-02").cast("date").alias("day"), (21 * (F.col("id") + 1)).alias("du"), (F.col("id") * 0.01).alias("log_factor"), F.lit(1e-4).alias("tolerance"))
+    assert [tuple(r) for r in rates.tail_start(v).collect()] == [("x", day("2026-01-02"), 21)]
+
+
 def test_load_verdicts(spark):
     rows = [(1, "2026-01-01", 200, 200, None), (1, "2026-01-02", 90, 90, None), (1, "2026-01-03", 150, 150, None), (1, "2026-01-04", 0, 0, "not published yet"), (1, "2026-01-05", 50, 0, None), (1, "2026-01-06", 5, 5, "broken"), (1, "2026-03-01", 10, 10, None), (2, "2026-01-01", 0, 0, None), (2, "2026-01-02", 9, 9, None), (2, "2026-01-03", 1, 1, None)]
     df = spark.createDataFrame([(s, day(d), f, r, e) for s, d, f, r, e in rows], "slice int, at date, fetched long, rows long, error string")
