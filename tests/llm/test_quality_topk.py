@@ -121,3 +121,15 @@ def test_repeated_ids_and_extra_columns(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as rank", "'x' as score")
     got = [tuple(r) for r in topk.search(df).orderBy("query_id", "rank").collect()]
     assert [g[:3] for g in got] == [(0, 1, 3), (0, 2, 3), (0, 3, 20), (20, 1, 3), (20, 2, 3), (20, 3, 0), (20, 4, 0)]
+
+
+def test_bounds_of_a_block_are_made_once_and_useless_rounds_are_left_out(monkeypatch):
+    g = np.random.default_rng(5)
+    cand, ids = np.floor(64 * g.normal(size=(600, 16))), np.arange(600)
+    made, looked = [], []
+    init, bounds = topk.Lists.__init__, topk.Lists.bounds
+    monkeypatch.setattr(topk.Lists, "__init__", lambda self, c: (init(self, c), made.append(self))[0])
+    monkeypatch.setattr(topk.Lists, "bounds", lambda self, rows, q, depth: (looked.append(depth), bounds(self, rows, q, depth))[1])
+    got = topk.best(cand, ids, cand[:256], ids[:256], 5)
+    assert got == [(q, i, s) for q in range(256) for s, i in sorted(((int(cand[q] @ cand[i]), i) for i in range(600) if i != q), key=lambda x: (-x[0], x[1]))[:5]]
+    assert len(made) == 1 and len(made[0].tables) < len(topk.ROUNDS) and len(looked) < 4 * len(topk.ROUNDS)

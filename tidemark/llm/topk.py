@@ -10,6 +10,8 @@ all that is left is known. The k best of each block merge into the k best of all
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 SCALE = 64
 #: Rows of a block at most, about; candidates' blocks at least; queries bounded at once.
 BLOCK, LEAST_BLOCKS, QUERIES = 4096, 8, 64
+#: Share of pairs that a round closes at least, to be looked at again.
+LITTLE = 0.02
 #: Shares of the lists that have been read after each round.
 ROUNDS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 1)
 
@@ -36,25 +40,36 @@ class Lists:
         self.cand, self.n = cand, len(cand)
         order = np.argsort(cand, axis=0, kind="stable")
         self.ordered = np.take_along_axis(cand, order, axis=0)  # each list's values, the smallest first
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
         self.rank = np.empty_like(order)  # each candidate's place in each list
         np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(self.n)[:, None], order.shape), axis=0)
 
+    def read(self, depth: int) -> tuple[np.ndarray, ...]:
+        """What each candidate may hold at least and at most in each list, ``depth`` entries having been read from its upper end
+        (the first two) or from its lower end. What isn't read lies between the last value read and the list's other end.
+        Made once for all queries."""
+        if depth not in self.tables:
+            high, low = self.rank >= self.n - depth, self.rank < depth
+            last = self.ordered
+            self.tables[depth] = (np.where(high, self.cand, last[0]), np.where(high, self.cand, last[self.n - depth]), np.where(low, self.cand, last[depth - 1]), np.where(low, self.cand, last[-1]))
+        return self.tables[depth]
+
     def bounds(self, rows: np.ndarray, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """(lower, upper) bounds of the scores of candidates ``rows`` (columns) for queries (rows), ``depth`` entries of
-        each list having been read. What isn't read lies between the last value read and the list's other end."""
+        each list having been read."""
+        if depth >= self.n:  # the lists' end: all is known
+            known = queries @ self.cand[rows].T
+            return known, known.copy()
+        tables = self.read(depth)
+        high_least, high_most, low_least, low_most = tables if len(rows) == self.n else (t[rows] for t in tables)
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        cand, rank = self.cand[rows], self.rank[rows]
-        high, low = rank >= self.n - depth, rank < depth  # read from the upper and from the lower end
-        known = np.where(high, cand, 0) @ up.T + np.where(low, cand, 0) @ down.T
-        above = (~high) @ (up * self.ordered[self.n - depth]).T + (~low) @ (down * self.ordered[depth - 1]).T
-        below = (~high) @ (up * self.ordered[0]).T + (~low) @ (down * self.ordered[-1]).T
-        return (known + below).T, (known + above).T
-
-    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[float]]:
+        return up @ high_least.T + down @ low_most.T, up @ high_most.T + down @ low_least.T
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int, rounds: Sequence[float] = ROUNDS) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[float]]:
         """(candidates, scores) that may be among each query's k best, all k best among them; own: pairs of a row with
         itself. Besides, the share of pairs still open after each round."""
         open_, shares, done = ~own, [], np.zeros(len(queries), bool)
-        for share in ROUNDS:
+        for share in rounds:
             live = np.flatnonzero(~done)
             if not len(live):
                 break
@@ -80,10 +95,13 @@ def best(cand: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
     """(query, candidate, score) of each query's k best among the candidates, ties to smaller ids."""
     order = np.argsort(ids, kind="stable")
     cand, ids = cand[order], ids[order]
-    lists, out = Lists(cand), []
+    lists, out, rounds = Lists(cand), [], ROUNDS
     for at in range(0, len(queries), QUERIES):
         q, q_ids = queries[at : at + QUERIES], query_ids[at : at + QUERIES]
-        found, _ = lists.best(q, q_ids[:, None] == ids[None, :], k)
+        found, shares = lists.best(q, q_ids[:, None] == ids[None, :], k, rounds)
+        if not at:  # where the first queries close next to nothing, later ones read on without looking
+            before = [1.0, *shares]
+            rounds = [r for i, r in enumerate(ROUNDS) if r == ROUNDS[-1] or (i < len(shares) and before[i] - shares[i] > LITTLE)]
         for i, (held, scores) in enumerate(found):
             top = np.argsort(-scores, kind="stable")[:k]
             out += [(q_ids[i], ids[held[j]], int(scores[j])) for j in top]
