@@ -154,3 +154,14 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch, small):
     named = graph.components(spark.createDataFrame([("b", "c"), ("c", "a"), ("y", "z")], "a string, b string"))
     assert {x.node: x.root for x in named.collect()} == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_are_found_without_copies_of_tables(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL", 0)
+    plans, keep = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, **k: (plans.append(df), keep(df, **k))[1])
+    lines = spark.createDataFrame([(i, f"k{(i + j) // 2}") for i in range(40) if i % 10 < 8 for j in (0, 1)], "line int, key string")
+    found = graph.overlap_groups(lines, "line", "key")
+    assert {(r.line, r.component) for r in found.collect()} == {(i, i // 10 * 10) for i in range(40) if i % 10 < 8}
+    rounds = [p for p in plans[2:]] + [found]
+    assert all("BroadcastHashJoin" not in p._jdf.queryExecution().executedPlan().toString() for p in rounds)

@@ -76,10 +76,11 @@ def components(edges: DataFrame) -> DataFrame:
         return saved(both.coalesce(1).mapInPandas(told, f"node {kind}, root {kind}"), forget=True)
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), forget=True)
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("_old"), F.least("root", "_near").alias("root"))
+        # tables are merged: written ones look small enough for a copy to each executor, every round anew by way of the driver
+        near = both.join(labels.select(F.col("node").alias("b"), "root").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near"))
+        step = labels.join(near.hint("merge"), "node").select("node", F.col("root").alias("_old"), F.least("root", "_near").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        moved = saved(step.join(up, "root", "left").select("node", "_old", F.least("root", "_up").alias("root")), forget=True)
+        moved = saved(step.join(up.hint("merge"), "root", "left").select("node", "_old", F.least("root", "_up").alias("root")), forget=True)
         labels = moved.select("node", "root")
         if moved.filter("_old <> root").isEmpty():
             return labels
@@ -91,7 +92,7 @@ def overlap_groups(lines: DataFrame, line: str, key: str) -> DataFrame:
     first = lines.groupBy(key).agg(F.min(line).alias("a"))
     stars = lines.join(first, key).select("a", F.col(line).alias("b")).distinct()
     found = components(stars)
-    return lines.select(line).distinct().join(found, F.col(line) == F.col("node"), "left").select(line, F.coalesce("root", line).alias("component"))
+    return lines.select(line).distinct().join(found.hint("merge"), F.col(line) == F.col("node"), "left").select(line, F.coalesce("root", line).alias("component"))
 
 
 def resolve_names(asked: DataFrame, known: DataFrame, least: float = 0.25, top: int = 5, gap: float = 0.05) -> DataFrame:
