@@ -241,13 +241,20 @@ def distressed_securities(spark, d):
     return A.distressed(rows, "l_returnflag", ["R", "A"]).select("l_partkey", "l_returnflag", "period")
 
 
+#: Lines that a task sums up to series, about; tasks at least.
+SERIES_ROWS, SERIES_PARTS = 1_000_000, 8
+
+
 @query(f"""WITH {FACT}, f AS (SELECT entity || '|' || family AS id, period, 'entity' AS kind, inflow / nullif(nav, 0) AS rate FROM fact),
 s AS (SELECT l_partkey || '|' || l_returnflag AS id, date_trunc('month', l_shipdate)::DATE AS period, 'series' AS kind, avg(l_discount) AS rate FROM lineitem GROUP BY 1, 2)
 SELECT id, period, kind, round(rate, 6) AS rate, round(rate - 0.05, 6) AS spread FROM (FROM f UNION ALL FROM s)""")
 def yield_universe(spark, d):
     funds = fact(spark, d).select(F.concat(F.col("entity").cast("string"), F.lit("|"), "family").alias("id"), "period", F.lit("entity").alias("kind"), safe_div("inflow", "nav").alias("rate"))
-    keys = [F.concat(F.col("l_partkey").cast("string"), F.lit("|"), "l_returnflag").alias("id"), month("l_shipdate").alias("period")]
-    series = table(spark, d, "lineitem").groupBy(*keys).agg(F.avg("l_discount").alias("rate")).withColumn("kind", F.lit("series"))
+    lines = table(spark, d, "lineitem")
+    keyed = lines.select(F.concat(F.col("l_partkey").cast("string"), F.lit("|"), "l_returnflag").alias("id"), month("l_shipdate").alias("period"), "l_discount")
+    # most months of a series have one line: rows are dealt as they are, into parts of a million, so no task's table grows with the input
+    parts = max(SERIES_PARTS, -(-lines.count() // SERIES_ROWS))
+    series = keyed.repartition(parts, "id", "period").groupBy("id", "period").agg(F.avg("l_discount").alias("rate")).withColumn("kind", F.lit("series"))
     return funds.unionByName(series).withColumn("spread", F.col("rate") - 0.05)
 
 
