@@ -5,8 +5,8 @@ conditional log-probabilities. Two things predict, and both come from the whole
 
 1. A bidirectional window network, trained in numpy inside Spark's tasks. Its vocabulary is the most frequent words and
    buckets of hashed ones. The four words around give a hidden layer; that gives the probability of a class of words,
-   then of the word in its class (a hierarchical output layer). Every task trains a copy on all its documents (on a
-   fixed share of their words), copies are averaged by their words, in rounds.
+   then of the word in its class (a hierarchical output layer). Every task trains a copy on every word of all its
+   documents, copies are averaged by their words, in rounds.
 2. Counts of windows, keyed by the words themselves: how often the same four words surround this word elsewhere, and
    surround anything elsewhere. They grow with the corpus and are shuffled to buckets by the surrounding words. The
    word's own occurrence doesn't count, so that a text isn't predicted from itself.
@@ -35,8 +35,8 @@ SIZE, HASHED = CLASSES * WORDS, 512
 END = SIZE - 1
 #: Numbers of the hidden layer; words of a step of training, and its size; parts of the corpus after which copies are averaged.
 HIDDEN, STEP, RATE, ROUNDS = 32, 32_768, 0.02, (0.125, 1.0)
-#: Words handled at once; of each text, one word in EACH is predicted in training (all are counted, and scored).
-CHUNK, EACH = 4096, 8
+#: Words handled at once.
+CHUNK = 4096
 #: Words on each side; counts that the network's probability weighs as much as.
 SIDE, STRENGTH = 2, 1.0
 #: Bytes of text in a batch and a bucket, about; buckets at least.
@@ -225,9 +225,8 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, params: Params, common: np.
             for _, hashes, owner, _ in texts_of(it):
                 entry = vocabulary.entries(hashes)
                 near = around(entry, owner, END)
-                drawn = np.flatnonzero(W.mixed(hashes + np.arange(len(hashes), dtype=np.uint64)) % np.uint64(EACH) == 0)
-                for i in range(0, len(drawn), STEP):
-                    trainer.step(near[:, drawn[i : i + STEP]], entry[drawn[i : i + STEP]])
+                for i in range(0, len(entry), STEP):
+                    trainer.step(near[:, i : i + STEP], entry[i : i + STEP])
                 total += len(entry)
                 if len(common):
                     window = windows(hashes, owner)
