@@ -1,8 +1,10 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.util import docs
@@ -101,3 +103,59 @@ def test_gradients_match_differences():
         down = -lm.forward(p, near, target).mean(dtype=np.float64)
         p[k][at] += 1e-2
         assert abs((up - down) / 2e-2 - grads[k][at]) < 2e-4
+
+
+def test_words_of_a_task_leave_once_and_hashing_holds_few_copies(monkeypatch):
+    monkeypatch.setattr(lm, "BATCH", 300)
+    r = random.Random(5)
+    texts = [" ".join(r.choice("ab cde F ghij").lower() + "x" for _ in range(40)) for _ in range(50)]
+    rows = pd.concat(lm.counted(iter([pd.DataFrame({"text": texts}), pd.DataFrame({"text": [None, *texts[:9]]})])))
+    found = rows[rows["kind"] == 0]
+    every = Counter(w for t in texts + texts[:9] for w in split(t))
+    assert found["name"].is_unique and sorted(found["n"]) == sorted(every.values())
+    raws = [" ".join(r.choice(["ab", "cde", "fghij", "klmnopq"]) for _ in range(2000)).encode() for _ in range(100)]
+    W.words(raws, fold=True)  # makes the powers
+    tracemalloc.start()
+    W.words(raws, fold=True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * sum(map(len, raws))
+
+
+def test_a_word_has_one_hash_wherever_it_stands():
+    r = random.Random(6)
+    word = "".join(r.choice("abcXYZ\u00e9") for _ in range(3 * W.BLOCK))
+    for before in (0, 1, W.BLOCK - 2, W.BLOCK, 2 * W.BLOCK + 7):
+        hashes, owner, _ = W.words([b"y" * before + b"\t" + word.encode() + b" q", b"", word.lower().encode()], fold=True)
+        at = int(before > 0)
+        assert hashes[at] == hashes[-1] and owner.tolist() == [0] * (at + 2) + [2]
+
+
+def test_names_are_found_as_by_search():
+    g = np.random.default_rng(7)
+    for size in (0, 1, 5, 3000, 60_000):
+        top = np.unique(np.append(g.integers(0, 1 << 62, size, dtype=np.uint64) << np.uint64(2), g.integers(0, 9, size, dtype=np.uint64)))
+        if size:
+            top = np.append(top, ~np.uint64(0))
+        names = np.concatenate([top, top + np.uint64(1), g.integers(0, 1 << 62, 1000, dtype=np.uint64)])
+        where = {x: i for i, x in enumerate(top.tolist())}
+        which, at = lm._found(top, names)
+        assert dict(zip(which.tolist(), at.tolist(), strict=True)) == {i: where[x] for i, x in enumerate(names.tolist()) if x in where}
+        vocabulary = lm.Vocabulary(g.permutation(top)[:3000], np.zeros(lm.SIZE, np.float32))
+        own = {x: i for i, x in zip(vocabulary.order.tolist(), vocabulary.sorted.tolist(), strict=True) if i >= 0}
+        hashed = lambda x: lm.SIZE - lm.HASHED + (x >> 40) % (lm.HASHED - 1)
+        assert vocabulary.entries(names).tolist() == [own.get(x, hashed(x)) for x in names.tolist()]
+
+
+def test_steps_too_far_do_not_overflow():
+    g = np.random.default_rng(8)
+    near, target = g.integers(0, 300, (4, 500)), g.integers(0, lm.SIZE, 500)
+    p = [x * 400 for x in lm.start(np.ones(lm.SIZE))]
+    grads = [np.zeros_like(x) for x in p]
+    h = np.tanh(sum(p[0][k][near[k]] for k in range(4)))
+    logs = lambda x: x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    clipped = lambda x: np.clip(x.astype(float), -60, 60)
+    row, (c, o) = np.arange(500), divmod(target, lm.WORDS)
+    want = logs(clipped(h @ p[1] + p[3]))[row, c] + logs(clipped(np.einsum("nh,nhw->nw", h, p[2][c]) + p[4][c]))[row, o]
+    assert np.allclose(lm.forward(p, near, target, grads), want, rtol=1e-4, atol=1e-3)
+    assert all(np.isfinite(x).all() for x in grads)

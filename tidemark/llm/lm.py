@@ -19,6 +19,7 @@ looked up, so that a line in a large share of all documents never comes together
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ SIZE, HASHED = CLASSES * WORDS, 512
 END = SIZE - 1
 #: Numbers of the hidden layer; words of a step of training, and its size; parts of the corpus after which copies are averaged.
 HIDDEN, STEP, RATE, ROUNDS = 32, 32_768, 0.02, (0.125, 1.0)
-#: Words handled at once.
-CHUNK = 4096
+#: Words handled at once; counts of words that a task holds before it adds them up.
+CHUNK, HELD = 1024, 500_000
 #: Words on each side; counts that the network's probability weighs as much as.
 SIDE, STRENGTH = 2, 1.0
 #: Bytes of text in a batch and a bucket, about; buckets at least.
@@ -88,17 +89,20 @@ class Vocabulary:
     """Entries of words: the most frequent have their own, in order of frequency, others share HASHED ones."""
 
     def __init__(self, top: np.ndarray, share: np.ndarray):
-        self.order = np.argsort(top)
-        self.sorted = top[self.order]
+        order = np.argsort(top)
+        # a last name that no word stands for, and where the names of each first 16 bits begin
+        self.order, self.sorted = np.append(order, -1), np.append(top[order], ~np.uint64(0))
+        begin = np.searchsorted(self.sorted[:-1] >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64))
+        self.begin, self.most = begin[:-1], int(np.diff(begin).max())
         self.share = share  # of each entry's occurrences, about, that one of its words has (log)
 
     def entries(self, hashes: np.ndarray) -> np.ndarray:
         out = (SIZE - HASHED + (hashes >> np.uint64(40)) % np.uint64(HASHED - 1)).astype(np.int64)
-        if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-            hit = self.sorted[at] == hashes
-            out[hit] = self.order[at[hit]]
-        return out
+        at = self.begin[(hashes >> np.uint64(48)).view(np.int64)]
+        for _ in range(self.most):  # names of the same first bits, few in a table of hashes
+            at += self.sorted[at] < hashes
+        order = self.order[at]
+        return np.where((self.sorted[at] == hashes) & (order >= 0), order, out)
 
 
 def start(counts: np.ndarray) -> Params:
@@ -110,52 +114,69 @@ def start(counts: np.ndarray) -> Params:
     return [x.astype(np.float32) for x in (*shapes, *bias)]
 
 
-def _softmax(x: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exponentials, their sum) by row of x + bias, in place of x."""
-    x += bias
-    np.clip(x, -60, 60, out=x)  # a step too far mustn't overflow
-    e = np.exp(x)
-    return e, e @ np.ones(x.shape[1], np.float32)
+def _softmaxes(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, clipped: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of h @ weights + bias by row, and their sums over the first CLASSES columns and over the others."""
+    e = h @ weights
+    e += bias
+    if clipped:
+        np.clip(e, -60, 60, out=e)  # a step too far mustn't overflow
+    np.exp(e, out=e)
+    one = np.ones(max(CLASSES, WORDS), e.dtype)
+    return e, e[:, :CLASSES] @ one[:CLASSES], e[:, CLASSES:] @ one[:WORDS]
+
+
+def _summed(rows: np.ndarray, entry: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the rows of each entry. Numbers are added two at a time, as complex ones: half the passes over the rows."""
+    by = np.argsort(entry.astype(np.int16), kind="stable")
+    own = entry[by]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    pairs = rows.view(np.result_type(rows.dtype, np.complex64))
+    out = np.zeros((size, pairs.shape[1]), pairs.dtype)
+    out[own[first]] = np.add.reduceat(pairs.take(by, axis=0), first, axis=0)
+    return out.view(rows.dtype)
 
 
 def forward(p: Params, near: np.ndarray, target: np.ndarray, grads: Params | None = None) -> np.ndarray:
     """Log-probability of each target entry given the entries around it; adds the mean loss's gradients to ``grads``.
 
-    Words of one class are handled together, CHUNK at once."""
+    Words of one class are handled together, CHUNK at once; the probabilities of all classes and of the words of this one
+    come from one product."""
     order = np.argsort((target // WORDS).astype(np.int16), kind="stable")
     near, target = near[:, order], target[order]
     cls, word, n = target // WORDS, target % WORDS, len(target)
     out = np.empty(n, np.float32)
-    dh = np.empty((n if grads is not None else 0, HIDDEN), np.float32)
+    dh = np.empty((n if grads is not None else 0, HIDDEN), p[0].dtype)
+    # numbers of the hidden layer are within 1, so no sum exceeds this bound
+    clipped = max(float((np.abs(w).sum(axis=-2) + np.abs(b)).max()) for w, b in ((p[1], p[3]), (p[2], p[4]))) > 60
     cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(cuts)).tolist():
+        weights, bias = np.concatenate([p[1], p[2][c]], axis=1), np.concatenate([p[3], p[4][c]])
         for i in range(cuts[c], cuts[c + 1], CHUNK):
             at = slice(i, min(i + CHUNK, cuts[c + 1]))
-            own, row = word[at], np.arange(at.stop - i)
-            h = p[0][0][near[0, at]]
+            own, row = word[at] + CLASSES, np.arange(at.stop - i)
+            h = p[0][0].take(near[0, at], axis=0)
             for side in (1, 2, 3):
-                h += p[0][side][near[side, at]]
+                h += p[0][side].take(near[side, at], axis=0)
             np.tanh(h, out=h)
-            x, y = h @ p[1], h @ p[2][c]
-            (ex, sx), (ey, sy) = _softmax(x, p[3]), _softmax(y, p[4][c])
-            out[at] = x[:, c] - np.log(sx) + y[row, own] - np.log(sy)
+            e, sx, sy = _softmaxes(h, weights, bias, clipped)
+            out[at] = np.log(e[:, c] / sx) + np.log(e[row, own] / sy)
             if grads is None:
                 continue
-            ex /= sx[:, None] * n
-            ey /= sy[:, None] * n
-            ex[:, c] -= 1 / n
-            ey[row, own] -= np.float32(1 / n)
-            grads[1] += h.T @ ex
-            grads[2][c] += h.T @ ey
-            grads[3] += ex.sum(axis=0)
-            grads[4][c] += ey.sum(axis=0)
-            dh[at] = (ex @ p[1].T + ey @ p[2][c].T) * (1 - h * h)
+            e[:, :CLASSES] *= (1 / sx)[:, None]
+            e[:, CLASSES:] *= (1 / sy)[:, None]
+            e[:, c] -= 1
+            e[row, own] -= 1
+            product, total = h.T @ e / n, np.ones(len(e), e.dtype) @ e / n
+            grads[1] += product[:, :CLASSES]
+            grads[2][c] += product[:, CLASSES:]
+            grads[3] += total[:CLASSES]
+            grads[4][c] += total[CLASSES:]
+            np.multiply(h, h, out=h)
+            np.matmul(e, weights.T, out=dh[at])
+            dh[at] *= 1 - h
     if grads is not None:
         for side in range(4):
-            by = np.argsort(near[side].astype(np.int16), kind="stable")
-            own = near[side][by]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            grads[0][side][own[first]] += np.add.reduceat(dh[by], first, axis=0)
+            grads[0][side] += _summed(dh, near[side], SIZE) / n
     result = np.empty(n, np.float32)
     result[order] = out
     return result
@@ -173,11 +194,11 @@ class Trainer:
         grads = [np.zeros_like(x) for x in self.p]
         loss = -float(forward(self.p, near, target, grads).mean())
         self.steps += 1
-        rate = RATE * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        rate = RATE * math.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for p, g, m, v in zip(self.p, grads, self.m, self.v, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p -= (rate * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
+            p -= rate * m / (np.sqrt(v) + 1e-7)
         return loss
 
 
@@ -230,8 +251,8 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, params: Params, common: np.
                 total += len(entry)
                 if len(common):
                     window = windows(hashes, owner)
-                    window = window[np.isin(window, common)], hashes[np.isin(window, common)]
-                    for level, names in ((0, window[0]), (1, whole(*window))):
+                    at, _ = _found(common, window)
+                    for level, names in ((0, window[at]), (1, whole(window[at], hashes[at]))):
                         name, n = np.unique(names, return_counts=True)
                         yield pd.DataFrame({"part": -1 - level, "task": 0, "weight": n.astype(float), "values": None, "name": name.view(np.int64)})
             if total:
@@ -253,20 +274,32 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, params: Params, common: np.
     return params, tables[0], tables[1]
 
 
-def learn(docs: DataFrame) -> tuple[Vocabulary, Params, np.ndarray, np.ndarray]:
-    """Vocabulary, network, and counts of common windows: three passes over all documents."""
+def counted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each word (kind 0) and each common window (kind 1) occurs; words are added up over batches before they leave."""
+    some, held = [], 0
 
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, hashes, owner, _ in texts_of(it):
-            name, n = np.unique(hashes, return_counts=True)
-            yield pd.DataFrame({"kind": 0, "name": name.view(np.int64), "n": n})
-            window = windows(hashes, owner)
-            name, n = np.unique(window, return_counts=True)
-            many = n >= COMMON
-            if many.any():
-                yield pd.DataFrame({"kind": 1, "name": name[many].view(np.int64), "n": n[many]})
+    def summed() -> pd.DataFrame:
+        name, which = np.unique(np.concatenate([x for x, _ in some]), return_inverse=True)
+        n = np.bincount(which, weights=np.concatenate([n for _, n in some])).astype(np.int64)
+        return pd.DataFrame({"kind": 0, "name": name.view(np.int64), "n": n})
+
+    for _, hashes, owner, _ in texts_of(it):
+        some.append(np.unique(hashes, return_counts=True))
+        held += len(some[-1][0])
+        if held > HELD:
+            yield summed()
+            some, held = [], 0
+        name, n = np.unique(windows(hashes, owner), return_counts=True)
+        many = n >= COMMON
+        if many.any():
+            yield pd.DataFrame({"kind": 1, "name": name[many].view(np.int64), "n": n[many]})
+    if some:
+        yield summed()
 
-    seen = saved(docs.select("text").mapInPandas(count, "kind int, name long, n long").groupBy("kind", "name").agg(F.sum("n").alias("n")))
+
+def learn(docs: DataFrame) -> tuple[Vocabulary, Params, np.ndarray, np.ndarray]:
+    """Vocabulary, network, and counts of common windows: three passes over all documents."""
+    seen = saved(docs.select("text").mapInPandas(counted, "kind int, name long, n long").groupBy("kind", "name").agg(F.sum("n").alias("n")))
     top = seen.filter("kind = 0").orderBy(F.desc("n"), "name").limit(SIZE - HASHED).toPandas()
     names = top["name"].to_numpy(np.int64)
     common = seen.filter("kind = 1").orderBy(F.desc("n"), "name").limit(MOST_COMMON).toPandas()["name"].to_numpy(np.int64)
@@ -284,12 +317,23 @@ def learn(docs: DataFrame) -> tuple[Vocabulary, Params, np.ndarray, np.ndarray]:
     return vocabulary, params, near, full
 
 
+def _found(table: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which names are in the sorted table, and where. Most aren't: their first 20 bits tell."""
+    first = lambda x: (x.view(np.uint64) >> np.uint64(44)).view(np.int64)
+    seen = np.zeros(1 << 20, bool)
+    seen[first(table)] = True
+    some = np.flatnonzero(seen[first(names)])
+    at = np.searchsorted(table, names[some])
+    hit = np.flatnonzero(np.append(table, table[-1:])[at] == names[some])
+    return some[hit], at[hit]
+
+
 def _looked_up(table: np.ndarray, names: np.ndarray) -> np.ndarray:
     """Counts of names in a table of (name, count), 0 where a name isn't there."""
-    if not table.shape[1]:
-        return np.zeros(len(names), np.int64)
-    at = np.minimum(np.searchsorted(table[0], names), table.shape[1] - 1)
-    return np.where(table[0][at] == names, table[1][at], 0)
+    out = np.zeros(len(names), np.int64)
+    which, at = _found(np.ascontiguousarray(table[0]), names)
+    out[which] = table[1][at]
+    return out
 
 
 def blended(logp: np.ndarray, around_: np.ndarray, with_word: np.ndarray) -> np.ndarray:
@@ -318,7 +362,9 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Params, np.ndarray, np.ndarr
             logp = forward(params, sides, entry) + vocabulary.share[entry]
             window = windows(hashes, owner)
             known = _looked_up(near, window.view(np.int64))
-            best = np.where(known > 0, blended(logp, np.maximum(known - 1, 0), np.maximum(_looked_up(full, whole(window, hashes).view(np.int64)) - 1, 0)), logp)
+            at, best = np.flatnonzero(known), logp.astype(np.float64)
+            with_word = _looked_up(full, whole(window[at], hashes[at]).view(np.int64))
+            best[at] = blended(logp[at], np.maximum(known[at] - 1, 0), np.maximum(with_word - 1, 0))
             n = np.bincount(owner, minlength=len(raws))
             total = np.bincount(owner, weights=best, minlength=len(raws))
             ids = rows["doc_id"].tolist()
@@ -328,7 +374,7 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Params, np.ndarray, np.ndarr
             out["doc_id"], out["batch"], out["row"], out["n"], out["value"] = ids, batch, np.arange(len(ids)), n, total
             yield out
             rest = np.flatnonzero(known == 0)
-            to = (window[rest] % np.uint64(buckets)).astype(np.int64)
+            to = (window[rest] % np.uint64(buckets)).astype(np.int16 if buckets < 1 << 15 else np.int64)
             order = np.argsort(to, kind="stable")
             rest, to = rest[order], to[order]
             inner = ((window[rest] // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype("<u4")
