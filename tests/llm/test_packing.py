@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.util import docs
@@ -104,3 +106,33 @@ def test_repeated_rows_and_empty_table(spark):
     rows = packing.pack(df.withColumn("length", df.doc_id), tokenizer_path()).collect()
     assert len(rows) == 3 and sorted(r.offset for r in rows) == [0, 4, 8]
     assert packing.pack(docs(spark, []), tokenizer_path()).count() == 0
+
+
+def test_memory_follows_the_bytes_coded_at_once():
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(20000)]
+    texts = [" ".join(r.choices(vocab, k=300)) for _ in range(3000)]  # 6.3 MB
+    batch = pa.record_batch({"doc_id": range(len(texts)), "text": texts})
+    coder = packing.WordIds(tokenizer_path())
+    coder.packed(["once"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in packing.cut(batch, coder, 4096))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert n == len(texts)
+    assert peak < 60
+
+
+def test_rows_sent_at_once_are_few_and_the_session_keeps_its_own_number(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with packing.arrow_rows(spark, 2000):
+        assert spark.conf.get(name) == "2000"
+        with packing.arrow_rows(spark, 5000):
+            assert spark.conf.get(name) == "2000"
+    assert spark.conf.get(name) == before
+
+
+def test_large_ids_beside_a_null_one_stay_exact(spark):
+    rows = packing.pack(docs(spark, [(2**53 + 1, "a b c"), (None, "a b"), (3, None)], parts=1), tokenizer_path()).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 3), (3, 1), (2**53 + 1, 4)]

@@ -9,19 +9,24 @@ The plan says how many bins take which lengths; each piece finds its place in it
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.common import running, saved
+from tidemark.llm.common import arrow_rows, running, saved
 
 CAPACITY = 4096
+#: Bytes of text whose words are coded at once (a worker holds some 70 bytes for each), and rows sent to a worker at once.
+BATCH, ROWS = 500_000, 2000
 #: Unusual words whose ids a worker remembers before it starts anew, the id that ends a document, and no merge.
 REMEMBERED, END, NONE = 50_000, 1, 1 << 30
 #: For each byte: 1 for ASCII letters, 2 for the marks that may follow them, 0 else.
@@ -47,6 +52,7 @@ class WordIds:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each core has a task of its own; threads would only add memory
         self.coder = Tokenizer.from_file(path)
         self.coder.no_truncation()
         with open(path, encoding="utf-8") as file:
@@ -101,22 +107,25 @@ class WordIds:
         """
         which = np.arange(len(lens))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        last = np.zeros(len(symbols), bool)
+        last[np.cumsum(lens) - 1] = True
+        rank = np.full(len(symbols), NONE, np.int64)
+        fresh = np.flatnonzero(~last)  # symbols whose pair with the next one isn't ranked yet
         while len(which):
-            starts = np.cumsum(lens) - lens
-            last = np.zeros(len(symbols), bool)
-            last[starts + lens - 1] = True
-            rank = np.full(len(symbols), NONE, np.int64)
-            first = np.flatnonzero(~last)
-            rank[first] = self._rank((symbols[first].astype(np.int64) << 20) + symbols[first + 1])
-            best = np.minimum.reduceat((rank << 32) + np.arange(len(symbols)), starts)
+            rank[fresh] = self._rank((symbols[fresh].astype(np.int64) << 20) + symbols[fresh + 1])
+            best = np.minimum.reduceat((rank << 32) + np.arange(len(symbols)), np.cumsum(lens) - lens)
             more = (best >> 32) < NONE
             own = np.repeat(more, lens)
             if not more.all():
                 out.append((which[~more], symbols[~own], lens[~more]))
             at = best[more] & 0xFFFFFFFF
             symbols[at] = self.into[best[more] >> 32]
+            rank[at], last[at] = NONE, last[at + 1]
             own[at + 1] = False
-            symbols, lens, which = symbols[own], lens[more] - 1, which[more]
+            at = np.cumsum(own, dtype=np.int32)[at] - 1
+            symbols, rank, last, lens, which = symbols[own], rank[own], last[own], lens[more] - 1, which[more]
+            near = np.concatenate([at, at[at > 0] - 1])  # what was made meets new neighbours
+            fresh = near[~last[near]]
         which = np.concatenate([x[0] for x in out])
         flat, lens = np.concatenate([x[1] for x in out]), np.concatenate([x[2] for x in out])
         order = np.argsort(which)
@@ -136,7 +145,9 @@ class WordIds:
     def distinct(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each word) of words given by place."""
         kind, low = self._letters(flat)
-        letters, known = np.concatenate([[0], np.cumsum(kind == 1, dtype=np.int32)]), np.concatenate([[0], np.cumsum(kind > 0, dtype=np.int32)])
+        letters, known = np.zeros((2, len(flat) + 1), np.int32)
+        np.cumsum(kind == 1, out=letters[1:])
+        np.cumsum(kind > 0, out=known[1:])
         end = begin + size
         head = letters[end] - letters[begin]  # letters of the word: all in front, if that many bytes in front are letters
         plain = (known[end] - known[begin] == size) & (letters[begin + head] - letters[begin] == head) & (head > 0) & (size <= self.LONGEST)
@@ -203,28 +214,33 @@ def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
 _coders: dict[str, WordIds] = {}
 
 
+def cut(batch: pa.RecordBatch, coder: WordIds, capacity: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of a batch of doc_id and text, for about BATCH bytes of text at a time; a longer text is a batch of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH, side="right")) - at)
+        rows = []
+        for i, code in enumerate(coder.packed(batch.column(1).slice(at, n).to_pylist())):
+            for k, start in enumerate(range(0, len(code) // 4, capacity)):
+                part = code[4 * start : 4 * (start + capacity)]
+                rows.append((at + i, k, start, len(part) // 4, zlib.crc32(part)))
+        row, *told = zip(*rows, strict=True)
+        columns = [batch.column(0).take(pa.array(row)), *map(pa.array, told, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        at += n
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for every row: documents longer than ``capacity`` are cut, no others."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coders.setdefault(tokenizer, _coders.get(tokenizer) or WordIds(tokenizer))
         for batch in batches:
-            ids, texts = batch["doc_id"].tolist(), [None if t is None else str(t) for t in batch["text"]]
-            rows, at = [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 1_500_000):
-                    size += len(texts[end] or "")
-                    end += 1
-                for doc, code in zip(ids[at:end], coder.packed(texts[at:end]), strict=True):
-                    for n, start in enumerate(range(0, len(code) // 4, capacity)):
-                        part = code[4 * start : 4 * (start + capacity)]
-                        rows.append((doc, n, start, len(part) // 4, zlib.crc32(part)))
-                at = end
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield from cut(batch, coder, capacity)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(told, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -394,8 +410,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     Repeated rows are packed each. Longer documents are cut into ``capacity`` ids. Empty tables give no rows. Pieces of
     one length may be a third of all rows: they are ranked in parts by hash, never in one task.
     """
-    cut = saved(pieces(docs, tokenizer, capacity).withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(256))))
     spark = docs.sparkSession
+    with arrow_rows(spark, ROWS):
+        cut = saved(pieces(docs, tokenizer, capacity).withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(256))))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     slots, base = [], 0
     taken: dict[int, int] = {}
