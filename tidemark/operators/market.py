@@ -101,7 +101,7 @@ def total_return(bars: DataFrame, cash: DataFrame) -> DataFrame:
     """Adds ``close_tr``: the adjusted close over the product of 1 + cash / close at the ex-day, for payments on later days.
     Null where a later payment has no close. ``cash``: ticker, last_cum, amount, ex_close."""
     factor = F.log1p(safe_div("amount", "ex_close"))
-    per = cash.select("ticker", "last_cum", factor.alias("ln")).groupBy("ticker").agg(F.collect_list(F.struct("last_cum", "ln")).alias("_cash"))
+    per = cash.select("ticker", "last_cum", factor.alias("ln")).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("last_cum", "ln"))).alias("_cash"))  # summed in one order
     own = F.filter("_cash", lambda e: e["last_cum"] >= F.col("day"))
     known = ~F.exists(own, lambda e: e["ln"].isNull())
     grown = F.aggregate(own, F.lit(0.0), lambda s, e: s + F.coalesce(e["ln"], F.lit(0.0)))
@@ -130,7 +130,7 @@ def event_return(bars: DataFrame, events: DataFrame, most_days: int = 7) -> Data
     w = Window.partitionBy("ticker").orderBy("day")
     rows = bars.withColumns({"_close": F.lag("close").over(w), "_day": F.lag("day").over(w), "_unit": F.lag("unit").over(w)})
     ratio = share_ratio(F.col("kind"), F.col("factor"))
-    per = events.groupBy("ticker").agg(F.collect_list(F.struct("last_cum", F.log(ratio).alias("ln"))).alias("_events"))
+    per = events.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("last_cum", F.log(ratio).alias("ln")))).alias("_events"))  # summed in one order
     own = F.filter("_events", lambda e: (e["last_cum"] >= F.col("_day")) & (e["last_cum"] < F.col("day")))
     readable = F.coalesce(~F.exists(own, lambda e: e["ln"].isNull()), F.lit(True))
     grown = F.coalesce(F.aggregate(own, F.lit(0.0), lambda s, e: s + F.coalesce(e["ln"], F.lit(0.0))), F.lit(0.0))
