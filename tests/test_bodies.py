@@ -114,3 +114,40 @@ def test_bodies_longer_than_what_a_task_hands_over_are_whole(spark):
     texts = [(1, "<R>" + "".join(f"<A><B>{i}</B></A>" for i in range(n)) + "</R>"), (2, "no xml"), (3, "<R/>"), (4, None)]
     told = B.leaves(spark.createDataFrame(texts, "id int, content string"))
     assert [(r.id, r.status, r.n, r.most) for r in told.selectExpr("*", "steps[0].at as at").groupBy("id", "status").agg({"*": "count", "at": "max"}).toDF("id", "status", "n", "most").orderBy("id").collect()] == [(1, "ok", n, n), (2, "not_xml", 1, None), (3, "ok", 1, None), (4, "not_xml", 1, None)]
+
+
+def test_both_trees_at_once_tell_what_leaf_by_leaf_does(spark):
+    r = random.Random(9)
+
+    def element(depth):
+        tag = r.choice(["A", "VL_B", "n:A", "CLS_SENIOR", "CEDENT"])
+        attributes = "".join(f' {a}="{r.choice("12")}"' for a in r.sample(["u", "n:u", "v"], r.randint(0, 2))) + r.choice(["", "", ' xsi:nil="true"'])
+        inner = r.choice(["", " ", "1", "1,0", "1.0", "0,50", "0.5", "x", "9" * 30]) + "".join(element(depth - 1) for _ in range(r.randint(0, 3) if depth else 0))
+        if tag == "CEDENT":
+            inner += r.choice(["", f"<NR_PF_PJ_CEDENT>{r.randint(1, 3)}</NR_PF_PJ_CEDENT>", '<NR_PF_PJ_CEDENT xsi:nil="1"/>'])
+        return f"<{tag}{attributes}>{inner}</{tag}>"
+
+    def whole():
+        return r.choice([None, "no xml", "<R/>", '<R u="1">text</R>'] + [f'<R {XSI} xmlns:n="n">{"".join(element(3) for _ in range(r.randint(1, 4)))}</R>' for _ in range(12)])
+
+    pairs = [(i, whole(), whole()) for i in range(150)]
+    versions = spark.createDataFrame(pairs, "pair int, old string, new string")
+    told = B.leaves(spark.createDataFrame([(2 * i + k, p[k]) for i, *p in pairs for k in (0, 1)], "id int, content string"))
+    want = B.differences(spark.createDataFrame([(i, 2 * i, 2 * i + 1) for i, *_ in pairs], "pair int, old int, new int"), told)
+    got = B.compared(versions)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    got, want = (sorted(map(tuple, x.collect()), key=str) for x in (got, want))
+    assert got == want and {x[3] for x in got} == {"added", "removed", "changed", "nil_to_value", "value_to_nil"} and {x[-1] for x in got} == {"path", "key", "position"}
+
+
+def test_only_the_lines_of_a_pair_are_shuffled(spark):
+    from tidemark import plans
+
+    told = plans.QUERIES["body_differences"](spark, "/root/testdata/sf0.001")
+    assert told._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_deep_bodies_are_compared(spark):
+    deep = lambda x: "<R>" + "<A>" * 3000 + x + "</A>" * 3000 + "</R>"
+    rows = B.compared(spark.createDataFrame([(1, deep("1"), deep("2"))], "pair int, old string, new string")).collect()
+    assert [(len(r.path), r.old, r.new) for r in rows] == [(5999, "1", "2")]
