@@ -7,6 +7,7 @@ import pytest
 
 from tests.llm.util import docs
 from tidemark.llm import jaccard
+from tidemark.operators import graph
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -119,3 +120,27 @@ def test_a_family_in_one_task_by_regions(monkeypatch, inner):
         for j in range(i):
             if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 assert label[i] == label[j]
+
+
+@pytest.mark.parametrize("percent", [75, 80])
+def test_large_families_are_split_before_sets_meet(spark, monkeypatch, percent):
+    monkeypatch.setattr(jaccard, "FAMILY", 64)
+    monkeypatch.setattr(jaccard, "_voronoi", lambda *_: pytest.fail("sets that only a few shingles join went on to pivots"))
+    r = np.random.default_rng(5)
+    sets = []
+    for i in range(200):  # families of 3 by what they share; all share ten shingles, and some one that others hold too
+        own = r.integers(0, 2**62, 90)
+        for changed in (0, 8, 30):
+            keys = own.copy()
+            keys[:changed] = r.integers(0, 2**62, changed)
+            sets.append(np.unique(np.concatenate([keys, np.arange(10), [100 + i % 50]])))
+    rows = [(int(o), 1, len(k), k.tolist()) for o, k in zip(r.permutation(10_000), sets)]
+    found = jaccard.linked(spark.createDataFrame(rows, "owner long, family long, n long, keys array<long>"), percent).collect()
+    links = [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if 100 * len(x := set(a[3]) & set(b[3])) >= percent * (a[2] + b[2] - len(x))]
+    assert links and {frozenset(x) for x in map(tuple, found)} <= {frozenset(x) for x in links}
+
+    def roots(pairs):
+        pairs = [p for p in map(tuple, pairs)]
+        return {int(n): int(q) for n, q in zip(*graph.united(*(np.array(x) for x in zip(*pairs))))}
+
+    assert roots(found) == roots(links)
